@@ -302,12 +302,6 @@ def segment_insights(comparison: DataFrame, segments: Sequence[str]) -> DataFram
     return _numbered(comparison.agg(F.array(winner, *lines).alias("lines")))
 
 
-def metrics_by_role(metrics: DataFrame, roles: Mapping[str, str]) -> DataFrame:
-    """Keep the models that play a role and name them by it."""
-    name = F.coalesce(*[F.when(F.col("model_name") == m, r) for m, r in roles.items()])
-    return metrics.withColumn("model_name", name).filter(F.col("model_name").isNotNull())
-
-
 def report_lines(
     title: str, comparison: DataFrame, sections: Mapping[str, DataFrame]
 ) -> DataFrame:
