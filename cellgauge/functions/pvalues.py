@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import types as T
 
 NORMAL_FROM = 1_000_000
 
@@ -44,11 +45,9 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return math.exp(front) / (a * tail)
 
 
-@F.pandas_udf("double")
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([student_two_sided(a, b) for a, b in zip(t, df)], dtype="float64")
-
-
-@F.pandas_udf("double")
-def normal_p(z: pd.Series) -> pd.Series:
-    return pd.Series([normal_two_sided(v) for v in z], dtype="float64")
+def with_p_values(tests: DataFrame, p_value: Callable[[Row], float | None]) -> DataFrame:
+    """Add `p_value` to a table of test results, which has one row per tested pair."""
+    rows = tests.collect()
+    schema = T.StructType([*tests.schema.fields, T.StructField("p_value", T.DoubleType())])
+    values = [(*row, p_value(row)) for row in rows]
+    return tests.sparkSession.createDataFrame(values, schema)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cellgauge.functions import texts
-from cellgauge.functions.pvalues import normal_p, student_p
+from cellgauge.functions.pvalues import (
+    normal_two_sided,
+    student_two_sided,
+    with_p_values,
+)
 from cellgauge.operators.ranks import rows_before
 
 T_TEST, WILCOXON = "paired_t_test", "wilcoxon"
@@ -62,8 +66,12 @@ def paired_t_tests(
             )
         )
     out = aggregated.select(F.inline(F.array(*rows)))
-    p = student_p(F.col("statistic"), (F.col("sample_size") - 1).cast("double"))
-    return _judged(out.withColumn("p_value", p), alpha)
+
+    def p_value(row: Row) -> float | None:
+        t = row["statistic"]
+        return None if t is None else student_two_sided(t, row["sample_size"] - 1)
+
+    return _judged(with_p_values(out, p_value), alpha)
 
 
 def wilcoxon(
@@ -108,10 +116,11 @@ def wilcoxon(
         z.alias("z"),
         "sample_size",
     )
-    p = normal_p(F.col("z"))
-    return out.withColumn("p_value", p).withColumn(
-        "is_significant", F.coalesce(F.col("p_value") < alpha, F.lit(False))
-    )
+
+    def p_value(row: Row) -> float | None:
+        return None if row["z"] is None else normal_two_sided(row["z"])
+
+    return _judged(with_p_values(out, p_value), alpha)
 
 
 def significance_test(
