@@ -10,7 +10,7 @@ from cellgauge.catalog.registry import query, rounded, sql_rounded
 from cellgauge.functions import texts
 from cellgauge.operators import clean, features, partition, profile, validate
 from cellgauge.sources import schema as S
-from cellgauge.sources.network import network
+from cellgauge.sources.network import network, observations
 
 COLUMNS = ", ".join(S.REQUIRED)
 NUMBERS = S.NUMERIC_COLUMNS
@@ -21,7 +21,7 @@ def sql(*ctes: str, select: str) -> str:
 
 
 def located(spark, sf_dir) -> DataFrame:
-    return partition.location_heuristic(clean.preprocess(network(spark, sf_dir)))
+    return partition.location_heuristic(clean.preprocess(observations(spark, sf_dir)))
 
 
 # --- sources and validation ---------------------------------------------------------
@@ -228,7 +228,7 @@ _DESCRIBED = ["mean", "std"]
     ),
 )
 def describe_numeric(spark, sf_dir):
-    out = profile.describe_numeric(network(spark, sf_dir))
+    out = profile.describe_numeric(observations(spark, sf_dir))
     return rounded(rounded(out, 6, _DESCRIBED), 9, ["min", "q25", "q50", "q75", "max"])
 
 
@@ -292,7 +292,7 @@ def correlation_matrix(spark, sf_dir):
     ),
 )
 def target_correlation(spark, sf_dir):
-    return rounded(profile.target_correlation(clean.preprocess(network(spark, sf_dir))))
+    return rounded(profile.target_correlation(clean.preprocess(observations(spark, sf_dir))))
 
 
 @query(
@@ -396,7 +396,7 @@ def _span(source: str) -> str:
 
 @query("latency_histogram", sql(*Q.RAW, _span("network"), select=_histogram_sql("network", 30)))
 def latency_histogram(spark, sf_dir):
-    return rounded(profile.histogram(network(spark, sf_dir)), 9)
+    return rounded(profile.histogram(observations(spark, sf_dir)), 9)
 
 
 @query(
@@ -430,7 +430,7 @@ def _box_sql(source: str, by: str, column: str = "latency") -> str:
 
 @query("boxplot_by_device", sql(*Q.RAW, select=_box_sql("network", "device_type")))
 def boxplot_by_device(spark, sf_dir):
-    return rounded(profile.box_stats(network(spark, sf_dir), S.DEVICE), 9)
+    return rounded(profile.box_stats(observations(spark, sf_dir), S.DEVICE), 9)
 
 
 @query("boxplot_by_location", sql(*Q.LOCATED_ROWS, select=_box_sql("located", "location_type")))
@@ -510,14 +510,14 @@ def latency_by_split(spark, sf_dir):
     ),
 )
 def impute_median(spark, sf_dir):
-    df = network(spark, sf_dir)
+    df = observations(spark, sf_dir)
     filled = clean.impute(df, clean.fit_medians(df))
     return filled.select(S.KEY, *S.NUMERIC_FEATURES)
 
 
 @query("impute_mode", sql(*Q.CLEANED, select="SELECT tower_id, device_type FROM imputed"))
 def impute_mode(spark, sf_dir):
-    df = network(spark, sf_dir)
+    df = observations(spark, sf_dir)
     return clean.impute(df, fills={S.DEVICE: clean.fit_mode(df)}).select(S.KEY, S.DEVICE)
 
 
@@ -552,7 +552,7 @@ _FENCED = [(S.SIGNAL, 1), (S.TRAFFIC, 2), (S.LATENCY, 3), (S.USERS, 4)]
     ),
 )
 def iqr_bounds(spark, sf_dir):
-    fences = clean.fit_cleaning(network(spark, sf_dir)).fences
+    fences = clean.fit_cleaning(observations(spark, sf_dir)).fences
     rows = [(c, f.q1, f.q3, f.iqr, f.lower, f.upper) for c, f in fences.items()]
     out = spark.createDataFrame(
         rows,
@@ -574,7 +574,7 @@ def iqr_bounds(spark, sf_dir):
     ),
 )
 def outlier_counts(spark, sf_dir):
-    df = network(spark, sf_dir)
+    df = observations(spark, sf_dir)
     stats = clean.fit_cleaning(df)
     return clean.outlier_counts(clean.imputed(df, stats), stats.fences)
 
@@ -589,7 +589,7 @@ def outlier_counts(spark, sf_dir):
     ),
 )
 def cap_outliers(spark, sf_dir):
-    df = network(spark, sf_dir)
+    df = observations(spark, sf_dir)
     stats = clean.fit_cleaning(df)
     capped = clean.cap_outliers(clean.imputed(df, stats), stats.fences)
     return rounded(capped.select(S.KEY, *NUMBERS), 9)
@@ -626,7 +626,7 @@ def drop_null_target(spark, sf_dir):
     ),
 )
 def preprocess(spark, sf_dir):
-    return rounded(clean.preprocess(network(spark, sf_dir)), 9)
+    return rounded(clean.preprocess(observations(spark, sf_dir)), 9)
 
 
 @query(
@@ -640,7 +640,7 @@ def preprocess(spark, sf_dir):
     ),
 )
 def batch_fill(spark, sf_dir):
-    filled = clean.batch_fill(network(spark, sf_dir))
+    filled = clean.batch_fill(observations(spark, sf_dir))
     return filled.select(S.KEY, *S.NUMERIC_FEATURES, S.DEVICE)
 
 
@@ -817,7 +817,7 @@ def stratified_split(spark, sf_dir):
     ),
 )
 def exact_split(spark, sf_dir):
-    return partition.exact_split(network(spark, sf_dir)).select(S.KEY, "split")
+    return partition.exact_split(observations(spark, sf_dir)).select(S.KEY, "split")
 
 
 @query(
@@ -879,7 +879,7 @@ _SCALED = ["signal_strength_scaled", "network_traffic_scaled"]
     ),
 )
 def standard_scale(spark, sf_dir):
-    df = network(spark, sf_dir)
+    df = observations(spark, sf_dir)
     filled = clean.impute(df, clean.fit_medians(df, S.INFRASTRUCTURE_FEATURES))
     scaler = features.fit_scaler(filled, S.INFRASTRUCTURE_FEATURES)
     return rounded(features.standard_scale(filled, scaler).select(S.KEY, *_SCALED))
@@ -901,7 +901,7 @@ def standard_scale(spark, sf_dir):
     ),
 )
 def scale_train_test(spark, sf_dir):
-    df = partition.train_test_split(clean.preprocess(network(spark, sf_dir)))
+    df = partition.train_test_split(clean.preprocess(observations(spark, sf_dir)))
     scaler = features.fit_scaler(
         df.filter(F.col("split") == "train"), S.INFRASTRUCTURE_FEATURES
     )
@@ -932,7 +932,7 @@ _PLACES = ["Suburban", "Urban"]
     ),
 )
 def one_hot(spark, sf_dir):
-    df = clean.impute(network(spark, sf_dir), fills={S.DEVICE: texts.UNKNOWN})
+    df = clean.impute(observations(spark, sf_dir), fills={S.DEVICE: texts.UNKNOWN})
     df = df.select(S.KEY, S.DEVICE)
     return features.one_hot(df, S.DEVICE, features.fit_categories(df))
 
@@ -949,7 +949,7 @@ def one_hot(spark, sf_dir):
     ),
 )
 def prepare_features(spark, sf_dir):
-    return features.prepare_features(network(spark, sf_dir))
+    return features.prepare_features(observations(spark, sf_dir))
 
 
 @query(
@@ -970,7 +970,7 @@ def feature_names(spark, sf_dir):
         "infrastructure": features.INFRASTRUCTURE,
         "user_behavior": features.USER_BEHAVIOR,
     }
-    return features.feature_names(clean.preprocess(network(spark, sf_dir)), specs)
+    return features.feature_names(clean.preprocess(observations(spark, sf_dir)), specs)
 
 
 @query(
@@ -1005,7 +1005,7 @@ def categories_seen(spark, sf_dir):
     ),
 )
 def user_features(spark, sf_dir):
-    df = partition.train_test_split(network(spark, sf_dir))
+    df = partition.train_test_split(observations(spark, sf_dir))
     built = features.user_features(df.filter(F.col("split") == "train"), df)
     names = [f"{S.DEVICE}_{v}" for v in [*_DEVICES, texts.UNKNOWN]]
     return rounded(built.select(S.KEY, "split", f"{S.USERS}_scaled", *names))

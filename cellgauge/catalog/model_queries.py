@@ -18,7 +18,7 @@ from cellgauge.plans.horizontal import run_horizontal
 from cellgauge.plans.jobs import JobConfig
 from cellgauge.plans.vertical import MODEL_TYPES, run_vertical
 from cellgauge.sources import schema as S
-from cellgauge.sources.network import network
+from cellgauge.sources.network import observations
 
 SMALL = M.ForestSettings(trees=20, depth=5)
 JOB = JobConfig(trees=20, depth=5)
@@ -26,7 +26,7 @@ JOB = JobConfig(trees=20, depth=5)
 
 def prepared(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All cleaned rows with their split, and both sides."""
-    rows = train_test_split(location_heuristic(preprocess(network(spark, sf_dir))))
+    rows = train_test_split(location_heuristic(preprocess(observations(spark, sf_dir))))
     return rows, rows.filter(F.col(SPLIT) == TRAIN), rows.filter(F.col(SPLIT) == TEST)
 
 
@@ -118,17 +118,17 @@ def score_horizontal(spark, sf_dir):
 
 @query("job_vertical")
 def job_vertical(spark, sf_dir):
-    return run_vertical(network(spark, sf_dir), JOB)["comparison"]
+    return run_vertical(observations(spark, sf_dir), JOB)["comparison"]
 
 
 @query("job_horizontal")
 def job_horizontal(spark, sf_dir):
-    return run_horizontal(network(spark, sf_dir), JOB)["comparison"]
+    return run_horizontal(observations(spark, sf_dir), JOB)["comparison"]
 
 
 @query("evaluation_bundle")
 def evaluation_tables(spark, sf_dir):
-    result = run_vertical(network(spark, sf_dir), JOB)
+    result = run_vertical(observations(spark, sf_dir), JOB)
     test = result["predictions"].filter(F.col(SPLIT) == TEST)
     folded = M.with_folds(test, 3)
     models = {name: name for name in MODEL_TYPES}

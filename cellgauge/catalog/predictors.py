@@ -7,6 +7,10 @@ regression per segment for the location models. All are fitted on training rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,24 +28,70 @@ from cellgauge.operators.models import with_folds
 from cellgauge.operators.partition import SEGMENT, SPLIT, TRAIN, location_heuristic, train_test_split
 from cellgauge.sources import schema as S
 from cellgauge.sources.network import network
+from cellgauge.sources.tables import cached
 
 A, B, M = "infrastructure_model", "user_behavior_model", "monolithic_model"
 FEATURE = {A: S.TRAFFIC, B: S.USERS}
 
 
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete rows with target, segment, split and fold."""
+    """Complete rows with target, segment, split and fold; fits and scoring read them again."""
     df = network(spark, sf_dir).dropna(subset=[S.LATENCY, S.TRAFFIC, S.USERS])
     df = df.fillna(texts.UNKNOWN, [S.DEVICE, S.LOCATION])
     located = location_heuristic(df.withColumn("_given", F.col(S.LOCATION)))
     df = located.withColumnsRenamed({S.LOCATION: SEGMENT, "_given": S.LOCATION})
-    return with_folds(train_test_split(df), FOLDS).withColumnRenamed(S.LATENCY, "y")
-
+    rows = with_folds(train_test_split(df), FOLDS).withColumnRenamed(S.LATENCY, "y")
+    return cached(rows.drop(S.SIGNAL))
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Sums a straight-line fit needs. Those of two groups merge exactly."""
+
+    n: int
+    mx: float
+    my: float
+    vx: float
+    cxy: float
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        dx, dy, w = other.mx - self.mx, other.my - self.my, self.n * other.n / n
+        return Moments(
+            n,
+            self.mx + dx * other.n / n,
+            self.my + dy * other.n / n,
+            self.vx + other.vx + dx * dx * w,
+            self.cxy + other.cxy + dx * dy * w,
+        )
 
-def _line(x: str, where: Column) -> list[Column]:
-    y = F.when(where, F.col("y"))
-    feature = F.col(x).cast("double")
-    return [F.regr_slope(y, feature), F.regr_intercept(y, feature)]
+    def line(self) -> tuple[float, float]:
+        slope = self.cxy / self.vx
+        return slope, self.my - slope * self.mx
+
+
+def _moments(train: DataFrame) -> list[tuple[int, str, str, Moments]]:
+    """Moments per fold, segment and feature: one pass, one row per fold and segment."""
+    columns = [F.count("*").alias("n"), F.avg("y").alias("my")]
+    for m, x in FEATURE.items():
+        feature = F.col(x).cast("double")
+        columns += [
+            F.avg(feature).alias(f"{m}_mx"),
+            F.var_pop(feature).alias(f"{m}_vx"),
+            F.covar_pop(feature, "y").alias(f"{m}_cxy"),
+        ]
+    return [
+        (
+            r["fold"],
+            r[SEGMENT],
+            m,
+            Moments(
+                r["n"], r[f"{m}_mx"], r["my"], r["n"] * r[f"{m}_vx"], r["n"] * r[f"{m}_cxy"]
+            ),
+        )
+        for r in train.groupBy("fold", SEGMENT).agg(*columns).orderBy("fold", SEGMENT).collect()
+        for m in FEATURE
+    ]
 
 
 def _predict(x: str, line: tuple[float, float]) -> Column:
@@ -54,33 +104,30 @@ def single_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     All regressions, per fold and per segment too, come from one pass over the rows.
     """
     base = base_rows(spark, sf_dir)
-    every = F.lit(True)
-    wanted = {(m, None): _line(FEATURE[m], every) for m in (A, B)}
-    wanted |= {
-        (m, f): _line(FEATURE[m], F.col("fold") != f) for m in (A, B) for f in range(FOLDS)
-    }
-    wanted |= {
-        (s, None): _line(S.TRAFFIC, F.col(SEGMENT) == s) for s in texts.KNOWN_LOCATIONS
-    }
     train = base.filter(F.col(SPLIT) == TRAIN)
-    row = train.agg(
-        *[c.alias(f"_{i}_{j}") for i, pair in enumerate(wanted.values()) for j, c in enumerate(pair)]
-    ).first()
-    lines = {k: (row[f"_{i}_0"], row[f"_{i}_1"]) for i, k in enumerate(wanted)}
+    moments = _moments(train)
+
+    def line(model: str, without: int | None = None, segment: str | None = None):
+        parts = [
+            part
+            for fold, place, m, part in moments
+            if m == model and fold != without and segment in (None, place)
+        ]
+        return reduce(add, parts).line()
+
     means = train.groupBy(S.DEVICE, S.LOCATION).agg(F.avg("y").alias(M))
 
     def out_of_fold(m: str) -> Column:
-        return F.coalesce(
-            *[
-                F.when(F.col("fold") == f, _predict(FEATURE[m], lines[m, f]))
-                for f in range(FOLDS)
-            ]
-        )
+        arms = [
+            F.when(F.col("fold") == f, _predict(FEATURE[m], line(m, without=f)))
+            for f in range(FOLDS)
+        ]
+        return F.coalesce(*arms)
 
-    columns = {m: _predict(FEATURE[m], lines[m, None]) for m in (A, B)}
+    columns = {m: _predict(FEATURE[m], line(m)) for m in (A, B)}
     columns |= {"oof_a": out_of_fold(A), "oof_b": out_of_fold(B)}
     for s in texts.KNOWN_LOCATIONS:
-        mine = F.when(F.col(SEGMENT) == s, _predict(S.TRAFFIC, lines[s, None]))
+        mine = F.when(F.col(SEGMENT) == s, _predict(S.TRAFFIC, line(A, segment=s)))
         columns[f"{s.lower()}_model"] = mine
     return attach(base.withColumns(columns), means, [S.DEVICE, S.LOCATION])
 

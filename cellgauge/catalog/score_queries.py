@@ -108,12 +108,14 @@ def fusion_weight_share(spark, sf_dir):
     "fusion_weighted",
     sql(
         *Q.FUSED,
-        select=sql_rounded("SELECT tower_id, y, fusion_weighted FROM scored", ["fusion_weighted"]),
+        select=sql_rounded(
+            "SELECT tower_id, y, fusion_weighted FROM scored", ["fusion_weighted"], 4
+        ),
     ),
 )
 def fusion_weighted(spark, sf_dir):
     scored = P.all_models(spark, sf_dir).select("tower_id", "y", "fusion_weighted")
-    return rounded(scored, only=["fusion_weighted"])
+    return rounded(scored, 4, ["fusion_weighted"])
 
 
 @query(
@@ -134,12 +136,12 @@ def fusion_meta(spark, sf_dir):
     "fusion_meta_predictions",
     sql(
         *Q.FUSED,
-        select=sql_rounded("SELECT tower_id, y, fusion_meta FROM scored", ["fusion_meta"]),
+        select=sql_rounded("SELECT tower_id, y, fusion_meta FROM scored", ["fusion_meta"], 4),
     ),
 )
 def fusion_meta_predictions(spark, sf_dir):
     scored = P.all_models(spark, sf_dir).select("tower_id", "y", "fusion_meta")
-    return rounded(scored, only=["fusion_meta"])
+    return rounded(scored, 4, ["fusion_meta"])
 
 
 _COMPARED = [P.A, P.B, *FUSED]
@@ -167,6 +169,7 @@ def fusion_comparison(spark, sf_dir):
             "SELECT tower_id, segment, y, infrastructure_model AS global_model, urban_model, "
             "rural_model FROM single",
             ["global_model", "urban_model", "rural_model"],
+            4,
         ),
     ),
 )
@@ -175,7 +178,7 @@ def score_routing(spark, sf_dir):
     routed = single.select(
         "tower_id", "segment", "y", F.col(P.A).alias("global_model"), "urban_model", "rural_model"
     )
-    return rounded(routed, only=["global_model", "urban_model", "rural_model"])
+    return rounded(routed, 4, ["global_model", "urban_model", "rural_model"])
 
 
 # --- metrics ------------------------------------------------------------------------
@@ -454,13 +457,14 @@ def residual_qq(spark, sf_dir):
             f"SELECT y AS actual, {P.A} AS predicted, y - {P.A} AS residual FROM single "
             "WHERE split = 'test'",
             ["predicted", "residual"],
+            4,
         ),
     ),
 )
 def prediction_points(spark, sf_dir):
     rows = test_rows(P.single_models(spark, sf_dir))
     out = evaluate.prediction_points(rows, P.A)
-    return rounded(out, only=["predicted", "residual"])
+    return rounded(out, 4, ["predicted", "residual"])
 
 
 # --- report rules -------------------------------------------------------------------

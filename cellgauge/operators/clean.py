@@ -46,11 +46,14 @@ class CleaningStats:
 
 
 def fit_medians(
-    df: DataFrame, columns: Sequence[str] = S.NUMERIC_FEATURES, exact: bool = True
+    df: DataFrame,
+    columns: Sequence[str] = S.NUMERIC_FEATURES,
+    exact: bool = True,
+    rows: int | None = None,
 ) -> dict[str, float | None]:
     """Median of each column; None when the column is all null."""
     find = quantiles if exact else approximate_quantiles
-    row = find(df, {c: [0.5] for c in columns}).first()
+    row = find(df, {c: [0.5] for c in columns}, rows=rows).first()
     found = {c: row[quantile_name(c)] for c in columns}
     return {c: None if v is None else v[0] for c, v in found.items()}
 
@@ -68,11 +71,14 @@ def fit_mode(df: DataFrame, column: str = S.DEVICE) -> str:
 
 
 def fit_fences(
-    df: DataFrame, columns: Sequence[str] = S.NUMERIC_COLUMNS, exact: bool = True
+    df: DataFrame,
+    columns: Sequence[str] = S.NUMERIC_COLUMNS,
+    exact: bool = True,
+    rows: int | None = None,
 ) -> dict[str, Fence]:
     """Quartile fences of each column that has values."""
     find = quantiles if exact else approximate_quantiles
-    row = find(df, {c: [0.25, 0.75] for c in columns}).first()
+    row = find(df, {c: [0.25, 0.75] for c in columns}, rows=rows).first()
     found = {c: row[quantile_name(c)] for c in columns}
     return {c: Fence(*map(float, q)) for c, q in found.items() if q}
 
@@ -144,10 +150,11 @@ def fit_cleaning(df: DataFrame, exact: bool = True) -> CleaningStats:
 
     The target is not imputed: its fences come from the values it has.
     """
-    medians = fit_medians(df, exact=exact)
+    rows = df.count()
+    medians = fit_medians(df, exact=exact, rows=rows)
     modes = {S.DEVICE: fit_mode(df)}
     partial = CleaningStats(medians, modes)
-    fences = fit_fences(imputed(df, partial), exact=exact)
+    fences = fit_fences(imputed(df, partial), exact=exact, rows=rows)
     return CleaningStats(medians, modes, fences)
 
 

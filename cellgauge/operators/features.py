@@ -115,13 +115,15 @@ class FittedFeatures:
         return array_to_vector(F.array(*parts))
 
 
-def fit_features(df: DataFrame, spec: FeatureSpec) -> FittedFeatures:
+def fit_features(
+    df: DataFrame, spec: FeatureSpec, rows: int | None = None
+) -> FittedFeatures:
     S.require_columns(df, [*spec.numeric, *spec.categorical])
     categories = {}
     for c in spec.categorical:
         known = df.select(F.coalesce(F.col(c), F.lit(texts.UNKNOWN)).alias(c))
         categories[c] = fit_categories(known, c)
-    return FittedFeatures(spec, fit_medians(df, spec.numeric), categories)
+    return FittedFeatures(spec, fit_medians(df, spec.numeric, rows=rows), categories)
 
 
 def feature_names(df: DataFrame, specs: Mapping[str, FeatureSpec]) -> DataFrame:

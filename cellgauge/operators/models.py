@@ -69,8 +69,8 @@ class ForestModel:
     def train(self, df: DataFrame) -> ForestModel:
         if self.location is not None:
             df = df.filter(F.col(S.LOCATION) == self.location)
-        check_model_input(df, [], self.target, self.min_rows)
-        self.features = X.fit_features(df, self.spec)
+        n = check_model_input(df, [], self.target, self.min_rows)
+        self.features = X.fit_features(df, self.spec, n)
         rows = df.select(
             self.features.vector().alias("features"),
             F.col(self.target).cast("double").alias("label"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,23 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
         raise ValueError(f"Error loading dataset: {error}") from error
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """Cache rows that are read more than once, unless an equal plan is cached already."""
+    if df.storageLevel == StorageLevel.NONE:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share out the rows of a scan that has fewer tasks than the cluster has slots.
+
+    A file with one row group is read by one task, and so is all that follows without
+    a shuffle. Scans with enough tasks are left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
 def load_observations(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """The observation table under the column contract."""
     return apply_contract(canonical_names(read_table(spark, path, fmt)))

@@ -52,7 +52,7 @@ def main() -> int:
 
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session(
-        "compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
+        "compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = duck(sf_dir), []
@@ -78,8 +78,8 @@ def main() -> int:
             bad.append(name)
             print("  columns", got[0], want and want[0])
             if want:
-                only_a = [r for r in got[1] if r not in set(want[1])][:3]
-                only_b = [r for r in want[1] if r not in set(got[1])][:3]
+                a, b = set(got[1]), set(want[1])
+                only_a, only_b = sorted(a - b)[:3], sorted(b - a)[:3]
                 print("  spark", only_a, "\n  duck ", only_b, len(want[1]))
     print("bad:", bad)
     return len(bad)
