@@ -11,19 +11,19 @@ however good the grid was.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellgauge.session import checkpointed
 
-GROUP_LIMIT = 2_000_000
+GROUP_LIMIT = 1_000_000
 LEAF_LIMIT = 100_000
 HOT_GROUPS = 10_000
-GRID = 1_000
+GRID = 2_000
 ACCURACY = 10_000
 
 
@@ -164,14 +164,12 @@ def _narrowed(
 
     df = df.select(*by, *[F.col(c).cast("double").alias(c) for c in probs])
     total = sum(row["_rows"] for row in hot)
-    while any(t.open and t.inside > leaf_limit for _, ts in groups for t in ts):
+    while _wanted(groups, leaf_limit):
         _narrow_once(df, by, groups, leaf_limit)
         left = sum(t.inside for _, ts in groups for t in ts if t.open)
         if 0 < left < total / 20:
             state = _with_state(df, by, groups)
-            inside = F.lit(False)
-            for i, t in enumerate(groups[0][1]):
-                inside = inside | _inside(i, t.column)
+            inside = " OR ".join(_inside(i, groups) for i in _wanted(groups))
             df = checkpointed(state.filter(inside).select(*by, *probs))
             total = left
     _finish(df, by, groups)
@@ -194,10 +192,24 @@ def _narrowed(
     return out.withColumnsRenamed({f"_g_{c}": c for c in by})
 
 
+def _with_columns(
+    df: DataFrame, by: list[str], rows: list[list], fields: list[T.StructField]
+) -> DataFrame:
+    """Put values of a group next to its rows; `rows` hold the group key, then the values."""
+    if not by:
+        values = [
+            f"CAST({'NULL' if v is None else repr(str(v))} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f, v in zip(fields, rows[0])
+        ]
+        return df.selectExpr("*", *values)
+    keys = _local(df.sparkSession, df, by, rows, fields)
+    return df.join(F.broadcast(keys), _keys_match(df, by)).drop(*[f"_g_{c}" for c in by])
+
+
 def _with_state(df: DataFrame, by: list[str], groups: list[tuple[list, list[Target]]]) -> DataFrame:
-    """Put the bounds of every target next to each row of its group."""
+    """Put the bounds of every open target next to each row of its group."""
     fields, rows = [], [list(key) for key, _ in groups]
-    for i in range(len(groups[0][1])):
+    for i in _wanted(groups):
         fields += [
             T.StructField(f"_low{i}", T.DoubleType()),
             T.StructField(f"_high{i}", T.DoubleType()),
@@ -208,80 +220,97 @@ def _with_state(df: DataFrame, by: list[str], groups: list[tuple[list, list[Targ
         for row, (_, targets) in zip(rows, groups):
             t = targets[i]
             row += [t.low, t.high, t.open, t.rank - t.below, t.inside]
-    if not by:
-        state = [F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, rows[0])]
-        return df.select("*", *state)
-    keys = _local(df.sparkSession, df, by, rows, fields)
-    return df.join(F.broadcast(keys), _keys_match(df, by)).drop(*[f"_g_{c}" for c in by])
+    return _with_columns(df, by, rows, fields)
+
+
+def _wanted(groups: list, above: int = 0) -> list[int]:
+    """Targets that some group still looks for among more than `above` rows."""
+    return [
+        i
+        for i in range(len(groups[0][1]))
+        if any(ts[i].open and ts[i].inside > above for _, ts in groups)
+    ]
+
 
+def _shared(groups: list, wanted: list[int], view: Callable[[Target], tuple]) -> dict[int, int]:
+    """Map each target to the first one that looks the same in every group."""
+    first: dict[tuple, int] = {}
+    return {
+        i: first.setdefault(tuple(view(ts[i]) for _, ts in groups), i) for i in wanted
+    }
 
-def _inside(i: int, column: str) -> Column:
-    x = F.col(column)
-    above = F.coalesce(x > F.col(f"_low{i}"), F.lit(True))
-    under = F.coalesce(x < F.col(f"_high{i}"), F.lit(True))
-    return F.col(f"_open{i}") & x.isNotNull() & above & under
 
+def _interval(t: Target) -> tuple:
+    return t.column, t.low, t.high, t.open
 
-def _results(out: DataFrame, by: list[str], groups: list) -> list[tuple[list[Target], object]]:
+
+def _inside(i: int, groups: list) -> str:
+    """Row lies strictly between the bounds of target i, as SQL."""
+    targets = [ts[i] for _, ts in groups]
+    x = f"`{targets[0].column}`"
+    condition = [f"{x} IS NOT NULL"]
+    if not all(t.open for t in targets):
+        condition.append(f"_open{i}")
+    if any(t.low is not None for t in targets):
+        condition.append(f"coalesce({x} > _low{i}, true)")
+    if any(t.high is not None for t in targets):
+        condition.append(f"coalesce({x} < _high{i}, true)")
+    return "(" + " AND ".join(condition) + ")"
+
+
+def _results(out: DataFrame, by: list[str], groups: list) -> list[tuple[list, list[Target], Row]]:
     found = {tuple(r[c] for c in by): r for r in out.collect()}
-    return [(targets, found[tuple(key)]) for key, targets in groups if tuple(key) in found]
+    return [(key, ts, found[tuple(key)]) for key, ts in groups if tuple(key) in found]
 
 
 def _narrow_once(df: DataFrame, by: list[str], groups: list, leaf_limit: int) -> None:
     """Cut every large interval down to the part between two grid points."""
-    wanted = [
-        i
-        for i in range(len(groups[0][1]))
-        if any(ts[i].open and ts[i].inside > leaf_limit for _, ts in groups)
-    ]
+    wanted = _wanted(groups, leaf_limit)
     column = {i: groups[0][1][i].column for i in wanted}
-    grid = [g / GRID for g in range(GRID + 1)]
+    same = _shared(groups, wanted, _interval)
     state = _with_state(df, by, groups)
 
-    sketches = []
-    for i in wanted:
-        values = F.when(_inside(i, column[i]), F.col(column[i]))
-        sketches += [
-            F.percentile_approx(values, grid, ACCURACY).alias(f"_grid{i}"),
-            F.max(F.floor(F.col(f"_rank{i}") * GRID / F.col(f"_size{i}"))).alias(f"_at{i}"),
-        ]
+    grid = ",".join(str(g / GRID) for g in range(GRID + 1))
+    sketches = [
+        f"percentile_approx(CASE WHEN {_inside(i, groups)} THEN `{column[i]}` END, "
+        f"cast(split('{grid}', ',') AS array<double>), {ACCURACY}) AS _grid{i}"
+        for i in sorted(set(same.values()))
+    ]
+    places = [f"max(int(floor(_rank{i} * {GRID} / _size{i}))) AS _at{i}" for i in wanted]
     picks = []
     for i in wanted:
-        at = F.col(f"_at{i}").cast("int")
+        points = f"_grid{same[i]}"
         picks += [
-            F.col(f"_grid{i}")[F.greatest(at - 1, F.lit(0))].alias(f"_a{i}"),
-            F.col(f"_grid{i}")[F.least(at + 2, F.lit(GRID))].alias(f"_b{i}"),
+            f"{points}[greatest(_at{i} - 1, 0)] AS _a{i}",
+            f"{points}[least(_at{i} + 2, {GRID})] AS _b{i}",
         ]
-    cuts = _results(state.groupBy(*by).agg(*sketches).select(*by, *picks), by, groups)
-
-    cut_rows = [
-        [*(row[c] for c in by), *(row[f"_{s}{i}"] for i in wanted for s in "ab")] for _, row in cuts
-    ]
-    fields = [T.StructField(f"_{s}{i}", T.DoubleType()) for i in wanted for s in "ab"]
-    if by:
-        keys = _local(df.sparkSession, df, by, cut_rows, fields)
-        state = state.join(F.broadcast(keys), _keys_match(state, by))
-    else:
-        state = state.select(
-            "*", *[F.lit(v).cast("double").alias(f.name) for f, v in zip(fields, cut_rows[0])]
-        )
+    keys = [f"`{c}`" for c in by]
+    sketched = state.groupBy(*by).agg(*map(F.expr, [*sketches, *places]))
+    sketched = sketched.selectExpr(*keys, *picks)
+    cuts = _results(sketched, by, groups)
+
+    ends = {i: [(row[f"_a{i}"], row[f"_b{i}"]) for _, _, row in cuts] for i in wanted}
+    first: dict[tuple, int] = {}
+    counted = {i: first.setdefault((same[i], tuple(ends[i])), i) for i in wanted}
+    slots = sorted(set(counted.values()))
+    fields = [T.StructField(f"_{s}{i}", T.DoubleType()) for i in slots for s in "ab"]
+    cut_rows = [[*key, *(row[f"_{s}{i}"] for i in slots for s in "ab")] for key, _, row in cuts]
     counters = []
-    for i in wanted:
-        x, inside = F.col(column[i]), _inside(i, column[i])
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+    for i in slots:
+        x, inside = f"`{column[i]}`", _inside(i, groups)
         counters += [
-            F.count_if(inside & (x < a)).alias(f"_lt_a{i}"),
-            F.count_if(inside & (x <= a)).alias(f"_le_a{i}"),
-            F.count_if(inside & (x < b)).alias(f"_lt_b{i}"),
-            F.count_if(inside & (x <= b)).alias(f"_le_b{i}"),
+            f"count_if({inside} AND {x} < _a{i}) AS _lt_a{i}",
+            f"count_if({inside} AND {x} <= _a{i}) AS _le_a{i}",
+            f"count_if({inside} AND {x} < _b{i}) AS _lt_b{i}",
+            f"count_if({inside} AND {x} <= _b{i}) AS _le_b{i}",
         ]
-    counts = _results(state.groupBy(*by).agg(*counters), by, groups)
-    for (targets, cut), (_, count) in zip(cuts, counts):
+    bounded = _with_columns(state, by, cut_rows, fields)
+    counts = _results(bounded.groupBy(*by).agg(*map(F.expr, counters)), by, groups)
+    for (_, targets, cut), (_, _, count) in zip(cuts, counts):
         for i in wanted:
             if targets[i].open:
-                _cut(targets[i], cut[f"_a{i}"], cut[f"_b{i}"], *(
-                    count[f"_{k}{i}"] for k in ("lt_a", "le_a", "lt_b", "le_b")
-                ))
+                below = [count[f"_{k}{counted[i]}"] for k in ("lt_a", "le_a", "lt_b", "le_b")]
+                _cut(targets[i], cut[f"_a{i}"], cut[f"_b{i}"], *below)
 
 
 def _cut(t: Target, a: float, b: float, lt_a: int, le_a: int, lt_b: int, le_b: int) -> None:
@@ -300,16 +329,21 @@ def _cut(t: Target, a: float, b: float, lt_a: int, le_a: int, lt_b: int, le_b: i
 
 def _finish(df: DataFrame, by: list[str], groups: list) -> None:
     """Read the remaining ranks off sorted lists of at most `leaf_limit` values."""
-    wanted = [i for i in range(len(groups[0][1])) if any(ts[i].open for _, ts in groups)]
+    wanted = _wanted(groups)
     if not wanted:
         return
+    same = _shared(groups, wanted, _interval)
     state = _with_state(df, by, groups)
-    picks = []
-    for i in wanted:
-        column = groups[0][1][i].column
-        values = F.array_sort(F.collect_list(F.when(_inside(i, column), F.col(column))))
-        picks.append(F.get(values, F.max(F.col(f"_rank{i}")).cast("int")).alias(f"_v{i}"))
-    for targets, row in _results(state.groupBy(*by).agg(*picks), by, groups):
+    lists = [
+        f"array_sort(collect_list(CASE WHEN {_inside(i, groups)} "
+        f"THEN `{groups[0][1][i].column}` END)) AS _list{i}"
+        for i in sorted(set(same.values()))
+    ]
+    ranks = [f"max(int(_rank{i})) AS _at{i}" for i in wanted]
+    picks = [f"get(_list{same[i]}, _at{i}) AS _v{i}" for i in wanted]
+    listed = state.groupBy(*by).agg(*map(F.expr, [*lists, *ranks]))
+    out = listed.selectExpr(*[f"`{c}`" for c in by], *picks)
+    for _, targets, row in _results(out, by, groups):
         for i in wanted:
             if targets[i].open:
                 targets[i].value = row[f"_v{i}"]
