@@ -71,15 +71,15 @@ class ForestModel:
             df = df.filter(F.col(S.LOCATION) == self.location)
         n = check_model_input(df, [], self.target, self.min_rows)
         self.features = X.fit_features(df, self.spec, n)
+        if self.settings.layout:
+            order = [hash32(S.KEY, self.settings.seed).alias("_h"), self.target]
+            inputs = [*self.spec.numeric, *self.spec.categorical]
+            df = df.select(*order, *inputs).repartition(self.settings.layout, "_h")
+            df = df.sortWithinPartitions("_h", self.target, *inputs)
         rows = df.select(
             self.features.vector().alias("features"),
             F.col(self.target).cast("double").alias("label"),
-            *([hash32(S.KEY, self.settings.seed).alias("_h")] if self.settings.layout else []),
         )
-        if self.settings.layout:
-            rows = rows.repartition(self.settings.layout, "_h").sortWithinPartitions(
-                "_h", "label"
-            )
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             self.forest = RandomForestRegressor(
