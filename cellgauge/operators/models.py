@@ -39,6 +39,7 @@ class ForestSettings:
     seed: int = 42
     bins: int = 32
     layout: int | None = None
+    memory_mb: int = 1024
 
 
 class ForestModel:
@@ -88,6 +89,7 @@ class ForestModel:
                 maxBins=self.settings.bins,
                 featureSubsetStrategy="all",
                 seed=self.settings.seed,
+                maxMemoryInMB=self.settings.memory_mb,
             ).fit(rows)
         finally:
             rows.unpersist()

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cellgauge.session import checkpointed
 
-GROUP_LIMIT = 1_000_000
+GROUP_LIMIT = 500_000
 LEAF_LIMIT = 100_000
 HOT_GROUPS = 10_000
 GRID = 2_000

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgauge.functions.joins import attach
+
 DIGIT_BITS = 21
 
 
@@ -58,7 +60,8 @@ def kth_smallest(
     """Per group, the value at rank ceil(share * n) of a 32-bit integer column.
 
     Two counting passes over 16-bit halves: at most 65,536 counters per group,
-    whatever the number of rows. A NULL group is a group.
+    whatever the number of rows. The upper half that holds the rank is one row per
+    group, so it joins by broadcast within the checked bound. A NULL group is a group.
     """
     halves = df.select(
         F.col(by).alias("_g"),
@@ -72,15 +75,11 @@ def kth_smallest(
         F.ceil(F.lit(share) * F.sum("_w").over(in_group)).alias("_k"),
         _running(high, "_hi", "_w", ["_g"]).alias("_before"),
     ).filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_w")))
-    chosen = high.select(
-        F.col("_g").alias("_cg"),
-        F.col("_hi").alias("_chi"),
-        (F.col("_k") - F.col("_before")).alias("_k"),
-    )
+    place = (F.col("_k") - F.col("_before")).alias("_k")
+    chosen = high.select("_g", F.col("_hi").alias("_chi"), place)
     low = (
-        halves.join(
-            chosen, F.col("_g").eqNullSafe(F.col("_cg")) & (F.col("_hi") == F.col("_chi"))
-        )
+        attach(halves, chosen, ["_g"], "inner")
+        .filter(F.col("_hi") == F.col("_chi"))
         .groupBy("_g", "_hi", "_lo", "_k")
         .agg(F.count("*").alias("_w"))
     )
