@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgauge.llm import bpe, simhash
+from cellgauge.llm import bpe, phrase, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -37,3 +37,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return simhash.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark phrases in all documents."""
+    return phrase.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
