@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgauge.llm import bpe, phrase, simhash
+from cellgauge.llm import bpe, langid, phrase, simhash, stages
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -43,3 +43,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark phrases in all documents."""
     return phrase.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents."""
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return stages.run(spark, sf_dir)

@@ -328,3 +328,20 @@ def contamination(
     out = whole.select("id", "n_words", "spans").mapInArrow(_verdicts, schema)
     out = out.withColumnRenamed("id", id_col)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+    """Rows of `docs` that are not contaminated, with their own columns.
+
+    Rows are told by their ids; a row without an id is told by its text, so each row is
+    judged by what it holds.
+    """
+    bad = contamination(docs.select("doc_id", "text"), items, window).where("contaminated")
+    bad = written(bad.select("doc_id").distinct(), "contaminated")
+    kept = docs.where("doc_id is not null").join(bad, "doc_id", "left_anti")
+    nameless = docs.where("doc_id is null")
+    key = F.xxhash64("text")
+    judged = contamination(nameless.select(key.alias("doc_id"), "text"), items, window)
+    hit = written(judged.where("contaminated").select("doc_id").distinct(), "nameless")
+    marked = nameless.join(hit.select(F.col("doc_id").alias("_hit")), key == F.col("_hit"), "left_anti")
+    return kept.unionByName(marked.select(*docs.columns)).select(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cellgauge.llm.components import connected_components
 from cellgauge.llm.exchange import BLOCK_BYTES
-from cellgauge.llm.store import written
+from cellgauge.llm.store import free_name, written
 from cellgauge.llm.text import NOT_SPACE, blocks, buffers, one_array, spaced_words
 
 #: Runs of equal variants up to this length are compared by shifting whole columns.
@@ -50,8 +50,10 @@ def fingerprints_of(column: pa.Array, shingle: int, keep: np.ndarray) -> np.ndar
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """Add `fp`: a bit is set if it is set in over half of the hashes of a text's shingles.
+def with_fingerprints(
+    docs: DataFrame, text_col: str = "text", shingle: int = 4, name: str = "fp"
+) -> DataFrame:
+    """Add a column `name`: a bit is set if it is set in over half of the hashes of a text's shingles.
 
     Shingles are runs of `shingle` lower-cased words, repeats included; a text of fewer
     words is one shingle; null and wordless texts have fingerprint zero.
@@ -60,10 +62,10 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = pa.array(fingerprints_of(one_array(batch[text_col]), shingle, NOT_SPACE))
-            yield pa.RecordBatch.from_arrays([*batch.columns, fp], [*batch.schema.names, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, fp], [*batch.schema.names, name])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, "fp long"]))
+    return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` long"]))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -211,9 +213,11 @@ def kept_documents(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Data
     heads = written(heads.groupBy("id").count(), "heads")
     one = docs.join(heads.where("count = 1").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     many = docs.join(heads.where("count > 1").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    lost = with_fingerprints(docs.where("doc_id is null").withColumnsRenamed({"fp": "_fp"}), "text", shingle)
-    lost = lost.join(classes.where("component_id is null").select("fp", "component"), "fp")
-    lost = lost.dropDuplicates(["component"]).drop("fp", "component").withColumnsRenamed({"_fp": "fp"})
+    fp, part = free_name(docs, "fp"), free_name(docs, "part")
+    lost = with_fingerprints(docs.where("doc_id is null"), "text", shingle, fp)
+    unnamed = classes.where("component_id is null")
+    lost = lost.join(unnamed.select(F.col("fp").alias(fp), F.col("component").alias(part)), fp)
+    lost = lost.dropDuplicates([part])
     return one.unionByName(many.dropDuplicates(["doc_id"])).unionByName(lost.select(*docs.columns))
 
 
