@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgauge.llm import bpe, langid, phrase, simhash, stages
+from cellgauge.llm import bpe, chat, langid, lattice, phrase, shards, simhash, stages
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -55,3 +55,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     return stages.run(spark, sf_dir)
+
+
+@query("op1_chat_format", chat.ORACLE)
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as reply trees, formatted and read back."""
+    return chat.digests(table(spark, sf_dir, "conversations"))
+
+
+@query("op4_lattice_dedup")
+def op4_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_interleave")
+def op5_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents, in the mixture of their sources."""
+    return shards.digests(table(spark, sf_dir, "documents"))
