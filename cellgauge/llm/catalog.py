@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgauge.llm import bpe, chat, langid, lattice, phrase, shards, simhash, stages
+from cellgauge.llm import bpe, chat, langid, lattice, phrase, shards, simhash, stages, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -73,3 +73,9 @@ def op4_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of all documents, in the mixture of their sources."""
     return shards.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc_index", warc.ORACLE)
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, found through the capture index and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
