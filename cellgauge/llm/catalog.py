@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgauge.llm import bpe, chat, langid, lattice, phrase, shards, simhash, stages, warc
+from cellgauge.llm import bpe, chat, ctw, langid, lattice, phrase, repair, shards, simhash, stages, warc
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict = {}
@@ -79,3 +80,16 @@ def op5_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives, found through the capture index and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op6_context_tree")
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the context tree and under the word base."""
+    held = langid.remainder("doc_id", 5) == 1
+    return ctw.scores(table(spark, sf_dir, "documents"), held)
+
+
+@query("op8_repair")
+def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as grammars and read back."""
+    return repair.digests(table(spark, sf_dir, "documents"), TOKENIZER)

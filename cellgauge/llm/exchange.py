@@ -128,8 +128,12 @@ def resolve(
     work: Callable[[pa.Array, np.ndarray], pa.Array],
     value_type: str,
     tasks: int,
+    tally: Callable[[pa.Array, np.ndarray], list] | None = None,
 ) -> DataFrame:
-    """Work out each distinct key once: `work(keys, uses in all chunks)` gives their values."""
+    """Work out each distinct key once: `work(keys, uses in all chunks)` gives their values.
+
+    `tally` adds a row per task, of chunk -1, with figures of the task's distinct keys.
+    """
 
     def run(batches):
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -150,6 +154,12 @@ def resolve(
             }
         )
         yield from out.to_batches(max_chunksize=256)
+        if tally:
+            figures = pa.array([tally(flat.dictionary, total)], pa.list_(values.type))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([-1], pa.int64()), pa.array([[]], pa.list_(pa.int32())), figures],
+                ["chunk", "idx", "found"],
+            )
 
     schema = f"chunk long, idx array<int>, found array<{value_type}>"
     return rows.repartition(tasks, "bucket").mapInArrow(run, schema)
