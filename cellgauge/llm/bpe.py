@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgauge.llm import exchange as X
-from cellgauge.llm.store import written
+from cellgauge.llm.store import bucketed
 from cellgauge.llm.text import one_array, pretokens
 
 #: A vocabulary beyond this is no lookup table for every task.
@@ -65,6 +65,7 @@ def gather(lists: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encoded_chunk(left: pa.Table, right: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Document ids, token ids end to end and offsets of the documents of one chunk."""
+    X.lean_memory()
     row = left.slice(0, 1)
     ids = one_array(row["ids"]).flatten()
     counts = one_array(row["counts"]).flatten().to_numpy()
@@ -77,13 +78,13 @@ def encoded_chunk(left: pa.Table, right: pa.Table) -> tuple[pa.Array, np.ndarray
 
 def encode_chunks(docs: DataFrame, make: Callable[[], Encoder]) -> tuple[DataFrame, DataFrame]:
     """The chunk table of `docs` (id, text) and the ids of its words."""
-    chunks = written(X.word_chunks(docs, pretokens), "pretokens")
-    tasks, buckets = X.bucket_count(docs.sparkSession, X.total_keys(chunks))
+    chunks = bucketed(X.word_chunks(docs, pretokens), "pretokens", "chunk")
+    tasks = X.bucket_count(docs.sparkSession, X.total_keys(chunks))
 
     def work(words: pa.Array, _uses: np.ndarray) -> pa.Array:
         return make()(words)
 
-    words = X.resolve(X.explode_keys(chunks, buckets, "string"), work, "array<int>", tasks)
+    words = X.resolve(X.explode_keys(chunks, tasks), work, tasks)
     return chunks.select("chunk", "ids", "counts", "codes"), words
 
 
@@ -92,9 +93,12 @@ def encode(
     ranks: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """One row per row of `docs`: the id column and `ids`, the token ids of its whole text.
 
+    With a token-byte table the ids are decoded again in the same task (see `decode`).
+
     A null text counts as empty and has no ids; a null document id stays null; repeated
     rows stay repeated; no input rows give none. Other columns are not read, whatever
     their names.
@@ -102,11 +106,17 @@ def encode(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chunks, words = encode_chunks(rows, rank_encoder(ranks))
 
+    shared = None if table is None else shared_table(table)
+
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, tokens, at = encoded_chunk(left, right)
-        return pa.table({"id": ids, "ids": X.list_array(at, pa.array(tokens, pa.int32()))})
+        columns = {"id": ids, "ids": X.list_array(at, pa.array(tokens, pa.int32()))}
+        if shared is not None:
+            columns["decoded"] = decoded(columns["ids"], *shared.value)
+        return pa.table(columns)
 
-    return X.reassemble(chunks, words, join, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    schema = "id long, ids array<int>" + (", decoded binary" if shared is not None else "")
+    return X.reassemble(chunks, words, join, schema).withColumnRenamed("id", id_col)
 
 
 def token_bytes(spark: SparkSession, ranks: str) -> DataFrame:
@@ -115,50 +125,58 @@ def token_bytes(spark: SparkSession, ranks: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, bytes binary")
 
 
-def decode(encoded: DataFrame, table: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """Add `decoded`, the bytes of the ids, from a token-byte table (id, bytes).
-
-    The table is as large as a vocabulary, which is checked, so each task holds it and
-    looks all ids of a batch up at once. An id it lacks is an error. Null ids stay null.
-    """
+def shared_table(table: DataFrame):
+    """The token-byte table as a broadcast of lengths and bytes; its size is checked."""
     size = table.agg(F.sum(F.octet_length("bytes")), F.max("id")).first()
     if (size[0] or 0) + 8 * (size[1] or 0) > TABLE_BYTES:
         raise ValueError(f"a token table of {size[0]} bytes is no vocabulary")
     known = table.toArrow().sort_by("id")
-    numbers = known["id"].to_numpy()
     lengths = np.full((size[1] if size[1] is not None else -1) + 1, -1, dtype=np.int64)
-    lengths[numbers] = pc.binary_length(known["bytes"]).to_numpy()
+    lengths[known["id"].to_numpy()] = pc.binary_length(known["bytes"]).to_numpy()
     data = b"".join(known["bytes"].to_pylist())
-    shared = encoded.sparkSession.sparkContext.broadcast((lengths, data))
+    return table.sparkSession.sparkContext.broadcast((lengths, data))
+
+
+def decoded(column: pa.Array, lengths: np.ndarray, raw: bytes) -> pa.Array:
+    """Bytes of each list of ids; an id that the table lacks is an error."""
+    flat, held = np.frombuffer(raw, np.uint8), np.maximum(lengths, 0)
+    begins = np.cumsum(held) - held
+    ids = column.flatten().to_numpy()
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths)):
+        raise ValueError("an id is not in the token table")
+    took = lengths[ids]
+    if len(took) and took.min() < 0:
+        raise ValueError("an id is not in the token table")
+    at = np.append(0, np.cumsum(took, dtype=np.int64))
+    where = np.repeat(begins[ids] - at[:-1], took)
+    where += np.arange(at[-1])
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()))
+    buffers = [None, pa.py_buffer(at[ends]), pa.py_buffer(flat[where])]
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), buffers).cast(pa.binary())
+    return pc.if_else(column.is_valid(), out, pa.scalar(None, pa.binary()))
+
+
+def decode(encoded: DataFrame, table: DataFrame, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
+    """Add `name`, the bytes of the ids, from a token-byte table (id, bytes).
+
+    The table is as large as a vocabulary, which is checked, so each task holds it and
+    looks all ids of a batch up at once. An id it lacks is an error. Null ids stay null.
+    """
+    shared = shared_table(table)
 
     def run(batches):
-        lengths, raw = shared.value
-        flat = np.frombuffer(raw, np.uint8)
-        held = np.maximum(lengths, 0)
-        begins = np.cumsum(held) - held
+        X.lean_memory()
         for batch in batches:
-            column = batch[ids_col]
-            ids = column.flatten().to_numpy()
-            took = lengths[ids]
-            if len(took) and took.min() < 0:
-                raise ValueError("an id is not in the token table")
-            at = np.append(0, np.cumsum(took, dtype=np.int64))
-            where = np.repeat(begins[ids] - at[:-1], took)
-            where += np.arange(at[-1])
-            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()))
-            out = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(batch), [None, pa.py_buffer(at[ends]), pa.py_buffer(flat[where])]
-            ).cast(pa.binary())
-            out = pc.if_else(column.is_valid(), out, pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
+            out = decoded(batch[ids_col], *shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded binary")
+    return encoded.mapInArrow(run, f"{fields}, `{name}` binary")
 
 
 def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the decoded bytes."""
-    done = decode(encode(docs, ranks), token_bytes(docs.sparkSession, ranks))
+    done = encode(docs, ranks, table=token_bytes(docs.sparkSession, ranks))
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -6,13 +6,18 @@ shuffled is one row per chunk and key, however frequent the key is. `resolve` br
 keys of all chunks together, works each out once and returns the values per chunk;
 `reassemble` puts them back in the order of the texts.
 
-Rows are packed: one row of a chunk carries arrays of keys that share a bucket. A chunk is
-bounded in bytes (a longer text is a chunk of its own), a bucket by the number of buckets.
+Rows are packed: one row of a chunk carries the keys that share a bucket, as a compressed
+Arrow array. A chunk is bounded in bytes (a longer text is a chunk of its own), a bucket by
+the number of buckets. The chunk table is bucketed by chunk, so the values come to it and
+the positions are not shuffled.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,13 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgauge.llm.store import shuffle_partitions
-from cellgauge.llm.text import one_array
+from cellgauge.llm.text import blocks, buffers, one_array, string_array
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 BLOCK_BYTES = 2 << 20
 #: Keys a task of `resolve` holds at once, by which the number of buckets is chosen.
 TASK_KEYS = 1_500_000
-BUCKETS_PER_TASK = 4
 
 
 def chunk_id(sequence: int) -> int:
@@ -52,10 +56,67 @@ def unpack_codes(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
+@cache
+def lean_memory() -> None:
+    """Give large arrays back to the system when they are freed; Python workers live long."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, dtype: str, n: int) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).view(dtype).ravel()
+
+
+def pack(array: pa.Array) -> bytes:
+    """Strings, numbers or lists of 32-bit numbers, without nulls, as compressed bytes.
+
+    What follows the number of entries: the kind, sizes (of strings and lists), contents.
+    """
+    import zstandard
+
+    if pa.types.is_string(array.type):
+        data, at = buffers(array)
+        kind, sizes, held = "s", np.diff(at), data.tobytes()
+    elif pa.types.is_list(array.type):
+        kind, sizes = "l", pc.list_value_length(array).to_numpy()
+        held = _planes(array.flatten().to_numpy().astype("<i4"))
+    else:
+        values = array.to_numpy()
+        kind, sizes, held = values.dtype.str[1:], None, _planes(values)
+    head = b"" if sizes is None else _planes(sizes.astype("<u4"))
+    label = f"{kind} {len(array)} ".encode()
+    return label + zstandard.ZstdCompressor(level=1).compress(head + held)
+
+
+def unpack(data: bytes) -> pa.Array:
+    import zstandard
+
+    kind, n, rest = data.split(b" ", 2)
+    n, kind, raw = int(n), kind.decode(), zstandard.ZstdDecompressor().decompress(rest)
+    if kind not in "sl":
+        return pa.array(_from_planes(raw, "<" + kind, n))
+    at = np.append(0, np.cumsum(_from_planes(raw, "<u4", n), dtype=np.int64))
+    body = raw[4 * n :]
+    if kind == "s":
+        return string_array(np.frombuffer(body, np.uint8), at)
+    return list_array(at, pa.array(_from_planes(body, "<i4", int(at[-1]))))
+
+
+def unpack_all(column: pa.Array | pa.ChunkedArray) -> list[pa.Array]:
+    return [unpack(x) for x in one_array(column).to_pylist()]
+
+
 def doc_chunks(
     batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES
 ) -> Iterator[pa.Table]:
     """Regroup incoming batches (texts in column `text`) into tables of about `limit` bytes."""
+    lean_memory()
     held: list[pa.Table] = []
     size = 0
     for batch in batches:
@@ -85,50 +146,71 @@ def key_buckets(keys: pa.Array, buckets: int) -> np.ndarray:
 
 
 def bucket_rows(chunk: int, keys: pa.Array, uses: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """The keys of one chunk as one row per bucket."""
+    """The keys of one chunk as one row per bucket; `idx` tells their codes.
+
+    Codes and whole-number keys are kept as differences, which are small in sorted order.
+    """
     order = np.argsort(bucket, kind="stable")
     present, first = np.unique(bucket[order], return_index=True)
-    offsets = np.append(first, len(order))
+    sorted_keys = keys.take(pa.array(order))
+    rows = []
+    for a, b in zip(first, np.append(first[1:], len(order)), strict=True):
+        idx = np.diff(order[a:b], prepend=0).astype(np.int32)
+        held = sorted_keys.slice(a, b - a)
+        if pa.types.is_integer(held.type):
+            held = pa.array(np.diff(held.to_numpy(), prepend=0))
+        rows.append((pack(pa.array(idx)), pack(held), pack(pa.array(uses[order[a:b]], pa.int64()))))
+    packed = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.binary())] * 3
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(present, pa.int32()),
-            pa.array(np.full(len(present), chunk), pa.int64()),
-            list_array(offsets, pa.array(order, pa.int32())),
-            list_array(offsets, keys.take(pa.array(order))),
-            list_array(offsets, pa.array(uses[order], pa.int64())),
-        ],
+        [pa.array(present, pa.int32()), pa.array(np.full(len(present), chunk), pa.int64()), *packed],
         ["bucket", "chunk", "idx", "keys", "uses"],
     )
 
 
-def bucket_count(spark, keys: int) -> tuple[int, int]:
-    """Tasks and buckets for so many (chunk, key) entries: a task holds a bounded number."""
-    tasks = max(shuffle_partitions(spark), -(-keys // TASK_KEYS))
-    return tasks, BUCKETS_PER_TASK * tasks
+BUCKET_SCHEMA = "bucket int, chunk long, idx binary, keys binary, uses binary"
+
+
+def unpack_keys(column: pa.Array | pa.ChunkedArray) -> list[pa.Array]:
+    return [
+        pa.array(np.cumsum(x.to_numpy())) if pa.types.is_integer(x.type) else x for x in unpack_all(column)
+    ]
 
 
-def explode_keys(chunks: DataFrame, buckets: int, key_type: str) -> DataFrame:
-    """(chunk, words, uses) to rows per bucket."""
+def bucket_count(spark, keys: int) -> int:
+    """Buckets, a task each, for so many (chunk, key) entries: a task holds a bounded number."""
+    return max(shuffle_partitions(spark), -(-keys // TASK_KEYS))
+
+
+def explode_keys(
+    chunks: DataFrame,
+    buckets: int,
+    keys: str = "words",
+    uses: str = "uses",
+    hashed: Callable[[pa.Array], pa.Array] = lambda keys: keys,
+) -> DataFrame:
+    """Distinct keys of each chunk to rows per bucket; `hashed` is what a bucket goes by."""
 
     def run(batches):
+        lean_memory()
         for batch in batches:
             for i in range(len(batch)):
-                chunk = batch["chunk"][i].as_py()
-                keys = batch["words"].slice(i, 1).flatten()
-                uses = batch["uses"].slice(i, 1).flatten().to_numpy()
-                if len(keys):
-                    yield bucket_rows(chunk, keys, uses, key_buckets(keys, buckets))
+                held, n = unpack(batch[1][i].as_py()), unpack(batch[2][i].as_py()).to_numpy()
+                if len(held):
+                    yield bucket_rows(batch[0][i].as_py(), held, n, key_buckets(hashed(held), buckets))
+
+    return chunks.select("chunk", keys, uses).mapInArrow(run, BUCKET_SCHEMA)
 
-    schema = f"bucket int, chunk long, idx array<int>, keys array<{key_type}>, uses array<long>"
-    return chunks.select("chunk", "words", "uses").mapInArrow(run, schema)
+
+def dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """One task per bucket."""
+    return rows.repartitionById(tasks, F.col("bucket"))
 
 
 def resolve(
     rows: DataFrame,
     work: Callable[[pa.Array, np.ndarray], pa.Array],
-    value_type: str,
     tasks: int,
-    tally: Callable[[pa.Array, np.ndarray], list] | None = None,
+    tally: Callable[[pa.Array, np.ndarray], list[int]] | None = None,
 ) -> DataFrame:
     """Work out each distinct key once: `work(keys, uses in all chunks)` gives their values.
 
@@ -136,39 +218,39 @@ def resolve(
     """
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not len(table):
+        lean_memory()
+        batches = [b for b in batches if len(b)]
+        if not batches:
             return
-        keys = one_array(table["keys"])
-        flat = one_array(keys.flatten()).dictionary_encode()
-        codes = flat.indices.to_numpy()
-        uses = one_array(table["uses"]).flatten().to_numpy()
-        total = np.bincount(codes, weights=uses, minlength=len(flat.dictionary)).astype(np.int64)
-        values = work(flat.dictionary, total).take(flat.indices)
-        sizes = pc.list_value_length(keys).to_numpy()
-        out = pa.table(
-            {
-                "chunk": table["chunk"],
-                "idx": table["idx"],
-                "found": list_array(np.append(0, np.cumsum(sizes)), values),
-            }
-        )
-        yield from out.to_batches(max_chunksize=256)
+        table = pa.Table.from_batches(batches)
+        held = unpack_keys(table["keys"])
+        flat = pa.concat_arrays(held).dictionary_encode()
+        uses = pa.concat_arrays(unpack_all(table["uses"])).to_numpy()
+        total = np.bincount(flat.indices.to_numpy(), weights=uses, minlength=len(flat.dictionary)).astype(np.int64)
+        values = work(flat.dictionary, total)
+        ends = np.cumsum([len(x) for x in held])
+        chunk, idx = one_array(table["chunk"]), one_array(table["idx"])
+        for i, (size, end) in enumerate(zip(map(len, held), ends, strict=True)):
+            found = pack(values.take(flat.indices.slice(end - size, size)))
+            yield _found(chunk.slice(i, 1), idx.slice(i, 1), found, None)
         if tally:
-            figures = pa.array([tally(flat.dictionary, total)], pa.list_(values.type))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1], pa.int64()), pa.array([[]], pa.list_(pa.int32())), figures],
-                ["chunk", "idx", "found"],
-            )
+            yield _found(pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), b"", tally(flat.dictionary, total))
+
+    schema = "chunk long, idx binary, found binary, figures array<long>"
+    return dealt(rows, tasks).mapInArrow(run, schema)
 
-    schema = f"chunk long, idx array<int>, found array<{value_type}>"
-    return rows.repartition(tasks, "bucket").mapInArrow(run, schema)
+
+def _found(chunk: pa.Array, idx: pa.Array, found: bytes, figures: list[int] | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [chunk, idx, pa.array([found], pa.binary()), pa.array([figures], pa.list_(pa.int64()))],
+        ["chunk", "idx", "found", "figures"],
+    )
 
 
 def by_code(resolved: pa.Table) -> pa.Array:
     """Values of one chunk in the order of its codes."""
-    idx = one_array(one_array(resolved["idx"]).flatten()).to_numpy()
-    values = one_array(one_array(resolved["found"]).flatten())
+    idx = np.concatenate([np.cumsum(x.to_numpy(), dtype=np.int64) for x in unpack_all(resolved["idx"])])
+    values = pa.concat_arrays(unpack_all(resolved["found"]))
     back = np.empty(len(idx), dtype=np.int64)
     back[idx] = np.arange(len(idx))
     return values.take(pa.array(back))
@@ -187,8 +269,6 @@ def word_chunks(
     limit: int = CHUNK_BYTES,
 ) -> DataFrame:
     """One row per chunk of `docs` (id, text): ids, keys per text, codes, distinct keys, uses."""
-    from cellgauge.llm.text import blocks, buffers, string_array
-
     def run(batches):
         for sequence, table in enumerate(doc_chunks(batches, limit)):
             texts = one_array(table["text"])
@@ -207,8 +287,8 @@ def word_chunks(
                     list_array(np.array([0, len(table)]), one_array(table["id"])),
                     list_array(np.array([0, len(table)]), pa.array(np.concatenate(counts), pa.int32())),
                     pa.array([pack_codes(codes)], pa.binary()),
-                    list_array(np.array([0, len(words)]), words),
-                    list_array(np.array([0, len(words)]), pa.array(uses, pa.int64())),
+                    pa.array([pack(words)], pa.binary()),
+                    pa.array([pack(pa.array(uses, pa.int64()))], pa.binary()),
                     pa.array([len(words)], pa.int64()),
                 ],
                 ["chunk", "ids", "counts", "codes", "words", "uses", "n_words"],
@@ -216,7 +296,7 @@ def word_chunks(
 
     schema = (
         "chunk long, ids array<long>, counts array<int>, codes binary, "
-        "words array<string>, uses array<long>, n_words long"
+        "words binary, uses binary, n_words long"
     )
     return docs.mapInArrow(run, schema)
 

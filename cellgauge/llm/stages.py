@@ -32,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, which decode to its text again, and their digests."""
-    done = bpe.decode(bpe.encode(docs, RANKS), bpe.token_bytes(spark, RANKS))
+    done = bpe.encode(docs, RANKS, table=bpe.token_bytes(spark, RANKS))
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -41,6 +41,21 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write a table bucketed by a key: a later grouping by it does not shuffle this side.
+
+    The catalog entry is only needed to plan the reading, and dropped again; the files
+    stay in the shared folder.
+    """
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(shuffle_partitions(spark), key).option("compression", "zstd")
+    writer.option("path", new_path(spark, name)).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
