@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgauge.llm import exchange as X
-from cellgauge.llm.store import written
+from cellgauge.llm.store import bucketed, written
 from cellgauge.llm.text import LOWER, NOT_SPACE, blocks, buffers, byte_words, one_array, string_array
 
 DEPTH = 5
@@ -45,7 +45,7 @@ def byte_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     doc = np.repeat(np.arange(texts), sizes)
     stream = np.full(len(data) + texts * (DEPTH + 1), EDGE, dtype=np.uint8)
     stream[np.arange(len(data)) + doc * (DEPTH + 1) + DEPTH] = LOWER[data]
-    owner = np.repeat(np.arange(texts), sizes + 1)
+    owner = np.repeat(np.arange(texts, dtype=np.int32), sizes + 1)
     at = np.arange(len(owner)) + (owner + 1) * DEPTH
     wide = np.zeros(len(stream), dtype=np.uint64)
     for back in range(1, DEPTH + 1):
@@ -55,15 +55,24 @@ def byte_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def chunk_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    keys, owners, base = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    keys, owners, base = [np.empty(0, np.int64)], [np.empty(0, np.int32)], 0
     for begin, end in blocks(texts, X.BLOCK_BYTES):
         k, owner = byte_grams(*buffers(texts.slice(begin, end - begin)))
         keys.append(k)
-        owners.append(owner + base)
+        owners.append(owner + np.int32(base))
         base += end - begin
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def coded_grams(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams in ascending order, and the distinct ones."""
+    code, names = pd.factorize(keys)
+    order = np.argsort(names)
+    rank = np.empty(len(names), dtype=np.int32)
+    rank[order] = np.arange(len(names), dtype=np.int32)
+    return rank[code], names[order]
+
+
 def lgamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function of positive numbers, by Stirling's series from x + 8."""
     shift = np.zeros(len(x))
@@ -184,7 +193,7 @@ def log10_probabilities(grams: np.ndarray, top: list[Level], tree: list[list[Lev
 
 CHUNK_SCHEMA = (
     "chunk long, ids array<long>, held array<boolean>, counts array<int>, codes binary, sizes array<int>, "
-    "raw binary, words array<string>, uses array<long>, grams array<long>, gram_uses array<long>, "
+    "raw binary, words binary, uses binary, grams binary, gram_uses binary, "
     "n_words long, n_grams long, train long"
 )
 
@@ -206,7 +215,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = coded.chunk(coded.num_chunks - 1).dictionary
         uses = np.bincount(codes, weights=np.repeat(train, counts), minlength=len(words))
         keys, owner = chunk_grams(texts)
-        gram_codes, grams = pd.factorize(keys)
+        gram_codes, grams = coded_grams(keys)
         gram_uses = np.bincount(gram_codes, weights=train[owner], minlength=len(grams))
         data, offsets = buffers(texts)
         whole = lambda a: X.list_array(np.array([0, len(a)]), a)
@@ -219,10 +228,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([X.pack_codes(codes)], pa.binary()),
                 whole(pa.array(np.diff(offsets), pa.int32())),
                 pa.array([zstandard.ZstdCompressor(level=1).compress(data.tobytes())], pa.binary()),
-                whole(words),
-                whole(pa.array(uses.astype(np.int64))),
-                whole(pa.array(grams)),
-                whole(pa.array(gram_uses.astype(np.int64))),
+                *(
+                    pa.array([X.pack(a)], pa.binary())
+                    for a in (
+                        words,
+                        pa.array(uses.astype(np.int64)),
+                        pa.array(grams),
+                        pa.array(gram_uses.astype(np.int64)),
+                    )
+                ),
                 pa.array([len(words)], pa.int64()),
                 pa.array([len(grams)], pa.int64()),
                 pa.array([int(train.sum())], pa.int64()),
@@ -231,27 +245,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _gram_rows(buckets: int):
-    """Distinct n-grams of a chunk, by the last two bytes of their context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                grams = batch["grams"].slice(i, 1).flatten()
-                uses = batch["gram_uses"].slice(i, 1).flatten().to_numpy()
-                last = pa.array(grams.to_numpy() >> (8 * (DEPTH + 1 - TOP)))
-                if len(grams):
-                    yield X.bucket_rows(batch["chunk"][i].as_py(), grams, uses, X.key_buckets(last, buckets))
-
-    return run
+def _last_bytes(grams: pa.Array) -> pa.Array:
+    """The last two bytes of the context, by which n-grams are dealt out."""
+    return pa.array(grams.to_numpy() >> (8 * (DEPTH + 1 - TOP)))
 
 
 def _train_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    X.lean_memory()
     held = [b for b in batches if len(b)]
     if held:
         table = pa.Table.from_batches(held)
-        grams = one_array(one_array(table["keys"]).flatten()).to_numpy()
-        uses = one_array(one_array(table["uses"]).flatten()).to_numpy()
+        grams = pa.concat_arrays(X.unpack_keys(table["keys"])).to_numpy()
+        uses = pa.concat_arrays(X.unpack_all(table["uses"])).to_numpy()
         names, counts = _sum_by(grams, uses)
         yield top_rows(names[counts > 0], counts[counts > 0])
 
@@ -268,27 +273,25 @@ def scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
         F.col(text_col).alias("text"),
         F.coalesce(held, F.lit(False)).alias("held"),
     )
-    chunks = written(rows.mapInArrow(_chunks, CHUNK_SCHEMA), "ctw")
+    chunks = bucketed(rows.mapInArrow(_chunks, CHUNK_SCHEMA), "ctw", "chunk")
     spark = docs.sparkSession
     sums = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_grams", "train"))).first()
 
-    tasks, buckets = X.bucket_count(spark, sums[0])
+    tasks = X.bucket_count(spark, sums[0])
     words = X.resolve(
-        X.explode_keys(chunks, buckets, "string"),
-        lambda _keys, uses: pa.array(uses.astype(np.float64)),
-        "double",
+        X.explode_keys(chunks, tasks),
+        lambda _keys, uses: pa.array(uses),
         tasks,
-        tally=lambda _keys, uses: [float(uses.sum()), float((uses > 0).sum())],
+        tally=lambda _keys, uses: [int(uses.sum()), int((uses > 0).sum())],
     )
     words = written(words, "ctw-words")
-    known = words.where("chunk = -1").agg(F.sum(F.col("found")[0]), F.sum(F.col("found")[1])).first()
+    known = words.where("chunk = -1").agg(F.sum(F.col("figures")[0]), F.sum(F.col("figures")[1])).first()
     ends = sums[2]
     total, distinct = int(known[0] or 0) + ends, int(known[1] or 0) + (ends > 0)
 
-    tasks, buckets = X.bucket_count(spark, sums[1])
-    schema = "bucket int, chunk long, idx array<int>, keys array<long>, uses array<long>"
-    packed = chunks.select("chunk", "grams", "gram_uses").mapInArrow(_gram_rows(buckets), schema)
-    top = packed.repartition(tasks, "bucket").mapInArrow(
+    tasks = X.bucket_count(spark, sums[1])
+    packed = X.explode_keys(chunks, tasks, "grams", "gram_uses", _last_bytes)
+    top = X.dealt(packed, tasks).mapInArrow(
         _train_top, "node long, zeros double, ones double, mixed double"
     )
     # At most 256 contexts of 255 decisions: bounded, whatever the corpus.
@@ -298,9 +301,10 @@ def scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
     def predict(keys: pa.Array, uses: np.ndarray) -> pa.Array:
         grams = keys.to_numpy()
         tree = subtrees(grams[uses > 0], uses[uses > 0].astype(np.float64))
-        return pa.array(log10_probabilities(grams, shared.value, tree))
+        # Single precision is what a sum over a text needs, at half the shuffle.
+        return pa.array(log10_probabilities(grams, shared.value, tree).astype(np.float32))
 
-    grams = X.resolve(packed, predict, "double", tasks)
+    grams = X.resolve(packed, predict, tasks)
     found = words.where("chunk >= 0").withColumn("kind", F.lit(0)).unionByName(grams.withColumn("kind", F.lit(1)))
     unit = float(np.log10(total + 0.5 * (distinct + 1)))
     end_score = float(np.log10(ends + 0.5)) - unit
@@ -308,6 +312,7 @@ def scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
+        X.lean_memory()
         row = {c: one_array(left[c]).flatten() for c in ("ids", "held", "counts", "sizes")}
         kinds = right["kind"].to_numpy()
         counts, sizes = (row[c].to_numpy().astype(np.int64) for c in ("counts", "sizes"))
@@ -324,7 +329,7 @@ def scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
         texts = string_array(np.frombuffer(raw, np.uint8), offsets)
         keys, owner = chunk_grams(texts)
         values = X.by_code(right.filter(pa.array(kinds == 1))).to_numpy()
-        score = np.bincount(owner, weights=values[pd.factorize(keys)[0]], minlength=docs)
+        score = np.bincount(owner, weights=values[coded_grams(keys)[0]].astype(np.float64), minlength=docs)
         return pa.table(
             {
                 "id": row["ids"],
