@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from cellgauge.llm import exchange as X
 from cellgauge.llm.bpe import Encoder, encoded_chunk, gather
-from cellgauge.llm.store import shuffle_partitions, written
+from cellgauge.llm.store import bucketed, shuffle_partitions, written
 from cellgauge.llm.text import one_array, pretokens
 
 #: Rounds of replacement, new rules per round, and the least uses of a new rule.
 ROUNDS = 4
 RULES = 1024
 LEAST = 16
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 FILE_SCHEMA = (
     "shard long, ids array<long>, lengths array<int>, starts array<int>, first_rule int, "
@@ -180,12 +180,10 @@ def write_files(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id")
-    chunks = written(X.word_chunks(ordered, pretokens, SHARD_BYTES), "shard-words")
-    tasks, buckets = X.bucket_count(spark, X.total_keys(chunks))
+    chunks = bucketed(X.word_chunks(ordered, pretokens, SHARD_BYTES), "shard-words", "chunk")
+    tasks = X.bucket_count(spark, X.total_keys(chunks))
     make = json_encoder(tokenizer)
-    words = X.resolve(
-        X.explode_keys(chunks, buckets, "string"), lambda keys, _uses: make()(keys), "array<int>", tasks
-    )
+    words = X.resolve(X.explode_keys(chunks, tasks), lambda keys, _uses: make()(keys), tasks)
     texts = chunks.select("chunk", "ids", "counts", "codes")
     files = X.reassemble(texts, words, lambda a, b: _file_row(a, b, end_id), FILE_SCHEMA)
     return written(files, "grammars", path)
