@@ -20,8 +20,10 @@ from cellgauge.plans.vertical import MODEL_TYPES, run_vertical
 from cellgauge.sources import schema as S
 from cellgauge.sources.network import observations
 
-SMALL = M.ForestSettings(trees=20, depth=5)
-JOB = JobConfig(trees=20, depth=5)
+# The settings a user gets, with fixed training partitions, so that a forest is repeatable.
+LAYOUT = 8
+FOREST = M.ForestSettings(layout=LAYOUT)
+JOB = JobConfig(layout=LAYOUT)
 
 
 def prepared(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -38,29 +40,29 @@ def evaluated(model, spark, sf_dir) -> DataFrame:
 @query("rf_predictions")
 def rf_predictions(spark, sf_dir):
     rows, train, _ = prepared(spark, sf_dir)
-    model = M.monolithic_model(SMALL).train(train)
+    model = M.monolithic_model(FOREST).train(train)
     return model.predict(rows).select(S.KEY, SPLIT, S.LATENCY, "prediction")
 
 
 @query("model_infrastructure")
 def model_infrastructure(spark, sf_dir):
-    return evaluated(M.infrastructure_model(SMALL), spark, sf_dir)
+    return evaluated(M.infrastructure_model(FOREST), spark, sf_dir)
 
 
 @query("model_user_behavior")
 def model_user_behavior(spark, sf_dir):
-    return evaluated(M.user_behavior_model(SMALL), spark, sf_dir)
+    return evaluated(M.user_behavior_model(FOREST), spark, sf_dir)
 
 
 @query("model_monolithic")
 def model_monolithic(spark, sf_dir):
-    return evaluated(M.monolithic_model(SMALL), spark, sf_dir)
+    return evaluated(M.monolithic_model(FOREST), spark, sf_dir)
 
 
 @query("model_geographic")
 def model_geographic(spark, sf_dir):
     _, train, test = prepared(spark, sf_dir)
-    models = M.train_segments(train, SMALL)
+    models = M.train_segments(train, FOREST)
     names = [m.name for m in models.values()]
     return model_metrics(M.route(test, models), {n: n for n in names}, S.LATENCY)
 
@@ -68,19 +70,23 @@ def model_geographic(spark, sf_dir):
 @query("model_fusion")
 def model_fusion(spark, sf_dir):
     _, train, test = prepared(spark, sf_dir)
-    return FusionModel(settings=SMALL).train(train).compare(test)
+    return FusionModel(settings=FOREST).train(train).compare(test)
 
 
 @query("model_fusion_meta")
 def model_fusion_meta(spark, sf_dir):
     _, train, test = prepared(spark, sf_dir)
-    return FusionModel(META, SMALL).train(train).compare(test)
+    return FusionModel(META, FOREST).train(train).compare(test)
 
 
 @query("model_cross_validation")
 def model_cross_validation(spark, sf_dir):
     _, train, _ = prepared(spark, sf_dir)
-    makers = {"infrastructure_model": lambda: M.infrastructure_model(SMALL)}
+    makers = {
+        "infrastructure_model": lambda: M.infrastructure_model(FOREST),
+        "user_behavior_model": lambda: M.user_behavior_model(FOREST),
+        "monolithic_model": lambda: M.monolithic_model(FOREST),
+    }
     return M.cross_validate(train, makers, k=5)
 
 
@@ -88,8 +94,8 @@ def model_cross_validation(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     _, train, _ = prepared(spark, sf_dir)
     fitted = [
-        M.infrastructure_model(SMALL).train(train),
-        M.monolithic_model(SMALL).train(train),
+        M.infrastructure_model(FOREST).train(train),
+        M.monolithic_model(FOREST).train(train),
     ]
     return reduce(DataFrame.unionByName, [m.feature_importance(train, top=3) for m in fitted])
 
@@ -98,9 +104,9 @@ def feature_importance(spark, sf_dir):
 def score_vertical(spark, sf_dir):
     rows, train, _ = prepared(spark, sf_dir)
     fitted = {
-        "infrastructure_model": M.infrastructure_model(SMALL).train(train),
-        "user_behavior_model": M.user_behavior_model(SMALL).train(train),
-        "monolithic_model": M.monolithic_model(SMALL).train(train),
+        "infrastructure_model": M.infrastructure_model(FOREST).train(train),
+        "user_behavior_model": M.user_behavior_model(FOREST).train(train),
+        "monolithic_model": M.monolithic_model(FOREST).train(train),
     }
     return M.score_vertical(rows, fitted).select(S.KEY, S.LATENCY, *fitted)
 
@@ -108,8 +114,8 @@ def score_vertical(spark, sf_dir):
 @query("score_horizontal")
 def score_horizontal(spark, sf_dir):
     rows, train, _ = prepared(spark, sf_dir)
-    models = M.train_segments(train, SMALL)
-    overall = M.monolithic_model(SMALL).train(train)
+    models = M.train_segments(train, FOREST)
+    overall = M.monolithic_model(FOREST).train(train)
     scored = M.score_horizontal(rows, overall, models)
     return scored.select(
         S.KEY, S.LOCATION, S.LATENCY, "global_model", *[m.name for m in models.values()]

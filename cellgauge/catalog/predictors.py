@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cellgauge.catalog.sqltext import FOLDS
 from cellgauge.functions import texts
 from cellgauge.functions.joins import attach
+from cellgauge.operators.clean import preprocess
 from cellgauge.operators.evaluate import fold_mse
 from cellgauge.operators.fusion import (
     fusion_weights,
@@ -27,7 +28,7 @@ from cellgauge.operators.fusion import (
 from cellgauge.operators.models import with_folds
 from cellgauge.operators.partition import SEGMENT, SPLIT, TRAIN, location_heuristic, train_test_split
 from cellgauge.sources import schema as S
-from cellgauge.sources.network import network
+from cellgauge.sources.network import observations
 from cellgauge.sources.tables import cached
 
 A, B, M = "infrastructure_model", "user_behavior_model", "monolithic_model"
@@ -35,9 +36,8 @@ FEATURE = {A: S.TRAFFIC, B: S.USERS}
 
 
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete rows with target, segment, split and fold; fits and scoring read them again."""
-    df = network(spark, sf_dir).dropna(subset=[S.LATENCY, S.TRAFFIC, S.USERS])
-    df = df.fillna(texts.UNKNOWN, [S.DEVICE, S.LOCATION])
+    """Cleaned rows with segment, split and fold: all rows that have a target."""
+    df = preprocess(observations(spark, sf_dir))
     located = location_heuristic(df.withColumn("_given", F.col(S.LOCATION)))
     df = located.withColumnsRenamed({S.LOCATION: SEGMENT, "_given": S.LOCATION})
     rows = with_folds(train_test_split(df), FOLDS).withColumnRenamed(S.LATENCY, "y")

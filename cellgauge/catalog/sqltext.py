@@ -135,12 +135,9 @@ def _fold_regressions() -> str:
 
 BASE = f"""base AS (
   SELECT tower_id, latency AS y, network_traffic AS x1, CAST(user_count AS DOUBLE) AS x2,
-         coalesce(device_type, 'Unknown') AS device_type,
-         coalesce(location_type, 'Unknown') AS location_type,
-         {LOCATED} AS segment, {SPLIT} AS split,
+         device_type, location_type, {LOCATED} AS segment, {SPLIT} AS split,
          CAST({hash32(7)} % {FOLDS} AS INTEGER) AS fold
-  FROM network
-  WHERE latency IS NOT NULL AND network_traffic IS NOT NULL AND user_count IS NOT NULL
+  FROM cleaned
 ), fits AS (
   SELECT {_regression("a", "x1", "TRUE")}, {_regression("b", "x2", "TRUE")},
          {_regression("u", "x1", "segment = 'Urban'")},
@@ -269,8 +266,8 @@ RAW = (NETWORK,)
 CLEANED = (NETWORK, CLEAN)
 LOCATED_ROWS = (NETWORK, CLEAN, LOCATED_CLEAN)
 STRATIFIED_ROWS = (NETWORK, CLEAN, LOCATED_CLEAN, STRATIFIED)
-SINGLE = (NETWORK, BASE)
-FOLD_SCORES = (NETWORK, BASE, FOLD_MSE)
-FUSED = (NETWORK, BASE, FOLD_MSE, WEIGHTS, META, SCORED)
+SINGLE = (NETWORK, CLEAN, BASE)
+FOLD_SCORES = (NETWORK, CLEAN, BASE, FOLD_MSE)
+FUSED = (NETWORK, CLEAN, BASE, FOLD_MSE, WEIGHTS, META, SCORED)
 TESTED = (*FUSED, METRICS)
-HORIZONTAL = (NETWORK, BASE, SUBSETS)
+HORIZONTAL = (NETWORK, CLEAN, BASE, SUBSETS)

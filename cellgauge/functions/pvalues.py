@@ -8,24 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 
-NORMAL_FROM = 1_000_000
-
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
 def student_two_sided(t: float, df: float) -> float:
-    """Tail of Student's t through the incomplete beta function.
-
-    From a million degrees of freedom on the normal tail is the same to 1e-6.
-    """
+    """Tail of Student's t through the incomplete beta function."""
     if math.isnan(t) or df <= 0:
         return math.nan
     if math.isinf(t):
         return 0.0
-    if df >= NORMAL_FROM:
-        return normal_two_sided(t)
     return _incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
@@ -38,7 +31,7 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     front += math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
     # Continued fraction, evaluated from the far end: no start value is needed.
     tail = 1.0
-    for m in range(500, 0, -1):
+    for m in range(500 + int(4 * math.sqrt(a + b)), 0, -1):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
         tail = 1 + odd / (1 + even / tail)

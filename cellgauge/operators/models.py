@@ -192,7 +192,7 @@ def train_segments(
             continue
         models[segment] = geographic_model(segment, settings, min_rows).train(df)
     if not models:
-        raise ValueError("No geographical models could be trained due to insufficient data")
+        raise ValueError("no segment has enough rows for a model")
     return models
 
 

@@ -74,7 +74,10 @@ def distribution(df: DataFrame, by: Sequence[str], within: Sequence[str] = ()) -
     on the aggregated rows.
     """
     counts = df.groupBy(*by).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*(within or [F.lit(0)])))
+    if within:
+        total = F.sum("n").over(Window.partitionBy(*within))
+    else:
+        total = df.select(F.count("*")).scalar()
     return counts.withColumn("percentage", F.round(F.col("n") / total * 100, 2))
 
 

@@ -167,7 +167,7 @@ def check_model_input(
     if row["n"] == 0:
         raise ValueError("Input is empty")
     if row["n"] < min_rows:
-        raise ValueError(f"Insufficient samples: {row['n']}, minimum required: {min_rows}")
+        raise ValueError(f"too few rows: {row['n']} of at least {min_rows}")
     missing = [c for c in columns if row[c] > 0]
     if missing:
         raise ValueError(f"Missing values in: {missing}")

@@ -43,8 +43,8 @@ def run_horizontal(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
     checks = frozen(horizontal_check(rows, rows))
     if not checks.first()["is_valid"]:
         if config.strict:
-            raise ValueError("Geographical split validation failed")
-        log.warning("Geographical split validation failed: see table split_check")
+            raise ValueError("segments and split do not add up")
+        log.warning("segments and split do not add up: see table split_check")
 
     train = rows.filter(F.col(SPLIT) == TRAIN)
     segments = train_segments(train, config.forest)

@@ -81,8 +81,8 @@ def require_rows(df: DataFrame) -> None:
         F.count_if(F.col(SPLIT) == TEST).alias("test"),
     ).first()
     if row["n"] < MIN_PROCESSED_ROWS:
-        raise ValueError(f"Insufficient data after preprocessing: {row['n']} rows")
+        raise ValueError(f"too few cleaned rows: {row['n']}")
     if row["train"] < MIN_TRAIN_ROWS:
-        raise ValueError(f"Insufficient training data: {row['train']} samples")
+        raise ValueError(f"too few training rows: {row['train']}")
     if row["test"] < MIN_TEST_ROWS:
-        raise ValueError(f"Insufficient testing data: {row['test']} samples")
+        raise ValueError(f"too few test rows: {row['test']}")

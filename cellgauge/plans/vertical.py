@@ -42,7 +42,7 @@ def run_vertical(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
     infra, user = vertical_split(rows)
     split_check = frozen(vertical_check(infra, user))
     if not split_check.first()["is_valid"]:
-        raise ValueError("Vertical split validation failed")
+        raise ValueError("the column groups do not hold the same keys")
 
     train = rows.filter(F.col(SPLIT) == TRAIN)
     fusion = FusionModel(config.strategy, config.forest).train(train)

@@ -83,9 +83,9 @@ def test_small_segments_are_skipped(train):
         train.filter(F.col(S.LOCATION) == "Rural").limit(3)
     )
     assert list(M.train_segments(urban, TINY)) == ["Urban"]
-    with pytest.raises(ValueError, match="No geographical models"):
+    with pytest.raises(ValueError, match="no segment has enough rows"):
         M.train_segments(urban, TINY, ["Rural"])
-    with pytest.raises(ValueError, match="Insufficient"):
+    with pytest.raises(ValueError, match="too few"):
         M.rural_model(TINY).train(urban)
 
 
@@ -137,7 +137,7 @@ def test_job_guards(towers):
     with pytest.raises(S.MissingColumnsError):
         run_vertical(towers().drop(S.DEVICE), JOB)
     few = towers(*[(f"T{i}", -70.0, 1.0, 5.0, 3, "Mobile", "Urban") for i in range(4)])
-    with pytest.raises(ValueError, match="Insufficient data"):
+    with pytest.raises(ValueError, match="too few cleaned rows"):
         run_vertical(few, JOB)
 
 

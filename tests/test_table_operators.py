@@ -58,7 +58,7 @@ def test_warnings_keep_a_table_valid(towers):
 def test_model_input_check(towers):
     with pytest.raises(ValueError, match="empty"):
         validate.check_model_input(towers(), [S.SIGNAL])
-    with pytest.raises(ValueError, match="Insufficient"):
+    with pytest.raises(ValueError, match="too few"):
         validate.check_model_input(towers(row()), [S.SIGNAL], min_rows=5)
     with pytest.raises(ValueError, match="signal"):
         validate.check_model_input(towers(row(signal=None)), [S.SIGNAL])
