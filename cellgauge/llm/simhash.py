@@ -211,7 +211,9 @@ def kept_documents(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Data
     marked, classes = _classes(docs, "doc_id", "text", shingle, distance)
     heads = marked.join(classes.where("component_id is not null"), "fp").where("id = component_id")
     heads = written(heads.groupBy("id").count(), "heads")
-    one = docs.join(heads.where("count = 1").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    # The kept ids grow with the documents: they meet them by a merge join at every size.
+    keep = heads.withColumnRenamed("id", "doc_id").hint("merge")
+    one = docs.join(keep.where("count = 1"), "doc_id", "left_semi")
     many = docs.join(heads.where("count > 1").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     fp, part = free_name(docs, "fp"), free_name(docs, "part")
     lost = with_fingerprints(docs.where("doc_id is null"), "text", shingle, fp)
