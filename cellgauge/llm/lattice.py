@@ -9,7 +9,7 @@ class before that, so copies are never paired.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 from itertools import combinations, product
 
@@ -29,19 +29,25 @@ SHORT_CELL = 32
 
 @dataclass(frozen=True)
 class Lattice:
-    """Parameters: tables, probed neighbours, size of a cell, seed of the projections."""
+    """Parameters: tables, probed neighbours, size of a cell, seed of the projections.
+
+    The size of a cell is in units of the usual distance that a pair at the threshold
+    `least` keeps in a projection, which depends on the vectors' width.
+    """
 
     tables: int = 4
     probes: int = 6
-    cell: float = 0.2
+    cell: float = 2.0
     seed: int = 42
+    least: float = 0.93
 
 
 @cache
 def projection(lattice: Lattice, table: int, width: int) -> np.ndarray:
     """Eight random directions of one table, orthonormal where the width allows."""
     drawn = np.random.default_rng([lattice.seed, table, width]).standard_normal((max(width, 8), 8))
-    return np.linalg.qr(drawn)[0][:width] / lattice.cell
+    distance = np.sqrt(max(2 - 2 * lattice.least, 1e-4) * min(1.0, 8 / width))
+    return np.linalg.qr(drawn)[0][:width] / (lattice.cell * distance)
 
 
 @cache
@@ -254,6 +260,7 @@ def near_vectors(
     copies that share all links. A null id stays null and names no component. Repeated
     rows are copies; no rows give none; other columns are not read.
     """
+    lattice = replace(lattice, least=least)
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(vector_col).cast("array<float>").alias("vec"),
