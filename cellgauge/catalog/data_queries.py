@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cellgauge.catalog import sqltext as Q
 from cellgauge.catalog.registry import query, rounded, sql_rounded
 from cellgauge.functions import texts
+from cellgauge.functions.columns import hash32
 from cellgauge.operators import clean, features, partition, profile, validate
+from cellgauge.operators.quantiles import quantile_name, quantiles
 from cellgauge.sources import schema as S
 from cellgauge.sources.network import network, observations
 
@@ -47,6 +49,34 @@ def null_counts(spark, sf_dir):
     return validate.null_counts(network(spark, sf_dir))
 
 
+def _bad(seed: int) -> str:
+    return f"{Q.hash32(seed)} < {Q.CUT // 10}"
+
+
+@query(
+    "cast_report",
+    sql(
+        *Q.RAW,
+        select=" UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {rule}) AS n_failed FROM network"
+            for c, rule in {
+                **dict.fromkeys(S.REQUIRED, "FALSE"),
+                S.LATENCY: _bad(3),
+                S.USERS: _bad(4),
+            }.items()
+        ),
+    ),
+)
+def cast_report(spark, sf_dir):
+    """What a text copy of the table loses in parsing, with bad values by a key rule."""
+    df = network(spark, sf_dir)
+    bad = {S.LATENCY: (3, "n/a"), S.USERS: (4, "99999999999")}
+    text = {c: F.col(c).cast("string") for c in S.REQUIRED}
+    for c, (seed, value) in bad.items():
+        text[c] = F.when(hash32(S.KEY, seed) < Q.CUT // 10, value).otherwise(text[c])
+    return S.cast_failures(df.select(*[v.alias(c) for c, v in text.items()]))
+
+
 def _sql_quote(text: str) -> str:
     return text.replace("'", "''")
 
@@ -204,6 +234,9 @@ def table_shape(spark, sf_dir):
 _DESCRIBED = ["mean", "std"]
 
 
+_SPREAD = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
+
+
 @query(
     "describe_numeric",
     sql(
@@ -232,6 +265,39 @@ def describe_numeric(spark, sf_dir):
     return rounded(rounded(out, 6, _DESCRIBED), 9, ["min", "q25", "q50", "q75", "max"])
 
 
+@query(
+    "large_group_quantiles",
+    sql(
+        *Q.RAW,
+        select=" UNION ALL ".join(
+            f"SELECT device_type, '{c}' AS column_name, "
+            + ", ".join(f"round(quantile_cont({c}, {p}), 9) AS {n}" for n, p in _SPREAD.items())
+            + " FROM network GROUP BY device_type"
+            for c in (S.LATENCY, S.TRAFFIC)
+        ),
+    ),
+)
+def large_group_quantiles(spark, sf_dir):
+    """The way of large groups at every size of table: no group is sorted as a whole."""
+    columns = [S.LATENCY, S.TRAFFIC]
+    wanted = dict.fromkeys(columns, list(_SPREAD.values()))
+    found = quantiles(
+        observations(spark, sf_dir), wanted, [S.DEVICE], group_limit=0, leaf_limit=100
+    )
+    long = F.inline(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column_name"),
+                    *[F.get(quantile_name(c), F.lit(i)).alias(n) for i, n in enumerate(_SPREAD)],
+                )
+                for c in columns
+            ]
+        )
+    )
+    return rounded(found.select(S.DEVICE, long), 9)
+
+
 @query(
     "value_counts",
     sql(

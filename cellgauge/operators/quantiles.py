@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -55,12 +56,16 @@ def quantiles(
     group_limit: int = GROUP_LIMIT,
     leaf_limit: int = LEAF_LIMIT,
     rows: int | None = None,
+    hot_groups: int = HOT_GROUPS,
+    salt: int = 0,
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per group.
 
     Column `q_<c>` is an array with one entry per probability of `probs[c]`, NULL
     when the group has no value. Nulls are ignored. A caller that knows the number of
     rows passes it, which saves counting the groups of a table within the limit.
+    More than `hot_groups` large groups are dealt by a hash of their key into parts, so
+    that the driver holds the bounds of so many groups at once; `salt` changes the hash.
     """
     by = list(by)
     if rows is not None and rows <= group_limit:
@@ -68,7 +73,14 @@ def quantiles(
     sizes = df.groupBy(*by).agg(
         F.count("*").alias("_rows"), *[F.count(c).alias(f"_n_{c}") for c in probs]
     )
-    hot = _hot_groups(sizes, by, list(probs), group_limit)
+    large = sizes.filter(F.col("_rows") > group_limit)
+    hot = large.limit(hot_groups + 1).collect()
+    if len(hot) > hot_groups:
+        parts = 2 * math.ceil(large.count() / hot_groups)
+        part = F.pmod(F.xxhash64(F.lit(salt), *by), F.lit(parts))
+        limits = (group_limit, leaf_limit, None, hot_groups, salt + 1)
+        each = [quantiles(df.filter(part == i), probs, by, *limits) for i in range(parts)]
+        return reduce(DataFrame.unionByName, each)
     spark = df.sparkSession
     if not hot:
         return _builtin(df, probs, by)
@@ -107,15 +119,6 @@ def _builtin(df: DataFrame, probs: Mapping[str, Sequence[float]], by: list[str])
     )
 
 
-def _hot_groups(sizes: DataFrame, by: list[str], columns: list[str], limit: int) -> list:
-    """Groups above the limit. The limit rises when there would be too many of them."""
-    while True:
-        hot = sizes.filter(F.col("_rows") > limit).limit(HOT_GROUPS + 1).collect()
-        if len(hot) <= HOT_GROUPS:
-            return hot
-        limit *= 4
-
-
 def _local(
     spark: SparkSession, df: DataFrame, by: list[str], rows: list[list], extra: list[T.StructField]
 ) -> DataFrame:

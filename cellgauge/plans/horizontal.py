@@ -32,15 +32,16 @@ log = logging.getLogger(__name__)
 def run_horizontal(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
     """Clean, settle locations, split per location, train, evaluate on every segment.
 
-    A key that lies in both segments stops the job only when `config.strict` is set.
+    The rows of both segments are held against those before the split. A key that lies in
+    both segments, or rows that are lost, stop the job only when `config.strict` is set.
     """
-    validation, cleaned = prepare(df, config)
+    reports, cleaned = prepare(df, config)
     heuristic = heuristic_summary(cleaned)
     located = location_heuristic(cleaned)
     split = stratified_split(located, S.LOCATION, config.test_size, config.seed)
     rows = keep(horizontal_split(split))
     require_rows(rows)
-    checks = frozen(horizontal_check(rows, rows))
+    checks = frozen(horizontal_check(rows, located))
     if not checks.first()["is_valid"]:
         if config.strict:
             raise ValueError("segments and split do not add up")
@@ -65,7 +66,7 @@ def run_horizontal(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
     )
     insights = report.segment_insights(comparison, texts.KNOWN_LOCATIONS)
     tables = {
-        "validation": validation,
+        **reports,
         "heuristic": heuristic,
         "split_check": checks,
         "sufficiency": sample_sufficiency(rows),

@@ -20,7 +20,7 @@ from cellgauge.operators.validate import (
     MIN_TRAIN_ROWS,
     validation_report,
 )
-from cellgauge.sources.schema import require_columns
+from cellgauge.sources.schema import apply_contract, cast_failures, require_columns
 
 log = logging.getLogger(__name__)
 
@@ -57,10 +57,17 @@ class JobResult:
             df.unpersist()
 
 
-def prepare(df: DataFrame, config: JobConfig) -> tuple[DataFrame, DataFrame]:
-    """Validation report and cleaned rows; only missing columns stop the job."""
-    report = validation_report(require_columns(df))
-    return report, apply_cleaning(df, fit_cleaning(df, config.exact))
+def prepare(df: DataFrame, config: JobConfig) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Validation and cast reports, and cleaned rows under the column contract.
+
+    Only missing columns stop the job; values that do not parse are counted and warned of.
+    """
+    failures = frozen(cast_failures(require_columns(df)))
+    for row in failures.filter("n_failed > 0").collect():
+        log.warning("%s: %d values do not parse and count as missing", *row)
+    rows = apply_contract(df)
+    reports = {"validation": validation_report(rows), "cast_report": failures}
+    return reports, apply_cleaning(rows, fit_cleaning(rows, config.exact))
 
 
 def keep(df: DataFrame) -> DataFrame:

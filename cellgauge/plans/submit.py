@@ -7,13 +7,16 @@ import logging
 import sys
 from collections.abc import Sequence
 
+from pyspark.sql import SparkSession
+
 from cellgauge.operators.fusion import META, WEIGHTED
 from cellgauge.plans.horizontal import run_horizontal
 from cellgauge.plans.jobs import JobConfig, JobResult
 from cellgauge.plans.vertical import run_vertical
 from cellgauge.session import build_session
 from cellgauge.sources import sinks
-from cellgauge.sources.tables import FORMATS, load_observations
+from cellgauge.sources.schema import canonical_names
+from cellgauge.sources.tables import FORMATS, read_table
 
 # Range of the test share.
 TEST_SIZE_MIN, TEST_SIZE_MAX = 0.1, 0.5
@@ -31,6 +34,7 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--output", default="results")
     parser.add_argument("--trees", type=int, default=100)
     parser.add_argument("--depth", type=int, default=10)
+    parser.add_argument("--layout", type=int, help="training partitions, for repeatable forests")
     parser.add_argument("--strategy", choices=[WEIGHTED, META], default=WEIGHTED)
     parser.add_argument("--approximate", action="store_true", help="approximate percentiles")
     parser.add_argument("--strict", action="store_true", help="stop on a failed split check")
@@ -57,14 +61,24 @@ def write_results(result: JobResult, output: str) -> None:
 
 
 def main(argv: Sequence[str] | None = None) -> int:
+    """Run a job; 0 when it is done, 1 with a logged message when it fails."""
     args = parse(argv)
     logging.basicConfig(level=logging.INFO)
     spark = build_session(f"cellgauge-{args.approach}")
     try:
-        df = load_observations(spark, args.data, args.format)
+        run_job(spark, args)
     except (FileNotFoundError, ValueError) as error:
         logging.error("%s", error)
         return 1
+    except Exception:
+        logging.exception("the %s job failed", args.approach)
+        return 1
+    return 0
+
+
+def run_job(spark: SparkSession, args: argparse.Namespace) -> None:
+    # The job itself applies the column contract, so that it can report what does not parse.
+    df = canonical_names(read_table(spark, args.data, args.format))
     config = JobConfig(
         args.test_size,
         args.random_state,
@@ -73,6 +87,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         args.strategy,
         not args.approximate,
         args.strict,
+        args.layout,
     )
     result = JOBS[args.approach](df, config)
     write_results(result, args.output)
@@ -84,7 +99,6 @@ def main(argv: Sequence[str] | None = None) -> int:
     )
     result["comparison"].show(truncate=False)
     result.close()
-    return 0
 
 
 if __name__ == "__main__":

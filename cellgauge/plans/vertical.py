@@ -36,7 +36,7 @@ MODEL_TYPES = {
 
 def run_vertical(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
     """Clean, split, train both column groups, fuse, train the baseline, evaluate."""
-    validation, cleaned = prepare(df, config)
+    reports, cleaned = prepare(df, config)
     rows = keep(train_test_split(cleaned, config.test_size, config.seed))
     require_rows(rows)
     infra, user = vertical_split(rows)
@@ -54,7 +54,7 @@ def run_vertical(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
     test = require_samples(by_split.filter(F.col(SPLIT) == TEST).drop(SPLIT))
     comparison = comparison_table(test, MODEL_TYPES)
     tables = {
-        "validation": validation,
+        **reports,
         "split_check": split_check,
         "predictions": predictions,
         "metrics": test,

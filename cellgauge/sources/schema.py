@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,25 +76,34 @@ def apply_contract(df: DataFrame, schema: T.StructType = CONTRACT) -> DataFrame:
     require_columns(df, schema.names)
     columns = []
     for field in schema:
-        value = F.col(f"`{field.name}`")
-        if df.schema[field.name].dataType != field.dataType:
-            if isinstance(field.dataType, T.IntegerType):
-                value = F.bround(value.try_cast("double")).try_cast("int")
-            else:
-                value = value.try_cast(field.dataType)
+        value = _parsed(df, field)
         if isinstance(field.dataType, T.DoubleType):
             value = F.when(~F.isnan(value), value)
         columns.append(value.alias(field.name))
     return df.select(columns)
 
 
+def _parsed(df: DataFrame, field: T.StructField) -> Column:
+    value = F.col(f"`{field.name}`")
+    if df.schema[field.name].dataType == field.dataType:
+        return value
+    if isinstance(field.dataType, T.IntegerType):
+        return F.bround(value.try_cast("double")).try_cast("int")
+    return value.try_cast(field.dataType)
+
+
 def cast_failures(df: DataFrame, schema: T.StructType = CONTRACT) -> DataFrame:
-    """Per column: values that are present but do not parse as the contract type."""
+    """Per column: values that are present but do not parse as the contract type.
+
+    A whole number out of range does not parse; NaN parses, as a missing value.
+    """
     counters = []
     for field in schema:
         value = F.col(f"`{field.name}`")
-        target = "double" if isinstance(field.dataType, T.IntegerType) else field.dataType
-        failed = F.count_if(value.isNotNull() & value.try_cast(target).isNull())
+        failed = value.isNotNull() & _parsed(df, field).isNull()
+        if isinstance(field.dataType, T.IntegerType):
+            failed = failed & ~F.isnan(value.try_cast("double"))
+        failed = F.count_if(F.coalesce(failed, F.lit(True)))
         counters.append(
             F.struct(F.lit(field.name).alias("column_name"), failed.alias("n_failed"))
         )

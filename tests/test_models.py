@@ -128,7 +128,7 @@ def test_horizontal_job(spark, sf_dir):
         "urban_model", "rural_model", "global_model", "global_model_urban", "global_model_rural",
     }
     assert result["improvement"].count() == 2 and result["insights"].count() >= 2
-    with pytest.raises(ValueError, match="split validation"):
+    with pytest.raises(ValueError, match="add up"):
         run_horizontal(network(spark, sf_dir), JobConfig(trees=1, depth=1, strict=True))
     result.close()
 
@@ -147,6 +147,17 @@ def test_bad_options_stop(extra):
         submit.parse(["vertical", "--data", "x.csv", *extra])
 
 
+def test_failing_job_ends_with_one(spark, tmp_path, caplog):
+    shown = ",".join(S.DISPLAY_NAMES.values())
+    (tmp_path / "few.csv").write_text(f"{shown}\nT1,-70,oops,5,3,Mobile,Urban\n")
+    (tmp_path / "bare.csv").write_text("Tower ID\nT1\n")
+    assert submit.main(["vertical", "--data", str(tmp_path / "few.csv")]) == 1
+    assert "network_traffic: 1 values do not parse" in caplog.text
+    assert "too few" in caplog.text
+    assert submit.main(["horizontal", "--data", str(tmp_path / "bare.csv")]) == 1
+    assert submit.main(["vertical", "--data", str(tmp_path / "absent.csv")]) == 1
+
+
 def test_good_options():
     args = submit.parse(["horizontal", "--data", "x.csv", "--strict"])
     assert args.test_size == 0.2 and args.random_state == 42 and args.strict

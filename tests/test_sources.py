@@ -34,6 +34,13 @@ def test_cast_failures_are_counted(spark, csv_path):
     assert failed[S.LATENCY] == 1 and sum(failed.values()) == 1
 
 
+def test_whole_numbers_out_of_range_do_not_parse(spark):
+    rows = [("99999999999",), ("12.0",), ("NaN",), ("x",), (None,)]
+    df = spark.createDataFrame(rows, f"{S.USERS} string")
+    part = type(S.CONTRACT)([S.CONTRACT[S.USERS]])
+    assert S.cast_failures(df, part).first()["n_failed"] == 2
+
+
 def test_missing_and_unreadable_paths_differ(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_table(spark, str(tmp_path / "absent.parquet"))

@@ -95,6 +95,12 @@ def test_narrowing_is_exact(skewed, by):
         assert r["q_n"][0] == np.quantile(part.n, 0.5)
 
 
+def test_large_groups_beyond_the_bound_are_dealt_into_parts(skewed):
+    args = (skewed, {"x": PROBS}, ["g"])
+    parts = quantiles(*args, group_limit=500, leaf_limit=400, hot_groups=2).collect()
+    assert {r["g"]: r["q_x"] for r in parts} == {r["g"]: r["q_x"] for r in quantiles(*args).collect()}
+
+
 def test_empty_column_has_no_quantile(spark):
     df = spark.createDataFrame([(None, 1.0)] * 30, "x double, y double")
     r = quantiles(df, {"x": [0.5], "y": [0.5]}, group_limit=5, leaf_limit=3).first()
