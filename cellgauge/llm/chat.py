@@ -38,32 +38,33 @@ def tree_paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) of every node on each root-to-leaf path; `up` counts from the leaf.
 
     `messages` has tree, node, parent. A parent that is null or not in the tree makes its
-    node a root. Nodes on a circle of parents have no leaf and no path. Rows grow with the
-    paths' length alone; the joins double the reach, so there are as many as the depth has
-    binary digits.
+    node a root; of a repeated node's parents the smallest counts. Nodes on a circle of
+    parents, and those whose ancestors lead to one, have no root and so no path; a row
+    without a tree or a node is in no tree. Rows grow with the paths' length alone; the
+    joins double the reach, so there are as many as the depth has binary digits.
     """
-    nodes = messages.select("tree", "node", "parent").dropDuplicates(["tree", "node"])
-    nodes = written(nodes, "nodes")
+    named = messages.where("tree is not null and node is not null")
+    nodes = written(named.groupBy("tree", "node").agg(F.min("parent").alias("parent")), "nodes")
     parents = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     parents = written(parents, "parents")
     up = nodes.join(parents.withColumnRenamed("node", "parent"), ["tree", "parent"])
     up = up.join(nodes.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi")
     up = written(up.select("tree", "node", F.col("parent").alias("to")), "up")
-    leaves = nodes.join(parents, ["tree", "node"], "left_anti")
+    largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    reaches = []
+    while 1 << len(reaches) <= largest and not up.isEmpty():
+        reaches.append(up)
+        twice = up.join(up.select("tree", F.col("node").alias("to"), F.col("to").alias("next")), ["tree", "to"])
+        up = written(twice.select("tree", "node", F.col("next").alias("to")), "up")
+    # Who has an ancestor further off than the tree has nodes hangs on a circle.
+    leaves = nodes.join(parents, ["tree", "node"], "left_anti").join(up, ["tree", "node"], "left_anti")
     paths = written(
         leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths"
     )
-    reach = 1
-    while not up.isEmpty():
+    for power, up in enumerate(reaches):
         further = paths.join(up, ["tree", "node"])
-        further = further.select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up"))
-        grown = written(further, "paths")
-        if grown.isEmpty():
-            break
-        paths = written(paths.unionByName(grown), "paths")
-        twice = up.join(up.select("tree", F.col("node").alias("to"), F.col("to").alias("next")), ["tree", "to"])
-        up = written(twice.select("tree", "node", F.col("next").alias("to")), "up")
-        reach *= 2
+        further = further.select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << power)).alias("up"))
+        paths = written(paths.unionByName(further), "paths")
     return paths
 
 

@@ -28,6 +28,14 @@ def test_chat_escapes_and_ranks_branches(spark):
         ("u", 1, 9, "assistant", "lost parent", None),
         ("v", 1, 2, "user", "circle", 0.0),
         ("v", 2, 1, "user", "circle", 0.0),
+        ("v", 3, 2, "user", "hangs on the circle", 0.0),
+        ("v", 4, 3, "assistant", "hangs on it further off", 0.0),
+        ("w", 1, 1, "user", "its own parent", 0.0),
+        ("w", 2, 1, "user", "child of that", 0.0),
+        ("w", 3, None, "user", "repeated", 0.0),
+        ("w", 3, 1, "user", "repeated", 0.0),
+        (None, 1, None, "user", "no tree", 0.0),
+        ("t", None, 1, "user", "no node", 9.0),
     ]
     schema = "tree string, node long, parent long, role string, text string, score double"
     messages = spark.createDataFrame(rows, schema)
