@@ -32,7 +32,8 @@ class Lattice:
     """Parameters: tables, probed neighbours, size of a cell, seed of the projections.
 
     The size of a cell is in units of the usual distance that a pair at the threshold
-    `least` keeps in a projection, which depends on the vectors' width.
+    `least` keeps in a projection, which depends on the vectors' width. Up to `cell_rows`
+    rows of a cell meet in one block; a larger cell is cut into parts of about that size.
     """
 
     tables: int = 4
@@ -40,6 +41,7 @@ class Lattice:
     cell: float = 2.0
     seed: int = 42
     least: float = 0.93
+    cell_rows: int = 1 << 14
 
 
 @cache
@@ -117,7 +119,13 @@ def eligible(vector: str) -> F.Column:
     return F.col(vector).isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def _cell_rows(lattice: Lattice, width: int):
+CELL = ["tab", "cell", "label"]
+HELD = ["label", "rep", "copies", "vec"]
+
+
+def _cell_rows(lattice: Lattice, width: int, carried: list[str] = HELD):
+    """Rows of every cell that a vector is stored in or probes, with the `carried` columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = units(batch["vec"])
@@ -129,14 +137,36 @@ def _cell_rows(lattice: Lattice, width: int):
                             pa.array(np.full(len(batch), table), pa.int32()),
                             pa.array(keys[:, k]),
                             pa.array(np.full(len(batch), k == 0)),
-                            *(batch[c] for c in ("label", "rep", "copies", "vec")),
+                            *(batch[c] for c in carried),
                         ],
-                        ["tab", "cell", "own", "label", "rep", "copies", "vec"],
+                        ["tab", "cell", "own", *carried],
                     )
 
     return run
 
 
+def _blocks(classes: DataFrame, lattice: Lattice, width: int) -> DataFrame:
+    """Rows of all cells, dealt to tasks by cell and block.
+
+    A cell of more than `cell_rows` rows has several parts. Any two parts meet in a block
+    (low, high) of their own, and each part with itself, so that no task takes more than
+    two parts of a cell and every pair of the cell meets in one block.
+    """
+    keyed = classes.mapInArrow(_cell_rows(lattice, width, ["label"]), "tab int, cell long, own boolean, label long")
+    large = keyed.groupBy(*CELL).count().where(F.col("count") > lattice.cell_rows)
+    large = large.select(*CELL, F.ceil(F.col("count") / lattice.cell_rows).alias("parts"))
+    schema = "tab int, cell long, own boolean, label long, rep long, copies long, vec array<float>"
+    rows = classes.select(*HELD).mapInArrow(_cell_rows(lattice, width), schema)
+    rows = rows.join(written(large, "large-cells"), CELL, "left")
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    rows = rows.withColumns({"low": low, "high": high}).drop("parts", "other")
+    tasks = 4 * shuffle_partitions(classes.sparkSession)
+    return rows.repartition(tasks, *CELL, "low", "high")
+
+
 def _candidates(group: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs within equal values of a sorted column, blockwise; of two probes none."""
     begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, int)
@@ -179,17 +209,19 @@ def _verify(lattice: Lattice, least: float):
         if not batches:
             return
         rows = pa.Table.from_batches(batches)
-        tab, cell, label, rep, copies = (
-            rows[c].to_numpy().astype(np.int64) for c in ("tab", "cell", "label", "rep", "copies")
+        tab, cell, label, low, high, rep, copies, side = (
+            rows[c].to_numpy().astype(np.int64) for c in (*CELL, "low", "high", "rep", "copies", "part")
         )
         own = rows["own"].to_numpy()
-        order = np.lexsort((rep, cell, label, tab))
+        order = np.lexsort((rep, high, low, cell, label, tab))
         group = np.zeros(len(order), dtype=np.int64)
         fresh = np.zeros(len(order) - 1, dtype=bool)
-        for c in (tab, label, cell):
+        for c in (tab, label, cell, low, high):
             fresh |= c[order][1:] != c[order][:-1]
         group[1:] = np.cumsum(fresh)
-        tab, rep, copies, own = tab[order], rep[order], copies[order], own[order]
+        tab, rep, copies, own, side = tab[order], rep[order], copies[order], own[order], side[order]
+        # Where two parts meet, the pairs within one of them belong to another block.
+        mixed = (low != high)[order]
         # A vector may have several rows here; its components are held once.
         names, at = np.unique(rep, return_inverse=True)
         one = np.empty(len(names), dtype=np.int64)
@@ -203,6 +235,8 @@ def _verify(lattice: Lattice, least: float):
                 x, y = i[begin : begin + PAIR_BLOCK], j[begin : begin + PAIR_BLOCK]
                 swap = rep[x] > rep[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
+                here = ~mixed[x] | (side[x] != side[y])
+                x, y = x[here], y[here]
                 ok = np.einsum("ij,ij->i", unit[at[x]], unit[at[y]]) >= least
                 x, y = x[ok], y[ok]
                 found.append((at[x], at[y], tab[x] * 2 + ~own[x]))
@@ -272,12 +306,9 @@ def near_vectors(
     classes = written(classes, "vectors")
     # Vectors of one width at a time: a width is a matrix shape, and there are few.
     widths = [r[0] for r in classes.select(F.size("vec").alias("w")).distinct().collect()]
-    schema = "tab int, cell long, own boolean, label long, rep long, copies long, vec array<float>"
     parts = None
     for width in widths:
-        held = classes.where(F.size("vec") == width).mapInArrow(_cell_rows(lattice, width), schema)
-        tasks = 4 * shuffle_partitions(vectors.sparkSession)
-        met = held.repartition(tasks, "tab", "label", "cell")
+        met = _blocks(classes.where(F.size("vec") == width), lattice, width)
         part = met.mapInArrow(_verify(lattice, least), "rep long, n long, head long")
         parts = part if parts is None else parts.union(part)
     if parts is None:

@@ -93,6 +93,8 @@ def test_lattice_equals_brute_force(spark):
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
     table = table.selectExpr("*", "1 AS rep", "2 AS copies")
     got = {r["vec_id"]: r for r in lattice.near_vectors(table).collect()}
+    cut = {r["vec_id"]: r for r in lattice.near_vectors(table, lattice=lattice.Lattice(cell_rows=3)).collect()}
+    assert cut == got
     v = np.array([r[1] for r in rows], dtype=np.float32).astype(np.float64)
     v /= np.linalg.norm(v, axis=1)[:, None]
     label = np.array([r[2] for r in rows])
