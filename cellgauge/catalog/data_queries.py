@@ -758,6 +758,31 @@ def vertical_check(spark, sf_dir):
     return partition.vertical_check(*partition.vertical_split(network(spark, sf_dir)))
 
 
+@query(
+    "vertical_check_broken",
+    sql(
+        *Q.RAW,
+        """user_side AS (
+          SELECT tower_id FROM network WHERE device_type IS NOT NULL
+          UNION ALL SELECT tower_id FROM network WHERE user_count > 50
+        ), per_key AS (
+          SELECT tower_id, sum(a) AS a, sum(b) AS b FROM (
+            SELECT tower_id, 1 AS a, 0 AS b FROM network
+            UNION ALL SELECT tower_id, 0, 1 FROM user_side
+          ) GROUP BY tower_id
+        )""",
+        select="SELECT CAST(sum(a) AS BIGINT) AS rows_infra, CAST(sum(b) AS BIGINT) AS rows_user, "
+        "count(*) FILTER (WHERE a <> b) AS keys_differing, 0 AS shared_features, "
+        "FALSE AS is_valid FROM per_key",
+    ),
+)
+def vertical_check_broken(spark, sf_dir):
+    """Both sides differ: towers without a device are lost, busy ones are there twice."""
+    infra, user = partition.vertical_split(network(spark, sf_dir))
+    broken = user.filter(F.col(S.DEVICE).isNotNull()).unionByName(user.filter(F.col(S.USERS) > 50))
+    return partition.vertical_check(infra, broken)
+
+
 @query(
     "horizontal_split",
     sql(*Q.RAW, select=f"SELECT {COLUMNS}, {Q.SEGMENT} AS segment FROM network"),

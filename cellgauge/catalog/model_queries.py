@@ -1,16 +1,22 @@
-"""Queries that train forests. They have no SQL twin; tests check their properties."""
+"""Queries that train forests.
+
+Forests have no SQL twin; tests check their properties. The queries of facts count what
+must hold of their predictions whatever the trees are, and that has one.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgauge.catalog import sqltext as Q
 from cellgauge.catalog.registry import query
+from cellgauge.functions import texts
 from cellgauge.operators import models as M
 from cellgauge.operators.clean import preprocess
-from cellgauge.operators.evaluate import fold_mse, model_metrics
+from cellgauge.operators.evaluate import model_metrics
 from cellgauge.operators.fusion import META, FusionModel
 from cellgauge.operators.partition import SPLIT, TEST, TRAIN, location_heuristic, train_test_split
 from cellgauge.plans.evaluation import evaluation_bundle
@@ -79,15 +85,91 @@ def model_fusion_meta(spark, sf_dir):
     return FusionModel(META, FOREST).train(train).compare(test)
 
 
+MAKERS = {
+    "infrastructure_model": lambda: M.infrastructure_model(FOREST),
+    "user_behavior_model": lambda: M.user_behavior_model(FOREST),
+    "monolithic_model": lambda: M.monolithic_model(FOREST),
+}
+FOLDS = 5
+
+
 @query("model_cross_validation")
 def model_cross_validation(spark, sf_dir):
     _, train, _ = prepared(spark, sf_dir)
-    makers = {
-        "infrastructure_model": lambda: M.infrastructure_model(FOREST),
-        "user_behavior_model": lambda: M.user_behavior_model(FOREST),
-        "monolithic_model": lambda: M.monolithic_model(FOREST),
-    }
-    return M.cross_validate(train, makers, k=5)
+    return M.cross_validate(train, MAKERS, FOLDS)
+
+
+def outside(prediction: str, low: float, high: float) -> Column:
+    """Predictions beyond the training target; a mean of leaf means cannot be."""
+    p, slack = F.col(prediction), 1e-9 * max(abs(low), abs(high))
+    return F.count_if((p < low - slack) | (p > high + slack))
+
+
+FACTS = Q.with_ctes(
+    *Q.LOCATED_ROWS,
+    f"sides AS (SELECT *, {Q.SPLIT} AS split FROM located)",
+    select=" UNION ALL ".join(
+        f"SELECT split, location_type, '{name}' AS model_name, count(*) AS n_rows, "
+        f"count(*) FILTER (WHERE {mine}) AS n_predicted, CAST(0 AS BIGINT) AS n_outside "
+        "FROM sides GROUP BY split, location_type"
+        for name, mine in (
+            ("global_model", "TRUE"),
+            ("infrastructure_model", "TRUE"),
+            ("user_behavior_model", "TRUE"),
+            ("urban_model", "location_type = 'Urban'"),
+            ("rural_model", "location_type = 'Rural'"),
+        )
+    ),
+)
+
+
+@query("model_facts", FACTS)
+def model_facts(spark, sf_dir):
+    """Rows of each side and location that every model scores, and scores beyond its target."""
+    rows, train, _ = prepared(spark, sf_dir)
+    segments = M.train_segments(train, FOREST)
+    overall = M.monolithic_model(FOREST).train(train)
+    groups = {name: MAKERS[name]().train(train) for name in list(MAKERS)[:2]}
+    scored = M.score_vertical(M.score_horizontal(rows, overall, segments), groups)
+    ends = [F.min(S.LATENCY).alias("low"), F.max(S.LATENCY).alias("high")]
+    low, high = train.agg(*ends).first()
+    limits = {name: (low, high) for name in ("global_model", *groups)}
+    known = train.filter(F.col(S.LOCATION).isin(texts.KNOWN_LOCATIONS))
+    for place, low, high in known.groupBy(S.LOCATION).agg(*ends).collect():
+        limits[segments[place].name] = (low, high)
+    facts = [
+        F.struct(
+            F.lit(name).alias("model_name"),
+            F.count("*").alias("n_rows"),
+            F.count(name).alias("n_predicted"),
+            outside(name, *ends).alias("n_outside"),
+        )
+        for name, ends in limits.items()
+    ]
+    counted = scored.groupBy(SPLIT, S.LOCATION).agg(F.array(*facts).alias("facts"))
+    return counted.select(SPLIT, S.LOCATION, F.inline("facts"))
+
+
+@query(
+    "fold_facts",
+    Q.with_ctes(
+        *Q.LOCATED_ROWS,
+        select=f"SELECT CAST({Q.hash32(7)} % {FOLDS} AS INTEGER) AS fold, count(*) AS n_rows, "
+        "count(*) AS n_predicted, CAST(0 AS BIGINT) AS n_outside FROM located "
+        f"WHERE {Q.SPLIT} = 'train' GROUP BY 1",
+    ),
+)
+def fold_facts(spark, sf_dir):
+    """Every training row is scored once, by the model that never saw its fold."""
+    _, train, _ = prepared(spark, sf_dir)
+    name = "user_behavior_model"
+    scored = M.cross_predict(train, {name: MAKERS[name]}, FOLDS)
+    low, high = train.agg(F.min(S.LATENCY), F.max(S.LATENCY)).first()
+    return scored.groupBy("fold").agg(
+        F.count("*").alias("n_rows"),
+        F.count(name).alias("n_predicted"),
+        outside(name, low, high).alias("n_outside"),
+    )
 
 
 @query("feature_importance")
@@ -103,11 +185,7 @@ def feature_importance(spark, sf_dir):
 @query("score_vertical")
 def score_vertical(spark, sf_dir):
     rows, train, _ = prepared(spark, sf_dir)
-    fitted = {
-        "infrastructure_model": M.infrastructure_model(FOREST).train(train),
-        "user_behavior_model": M.user_behavior_model(FOREST).train(train),
-        "monolithic_model": M.monolithic_model(FOREST).train(train),
-    }
+    fitted = {name: make().train(train) for name, make in MAKERS.items()}
     return M.score_vertical(rows, fitted).select(S.KEY, S.LATENCY, *fitted)
 
 
@@ -136,7 +214,7 @@ def job_horizontal(spark, sf_dir):
 def evaluation_tables(spark, sf_dir):
     result = run_vertical(observations(spark, sf_dir), JOB)
     test = result["predictions"].filter(F.col(SPLIT) == TEST)
-    folded = M.with_folds(test, 3)
+    _, train, _ = prepared(spark, sf_dir)
+    scores = M.cross_validate(train, MAKERS, FOLDS)
     models = {name: name for name in MODEL_TYPES}
-    scores = fold_mse(folded, models, "fold")
     return evaluation_bundle(test, models, MODEL_TYPES, scores)["performance"]

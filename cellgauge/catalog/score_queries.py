@@ -374,13 +374,66 @@ def significance_verdict(spark, sf_dir):
     return tests.select("model1", "model2", "is_significant", "interpretation")
 
 
+# Models close to each other: the p-values are neither 0 nor 1.
+CLOSE = {P.A: P.A, "shifted": "shifted", "oof_a": "oof_a"}
+SHIFT = 0.01
+_CLOSE = f"close AS (SELECT *, {P.A} + CAST({SHIFT} AS DOUBLE) AS shifted FROM single)"
+
+
+def close_models(spark, sf_dir) -> DataFrame:
+    """A model, the same moved by a constant, and its predictions out of fold."""
+    return test_rows(P.single_models(spark, sf_dir)).withColumn("shifted", F.col(P.A) + SHIFT)
+
+
+def _tail_sql(density: str, x: str, source: str) -> str:
+    """`source` with the two-sided tail at |x|: one less twice Simpson's rule from 0 to it."""
+    weight = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    points = f"list_sum([{weight} * {density} FOR i IN range(2001)])"
+    return (
+        f"(SELECT *, greatest(0, 1 - 2 * h / 3 * {points}) AS p_value "
+        f"FROM (SELECT *, least(abs({x}), 12) / 2000 AS h FROM ({source})) AS s)"
+    )
+
+
+_STUDENT = """exp(lgamma(sample_size / 2) - lgamma((sample_size - 1) / 2)
+  - ln((sample_size - 1) * pi()) / 2 - sample_size / 2 * ln(1 + i * h * i * h / (sample_size - 1)))"""
+_NORMAL = "exp(-i * h * i * h / 2) / sqrt(2 * pi())"
+
+
 @query(
-    "wilcoxon",
+    "significance_p_values",
     sql(
         *Q.SINGLE,
-        f"""diffs AS (
-          SELECT CAST(round((abs(y - {P.A}) - abs(y - {P.B})) * 1000000) AS BIGINT) AS u
-          FROM single WHERE split = 'test'
+        _CLOSE,
+        select=f"""SELECT model1, model2, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value,
+          CAST(0.05 AS DOUBLE) AS alpha, p_value < 0.05 AS is_significant,
+          CASE WHEN p_value < 0.05 THEN
+            'The performance difference is statistically significant (p=' || printf('%.4f', p_value)
+            || ' < 0.05). ' || CASE WHEN mae_model1 < mae_model2
+              THEN 'Model 1 performs significantly better than Model 2.'
+              ELSE 'Model 2 performs significantly better than Model 1.' END
+          ELSE 'The performance difference is not statistically significant (p='
+            || printf('%.4f', p_value)
+            || ' >= 0.05). There is no significant difference between the models.'
+          END AS interpretation
+        FROM {_tail_sql(_STUDENT, "statistic", " UNION ALL ".join(
+            _pair_sql(a, b, "close")
+            for a, b in ((P.A, "shifted"), (P.A, "oof_a"), ("shifted", "oof_a"))
+        ))} AS tested""",
+    ),
+)
+def significance_p_values(spark, sf_dir):
+    tests = significance.verdicts(significance.paired_t_tests(close_models(spark, sf_dir), CLOSE))
+    out = tests.select(
+        "model1", "model2", "statistic", "p_value", "alpha", "is_significant", "interpretation"
+    )
+    return rounded(out, only=["statistic", "p_value"])
+
+
+def _ranks_sql(a: str, b: str, source: str) -> str:
+    return f"""diffs AS (
+          SELECT CAST(round((abs(y - {a}) - abs(y - {b})) * 1000000) AS BIGINT) AS u
+          FROM {source} WHERE split = 'test'
         ), ranked AS (
           SELECT u, rank() OVER (ORDER BY abs(u)) + (count(*) OVER (PARTITION BY abs(u)) - 1) / 2
                  AS r, count(*) OVER (PARTITION BY abs(u)) AS t FROM diffs
@@ -388,15 +441,21 @@ def significance_verdict(spark, sf_dir):
           SELECT sum(CASE WHEN u > 0 THEN r WHEN u = 0 THEN r / 2 ELSE 0 END) AS rank_plus,
                  sum(CASE WHEN u < 0 THEN r WHEN u = 0 THEN r / 2 ELSE 0 END) AS rank_minus,
                  count(*) AS sample_size, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM ranked
-        )""",
-        select=sql_rounded(
-            """SELECT rank_plus, rank_minus, least(rank_plus, rank_minus) AS statistic,
+        )"""
+
+
+_SIGNED_RANK = """SELECT rank_plus, rank_minus, least(rank_plus, rank_minus) AS statistic,
               (least(rank_plus, rank_minus) - n * (n + 1) / 4)
                 / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z, sample_size
-            FROM (SELECT *, CAST(sample_size AS DOUBLE) AS n FROM sums) """,
-            ["rank_plus", "rank_minus", "statistic", "z"],
-            3,
-        ),
+            FROM (SELECT *, CAST(sample_size AS DOUBLE) AS n FROM sums) """
+
+
+@query(
+    "wilcoxon",
+    sql(
+        *Q.SINGLE,
+        _ranks_sql(P.A, P.B, "single"),
+        select=sql_rounded(_SIGNED_RANK, ["rank_plus", "rank_minus", "statistic", "z"], 3),
     ),
 )
 def wilcoxon(spark, sf_dir):
@@ -407,6 +466,23 @@ def wilcoxon(spark, sf_dir):
     )
 
 
+@query(
+    "wilcoxon_p_value",
+    sql(
+        *Q.SINGLE,
+        _CLOSE,
+        _ranks_sql(P.A, "oof_a", "close"),
+        select="SELECT round(z, 6) AS z, round(p_value, 6) AS p_value, sample_size, "
+        "CAST(0.05 AS DOUBLE) AS alpha, p_value < 0.05 AS is_significant "
+        f"FROM {_tail_sql(_NORMAL, 'z', _SIGNED_RANK)} AS tested",
+    ),
+)
+def wilcoxon_p_value(spark, sf_dir):
+    out = significance.wilcoxon(close_models(spark, sf_dir), P.A, "oof_a")
+    out = out.select("z", "p_value", "sample_size", "alpha", "is_significant")
+    return rounded(out, only=["z", "p_value"])
+
+
 # --- residuals ----------------------------------------------------------------------
 
 

@@ -11,7 +11,11 @@ def con(sf_dir):
     return duck(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+# They train forests of full size, minutes and gigabytes of heap: `compare.py` runs them.
+FORESTS = {"fold_facts", "model_facts"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - FORESTS))
 def test_same_rows(name, spark, sf_dir, con):
     assert spark_rows(QUERIES[name](spark, sf_dir)) == duck_rows(con, ORACLES[name])
 
