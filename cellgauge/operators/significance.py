@@ -75,15 +75,15 @@ def paired_t_tests(
 
 
 def wilcoxon(
-    df: DataFrame, p1: str, p2: str, y: str = "y", alpha: float = 0.05
+    df: DataFrame, p1: str, p2: str, y: str = "y", alpha: float = 0.05, unit: int = UNIT
 ) -> DataFrame:
     """Signed-rank test, zeros split between both sides, normal approximation with ties.
 
-    Differences are rounded to 6 decimals and counted by size first, so ties of any
+    Differences are rounded to 1 / `unit` and counted by size first, so ties of any
     size cost one row; ranks come from `rows_before`, never from one sorted partition.
     """
     r1, r2 = F.abs(F.col(y) - F.col(p1)), F.abs(F.col(y) - F.col(p2))
-    units = F.round((r1 - r2) * UNIT).cast("bigint")
+    units = F.round((r1 - r2) * unit).cast("bigint")
     counted = (
         df.select(units.alias("_u"))
         .filter(F.col("_u").isNotNull())
