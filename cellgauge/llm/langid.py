@@ -3,7 +3,7 @@
 One model per language: per order a sorted array of n-gram hashes with their interpolated
 probabilities and a sorted array of context hashes with their back-off weights. A text
 goes to the language of the lowest cross-entropy per character; it is rejected if that is
-higher than texts of the language ever come near (calibrated on labelled texts that the
+higher than nearly all texts of the language reach (calibrated on labelled texts that the
 counts do not hold).
 """
 
@@ -31,10 +31,8 @@ UNDETERMINED = "und"
 ALPHABET = 0x110000
 BLOCK = 1 << 20
 LONG_TEXT = 400
-#: A text is strange if it strays so many times as far as any that calibrated its language,
-#: and its entropy lies so many bits above the language's mean.
-SLACK = 2.0
-BITS = 2.5
+#: A text is accepted if it strays no farther than this share of the calibration texts.
+ACCEPTED = 0.995
 
 
 def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +77,7 @@ class CharModel:
     grams: list[tuple[np.ndarray, np.ndarray]]  # per order: hashes, probabilities
     contexts: list[tuple[np.ndarray, np.ndarray]]  # per order: hashes, back-off weights
     mean: float = 0.0
-    limit: float = np.inf
+    limit: float = -np.inf  # a language that no text calibrates accepts none
 
     def probability(self, chars: np.ndarray) -> np.ndarray:
         """Of the last character in each column, given those before it."""
@@ -97,8 +95,7 @@ class CharModel:
         return out
 
     def accepts(self, entropy: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        near = entropy - self.mean <= BITS
-        return near | (self.strangeness(entropy, counts) <= self.limit)
+        return self.strangeness(entropy, counts) <= self.limit
 
     def strangeness(self, entropy: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (entropy - self.mean) * np.sqrt(np.minimum(counts, LONG_TEXT))
@@ -220,7 +217,12 @@ def fit(
 
 
 def _calibrate(models: dict[str, CharModel], held: DataFrame) -> None:
-    """Mean entropy of each language's own texts, and how far they stray from it."""
+    """Mean entropy of each language's own texts, and how far all but a few stray from it.
+
+    A text that another model, or chance over all characters, explains better than its
+    label's model is mislabelled or junk and calibrates nothing. A language without any
+    calibration text keeps its limit, by which it accepts none.
+    """
     if not models:
         return
     names = sorted(models)
@@ -230,7 +232,8 @@ def _calibrate(models: dict[str, CharModel], held: DataFrame) -> None:
         for batch in batches:
             entropy, counts = entropies(one_array(batch["text"]), shared.value)
             own = np.array([names.index(x) if x in models else -1 for x in batch["lang"].to_pylist()])
-            ok = (own >= 0) & (counts > 0)
+            low = entropy.argmin(axis=0)
+            ok = (own == low) & (counts > 0) & (entropy.min(axis=0) < np.log2(ALPHABET))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.array(names, dtype=object)[own[ok]], pa.string()),
@@ -244,7 +247,7 @@ def _calibrate(models: dict[str, CharModel], held: DataFrame) -> None:
     for lang, part in found.groupby("lang"):
         model, n = models[lang], part["n"].to_numpy()
         model.mean = float(np.average(part["entropy"], weights=np.minimum(n, LONG_TEXT)))
-        model.limit = SLACK * float(model.strangeness(part["entropy"].to_numpy(), n).max())
+        model.limit = float(np.quantile(model.strangeness(part["entropy"].to_numpy(), n), ACCEPTED))
 
 
 def entropies(column: pa.Array, models: dict[str, CharModel]) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +277,8 @@ def with_language(
 
     The score is the probability of the language by the texts' entropies, as for a text
     of at most 20 characters. Null texts and those without a letter are undetermined,
-    with score 0 and not accepted; so is every text if there are no models.
+    with score 0 and not accepted; so is every text if there are no models. A language
+    that no held-out text calibrated accepts none.
     """
     languages = np.array([*sorted(models), UNDETERMINED], dtype=object)
     shared = docs.sparkSession.sparkContext.broadcast(models)

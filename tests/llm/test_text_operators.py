@@ -201,6 +201,38 @@ def test_language_models(spark, docs, empty):
     assert langid.accepted_documents(docs).columns == docs.columns
 
 
+def test_rejection_is_calibrated(spark):
+    chance = random.Random(7)
+
+    def prose(alphabet, words=100):
+        # The second letter follows the first, so that shuffled letters are junk.
+        pairs = [a + alphabet[(i + 1) % len(alphabet)] for i, a in enumerate(alphabet)]
+        return " ".join("".join(chance.choices(pairs, k=3)) for _ in range(words))
+
+    def noise(alphabet, words=100):
+        return " ".join("".join(chance.choices(alphabet, k=6)) for _ in range(words))
+
+    latin, other, foreign = "abcdefgh", "ijklmnop", "бвгджзкл"
+    rows = [(prose(latin), "aa") for _ in range(400)] + [(prose(other), "ii") for _ in range(400)]
+    # Label noise: foreign script and the other language under both labels.
+    rows += [(noise(foreign), lang) for lang in ("aa", "ii") for _ in range(8)]
+    rows += [(prose(other), "aa") for _ in range(8)] + [(prose(latin), "ii") for _ in range(8)]
+    train = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    models = langid.fit(train)
+    clean = [prose(x) for x in (latin, other) for _ in range(200)]
+    junk = [noise("абвгдежз") for _ in range(50)] + [noise("αβγδεζηθ") for _ in range(50)]
+    junk += [noise(latin + other) for _ in range(50)] + [noise("qrstuvwx") for _ in range(50)]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(clean + junk)], "doc_id long, text string")
+    got = {r["doc_id"]: r["found"] for r in langid.with_language(texts, models).collect()}
+    assert sum(got[i]["accepted"] for i in range(len(clean))) >= 0.95 * len(clean)
+    assert [got[i]["lang_pred"] for i in range(len(clean))] == ["aa"] * 200 + ["ii"] * 200
+    assert not any(got[i]["accepted"] for i in range(len(clean), len(clean) + len(junk)))
+    # A language without calibration texts accepts none.
+    models["aa"].limit = langid.CharModel([], []).limit
+    bare = langid.with_language(texts, models).where("found.lang_pred = 'aa' and found.accepted")
+    assert bare.count() == 0
+
+
 def naive_ctw(train, test):
     """Probability of a test text by recursion over explicit binary sequences."""
     counts = collections.Counter()
