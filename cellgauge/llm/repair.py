@@ -21,14 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgauge.llm import exchange as X
-from cellgauge.llm.bpe import Encoder, encoded_chunk, gather
+from cellgauge.llm.bpe import Encoder, encoded_chunk, gather  # noqa: F401
 from cellgauge.llm.store import bucketed, shuffle_partitions, written
 from cellgauge.llm.text import one_array, pretokens
 
-#: Rounds of replacement, new rules per round, and the least uses of a new rule.
-ROUNDS = 4
-RULES = 1024
-LEAST = 16
+#: The least uses of a new rule.
+LEAST = 2
 SHARD_BYTES = 8 << 20
 
 FILE_SCHEMA = (
@@ -61,66 +59,173 @@ def json_encoder(path: str):
 
 
 def compress(
-    ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST
+    ids: np.ndarray, starts: np.ndarray, least: int = LEAST
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, starts of the documents in them, left and right of the rules, first rule.
 
-    A round counts all pairs of neighbours and gives the most frequent ones a rule each.
-    Where chosen pairs overlap the more frequent one is replaced, of equals the left one.
+    Ends when no pair of neighbours can be replaced `least` times. The first round takes
+    all pairs of at least half the uses of the most frequent one, each other one those of
+    half as many again, and at last of `least`. Where chosen pairs overlap the more frequent one is replaced, of equals the one of the lower hash,
+    until none is left. All pairs are counted once; after a round only those around its
+    replacements are, since every new pair holds a new symbol.
     """
-    symbols = ids.astype(np.int64)
-    first = int(symbols.max(initial=-1)) + 1
-    last = np.zeros(len(symbols), dtype=bool)
+    n = len(ids)
+    symbols = np.append(ids, 0).astype(np.int64)
+    first = base = int(ids.max(initial=-1)) + 1
+    last = np.zeros(n, dtype=bool)
     last[starts[1:][np.diff(starts) > 0] - 1] = True
+    # Neighbours of each place; n stands for none.
+    after = np.append(np.where(last, n, np.arange(1, n + 1)), n).astype(np.int32)
+    before = np.full(n + 1, n, dtype=np.int32)
+    before[after[:n]] = np.arange(n)
+    pair = np.full(n + 1, -1, dtype=np.int32)
+    at = np.flatnonzero(~last)
+    pair[at], keys = pd.factorize(symbols[at] << 32 | symbols[at + 1])
+    uses = np.bincount(pair[at], minlength=len(keys))
+    rank_at = np.full(n + 1, n, dtype=np.int32)
     lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    made = 0
-    for _ in range(rounds):
-        at = np.flatnonzero(~last[:-1])
-        code, pairs = pd.factorize(symbols[at] << 32 | symbols[at + 1])
-        uses = np.bincount(code, minlength=len(pairs))
-        best = np.argsort(-uses, kind="stable")[:rules]
-        best = best[uses[best] >= least]
-        if not len(best):
-            break
-        place = np.full(len(pairs), rules, dtype=np.int64)
-        place[best] = np.arange(len(best))
-        rank = np.full(len(symbols) + 1, rules, dtype=np.int64)
-        rank[at] = place[code]
-        here = rank[:-1]
-        taken = (here < rules) & (here <= rank[1:])
-        taken[1:] &= here[1:] < here[:-1]
-        where = np.flatnonzero(taken)
-        lefts.append(pairs[best] >> 32)
-        rights.append(pairs[best] & 0xFFFFFFFF)
-        symbols[where] = first + made + here[where]
-        last[where] = last[where + 1]
-        made += len(best)
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[where + 1] = False
-        symbols, last = symbols[keep], last[keep]
-    ends = np.flatnonzero(last) + 1
+    level = 2 * least + int(uses.max(initial=0))
+    open_at = pair >= 0  # places whose pair may yet be replaced; the uses of a pair never grow
+    while True:
+        done, level = level == least, max(level // 2, least)
+        places = np.flatnonzero(open_at)
+        keep = uses[pair[places]] >= least
+        open_at[places[~keep]] = False
+        places, rank, chosen = _chosen(places[keep], pair, keys, uses, after, level)
+        if not len(chosen):
+            if done:
+                break
+            continue
+        taken = _matched(places, rank, rank_at, before, after)
+        won = rank[np.searchsorted(places, taken)]
+        made = np.flatnonzero(np.bincount(won, minlength=len(chosen)) >= least)
+        number = np.full(len(chosen), -1, dtype=np.int64)
+        number[made] = base + np.arange(len(made))
+        where = taken[number[won] >= 0]
+        lefts.append(keys[chosen[made]] >> 32)
+        rights.append(keys[chosen[made]] & 0xFFFFFFFF)
+        new = number[won[number[won] >= 0]]
+        # Pairs that go: the replaced one and those with the neighbours.
+        right = after[where]
+        np.subtract.at(uses, pair[where], 1)
+        follow = right[pair[right] >= 0]
+        np.subtract.at(uses, pair[follow], 1)
+        pair[where] = pair[right] = -1
+        open_at[where] = open_at[right] = False
+        lead = before[where]
+        lead = lead[pair[lead] >= 0]
+        np.subtract.at(uses, pair[lead], 1)
+        symbols[where] = new
+        symbols[right] = -1
+        after[where] = after[right]
+        before[after[where]] = where
+        # Pairs that come: of the new symbols with what follows, and with what is before.
+        back = before[where]
+        back = back[(back < n) & (symbols[back] < base)]
+        fresh = np.concatenate([where[after[where] < n], back])
+        code, found = pd.factorize(symbols[fresh] << 32 | symbols[after[fresh]])
+        pair[fresh] = len(keys) + code
+        open_at[fresh] = True
+        keys = np.concatenate([keys, found])
+        uses = np.concatenate([uses, np.bincount(code, minlength=len(found))])
+        base += len(made)
+    live = np.flatnonzero(symbols[:n] >= 0)
     begins = np.zeros(len(starts), dtype=np.int64)
-    begins[1:][np.diff(starts) > 0] = ends
-    return symbols, np.maximum.accumulate(begins), np.concatenate(lefts), np.concatenate(rights), first
+    begins[1:][np.diff(starts) > 0] = np.flatnonzero(after[live] == n) + 1
+    return symbols[live], np.maximum.accumulate(begins), np.concatenate(lefts), np.concatenate(rights), first
+
+
+def _chosen(
+    places: np.ndarray, pair: np.ndarray, keys: np.ndarray, uses: np.ndarray, after: np.ndarray, level: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some places those of pairs that can be replaced `level` times, their ranks, the pairs by rank.
+
+    Of a run of one symbol every second place counts.
+    """
+    hot = uses >= level
+    places = places[hot[pair[places]]]
+    code = pair[places]
+    same = (keys >> 32 == keys & 0xFFFFFFFF)[code]
+    if same.any():
+        runs = places[same]
+        joins = (after[runs[:-1]] == runs[1:]) & (pair[runs[:-1]] == pair[runs[1:]])
+        opens = np.flatnonzero(np.append(True, ~joins))
+        offset = np.arange(len(runs)) - np.repeat(opens, np.diff(np.append(opens, len(runs))))
+        keep = np.ones(len(places), dtype=bool)
+        keep[np.flatnonzero(same)[offset % 2 == 1]] = False
+        places, code = places[keep], code[keep]
+        count = np.bincount(code, minlength=len(uses))
+        keep = count[code] >= level
+        places, code = places[keep], code[keep]
+        chosen = np.flatnonzero(count >= level)
+        count = count[chosen]
+    else:
+        chosen = np.flatnonzero(hot)
+        count = uses[chosen]
+    mixed = (keys[chosen].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    chosen = chosen[np.argsort(mixed.astype(np.int64) - (count << 31), kind="stable")]
+    ranks = np.empty(len(uses), dtype=np.int32)
+    ranks[chosen] = np.arange(len(chosen))
+    return places, ranks[code], chosen
+
+
+def _matched(
+    places: np.ndarray, rank: np.ndarray, rank_at: np.ndarray, before: np.ndarray, after: np.ndarray
+) -> np.ndarray:
+    """Places of which no two overlap, lowest ranks first, such that every other one overlaps one.
+
+    `rank_at` is a scratch array that holds more than any rank, and does so again.
+    """
+    none = len(rank_at) - 1
+    out = []
+    rank_at[places] = rank
+    while len(places):
+        rank = rank_at[places]
+        wins = (rank < rank_at[before[places]]) & (rank < rank_at[after[places]])
+        taken = places[wins]
+        out.append(taken)
+        for ends in (taken, before[taken], after[taken]):
+            rank_at[ends] = none
+        places = places[~wins]
+        places = places[rank_at[places] < none]
+    return np.sort(np.concatenate(out))
 
 
 def expansion_lengths(lefts: np.ndarray, rights: np.ndarray, first: int) -> np.ndarray:
     """Ids that each rule stands for; a rule uses ids and earlier rules only."""
-    out = np.ones(len(lefts), dtype=np.int64)
-    for i, (a, b) in enumerate(zip(lefts.tolist(), rights.tolist(), strict=True)):
-        out[i] = (out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1)
-    return out
+    out: list[int] = []
+    for a, b in zip(lefts.tolist(), rights.tolist(), strict=True):
+        out.append((out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1))
+    return np.array(out, dtype=np.int64)
+
+
+def expanded(
+    symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, expands: np.ndarray, first: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all symbols end to end, and where each symbol's begin; no other rule is expanded."""
+
+    def sizes(x: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), dtype=np.int64)
+        out[x >= first] = expands[x[x >= first] - first]
+        return out
+
+    begins = np.append(0, np.cumsum(sizes(symbols)))
+    ids = np.empty(begins[-1], dtype=np.int32)
+    at = begins[:-1]
+    while len(symbols):
+        done = symbols < first
+        ids[at[done]] = symbols[done]
+        rule, at = symbols[~done] - first, at[~done]
+        left, right = lefts[rule], rights[rule]
+        symbols, at = np.concatenate([left, right]), np.concatenate([at, at + sizes(left)])
+    return ids, begins
 
 
 def expansions(lefts: np.ndarray, rights: np.ndarray, first: int) -> pa.Array:
     """The ids of every symbol, from the ids themselves to the last rule."""
-    held: list[np.ndarray] = []
-    for a, b in zip(lefts.tolist(), rights.tolist(), strict=True):
-        parts = [held[x - first] if x >= first else np.array([x]) for x in (a, b)]
-        held.append(np.concatenate(parts))
-    flat = np.concatenate([np.arange(first), *held]).astype(np.int32)
-    ends = np.concatenate([np.arange(first), first + np.cumsum([0, *map(len, held)])])
-    return X.list_array(ends, pa.array(flat))
+    every = np.arange(first + len(lefts))
+    ids, begins = expanded(every, lefts, rights, expansion_lengths(lefts, rights, first), first)
+    return X.list_array(begins, pa.array(ids))
 
 
 def token_at(symbols, lefts, rights, expands, first: int, position: int) -> int:
@@ -192,8 +297,7 @@ def write_files(
 def read_documents(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(shard, row, doc_id, ids) of all documents, or of those whose id is in `wanted` (doc_id).
 
-    Documents are decoded one by one from their own symbols; of a shard only its rules
-    are expanded besides.
+    Documents are decoded from their own symbols and the rules that these use.
     """
     if wanted is not None:
         keys = wanted.select(F.col("doc_id").alias("_id")).distinct()
@@ -212,15 +316,15 @@ def read_documents(files: DataFrame, wanted: DataFrame | None = None) -> DataFra
 
 
 def _decoded(row: pa.RecordBatch) -> pa.RecordBatch:
-    flat = {c: row[c].flatten() for c in ("ids", "starts", "lefts", "rights")}
-    starts, lefts, rights = (flat[c].to_numpy().astype(np.int64) for c in ("starts", "lefts", "rights"))
+    flat = {c: row[c].flatten() for c in ("ids", "starts", "lefts", "rights", "expands")}
+    starts, *rules = (flat[c].to_numpy().astype(np.int64) for c in ("starts", "lefts", "rights", "expands"))
     symbols = X.unpack_codes(row["symbols"][0].as_py()).astype(np.int64)
     picked = row["rows"][0].as_py()
     rows = np.arange(len(flat["ids"])) if picked is None else np.array(sorted(picked), dtype=np.int64)
     sizes = np.diff(starts)[rows]
     at = np.append(0, np.cumsum(sizes))
     where = np.repeat(starts[:-1][rows] - at[:-1], sizes) + np.arange(at[-1])
-    ids, ends = gather(expansions(lefts, rights, row["first_rule"][0].as_py()), symbols[where])
+    ids, ends = expanded(symbols[where], *rules, row["first_rule"][0].as_py())
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(rows), row["shard"][0].as_py()), pa.int64()),

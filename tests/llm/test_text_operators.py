@@ -97,6 +97,28 @@ def test_grammar_expands_again():
             assert one == ids[p]
 
 
+def test_grammar_leaves_no_repeated_pair():
+    chance = np.random.default_rng(2)
+    copied = chance.integers(0, 5000, 600)
+    noise = [chance.integers(0, 40, 50) for _ in range(64)]
+    docs = [x for n in noise for x in (copied, n, np.repeat(n[:1], 9))]
+    ids, starts = np.concatenate(docs), np.cumsum([0, *map(len, docs)])
+    symbols, begins, lefts, rights, first = repair.compress(ids, starts)
+    got, at = repair.gather(repair.expansions(lefts, rights, first), symbols)
+    assert (got == ids).all() and (at[begins] == starts).all()
+    seen = set()
+    for a, b in zip(begins, begins[1:]):
+        held, skip = symbols[a:b].tolist(), False
+        for x, y, z in zip([None, *held], held, held[1:]):
+            skip = x == y == z and not skip
+            assert skip or (y, z) not in seen
+            seen.add((y, z))
+    assert max(begins[i + 1] - begins[i] for i in range(0, len(docs), 3)) == 1  # a copy is one symbol
+    sizes = repair.expansion_lengths(lefts, rights, first)
+    part, ends = repair.expanded(symbols[: begins[2]], lefts, rights, sizes, first)
+    assert (part == ids[: starts[2]]).all() and ends[begins[1]] == starts[1]
+
+
 def fingerprint(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
