@@ -10,8 +10,10 @@ or a single token is decoded without the rest of the shard.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -35,15 +37,53 @@ FILE_SCHEMA = (
 )
 
 
+def added_tokens(path: str) -> list[str]:
+    """Texts that a tokenizer file gives an id of their own, before pre-tokens are taken."""
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(path).get_added_tokens_decoder().values()
+    for t in tokens:
+        if t.lstrip or t.rstrip or t.single_word or t.normalized:
+            raise ValueError(f"the added token {t.content!r} does not match by its text alone")
+    return [t.content for t in tokens if t.content]
+
+
+def split_at(tokens: list[str], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-tokens as `pretokens` gives them, but each of `tokens` in a text is one of its own.
+
+    The leftmost token goes first, of those that begin together the longest.
+    """
+    raw = data.tobytes()
+    names = sorted((t.encode() for t in tokens), key=len, reverse=True)
+    if not any(t in raw for t in names):
+        return pretokens(data, offsets)
+    found = re.compile(b"|".join(map(re.escape, names)))
+    # Pieces of the texts, every second one of a text an added token.
+    ends, sizes, own = [0], [], []
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        spans = [x for m in found.finditer(raw[a:b]) for x in m.span()]
+        ends += [a + x for x in spans] + [b]
+        own += [i % 2 == 1 for i in range(len(spans) + 1)]
+        sizes.append(len(spans) + 1)
+    ends, own = np.array(ends), np.array(own, dtype=bool)
+    data, at, counts = pretokens(data, ends)
+    closes = np.cumsum(counts)
+    keep = np.ones(len(at), dtype=bool)  # an added token keeps its begin only
+    for piece in np.flatnonzero(own):
+        keep[closes[piece] - counts[piece] + 1 : closes[piece]] = False
+    counts = np.where(own, 1, counts)
+    first = np.append(0, np.cumsum(sizes))[:-1]
+    return data, at[keep], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def json_encoder(path: str):
-    """Encoder of single pre-tokens by a tokenizer file; made once per task."""
+    """Encoder of single pre-tokens and added tokens by a tokenizer file; made once per task."""
 
     def make() -> Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
 
         def encode(words: pa.Array) -> pa.Array:
             ids: list[list[int]] = []
@@ -279,13 +319,15 @@ def write_files(
     """Encode all rows, write the files and return them: a row per shard.
 
     Shards follow each other in ascending id order; rows of equal or null id lie together,
-    nulls first, in any order. Null texts have the end id only. Repeated rows stay. No
-    rows write no shard. Other columns are not read.
+    nulls first, in any order. Null texts have the end id only. Added tokens of the
+    tokenizer have their ids inside texts too. Repeated rows stay. No rows write no shard.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id")
-    chunks = bucketed(X.word_chunks(ordered, pretokens, SHARD_BYTES), "shard-words", "chunk")
+    split = partial(split_at, added_tokens(tokenizer))
+    chunks = bucketed(X.word_chunks(ordered, split, SHARD_BYTES), "shard-words", "chunk")
     tasks = X.bucket_count(spark, X.total_keys(chunks))
     make = json_encoder(tokenizer)
     words = X.resolve(X.explode_keys(chunks, tasks), lambda keys, _uses: make()(keys), tasks)

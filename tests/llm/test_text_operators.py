@@ -80,6 +80,19 @@ def test_repair_files(docs, empty):
     assert repair.digests(empty, JSON).count() == 0
 
 
+def test_repair_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, f"{end}{end}", f" {end}\n\n{end} x{end}'s 12{end}", "<|endof", "text|>", "", "plain",
+             f"é😀{end}é  ", "<|endof<|endoftext|>text|>", None, f"tail{end}"]
+    tokenizer = Tokenizer.from_file(JSON)
+    want = {i: (*tokenizer.encode(t or "", add_special_tokens=False).ids, 0) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: tuple(r["ids"]) for r in repair.read_documents(repair.write_files(docs, JSON)).collect()}
+    assert got == want and 50256 in got[0]
+
+
 def test_grammar_expands_again():
     chance = np.random.default_rng(1)
     for n, kinds in ((0, 1), (1, 1), (40, 1), (3000, 3), (3000, 40)):
