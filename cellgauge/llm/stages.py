@@ -21,7 +21,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
+    """One document of each group of near-duplicates, that with the smallest id.
+
+    Near-duplicates are those of op9: fingerprints of 4-word shingles that differ in 4 of 64
+    bits or fewer, and what these connect. Texts of a similarity between about 0.8 and 0.95
+    mostly stay.
+    """
     return simhash.kept_documents(docs)
 
 

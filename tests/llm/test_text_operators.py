@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from conftest_llm import DOCS, lower
 
-from cellgauge.llm import bpe, ctw, langid, phrase, repair, simhash, text
+from cellgauge.llm import bpe, ctw, langid, phrase, repair, simhash, stages, text
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -268,6 +268,41 @@ def test_rejection_is_calibrated(spark):
     assert bare.count() == 0
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    chance = random.Random(3)
+
+    def prose(alphabet, words=120):
+        pairs = [a + alphabet[(i + 1) % len(alphabet)] for i, a in enumerate(alphabet)]
+        return " ".join("".join(chance.choices(pairs, k=3)) for _ in range(words))
+
+    latin, other = "abcdefgh", "ijklmnop"
+    clean = [(prose(x), lang) for x, lang in ((latin, "aa"), (other, "ii")) for _ in range(150)]
+    junk = [(" ".join("".join(chance.choices("абвгдежз", k=6)) for _ in range(60)), None) for _ in range(5)]
+    passage = prose(latin, 30)
+    leaked = [(f"{prose(latin, 60)} {passage} {prose(latin, 60)}", "aa") for _ in range(4)]
+    near = [(t.rsplit(" ", 1)[0] + " " + t[:6], lang) for t, lang in clean[100:130]]
+    rows = [*clean, *junk, *leaked, *clean[:10], *near, (None, "aa"), ("12 !", "ii")]
+    docs = [(i, t, lang, "s", len(t or "")) for i, (t, lang) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    accepted = sorted(r["doc_id"] for r in langid.predictions(read).where("accepted").collect())
+    assert len(accepted) >= 0.9 * len(rows) and not any(rows[i] in junk or rows[i][0] in (None, "12 !") for i in accepted)
+    prints = {i: fingerprint(rows[i][0]) for i in accepted}
+    group = {i: i for i in accepted}
+    for i in accepted:  # in ascending order, merged into the smallest id
+        for j in {group[j] for j in accepted if j < i and (prints[i] ^ prints[j]).bit_count() <= 4}:
+            a, b = sorted((group[i], j))
+            group = {k: a if g == b else g for k, g in group.items()}
+    kept = [i for i in accepted if group[i] == i]
+    assert len(accepted) - len(kept) > 10  # copies, and near copies besides
+    want = {i: hashlib.sha256(rows[i][0].encode()).hexdigest() for i in kept if passage not in rows[i][0]}
+    assert len(want) < len(kept)
+    got = stages.run(spark, str(tmp_path)).select("doc_id", "decoded_sha256").collect()
+    assert len(got) == len(want) and {r[0]: r[1] for r in got} == want
+
+
 def naive_ctw(train, test):
     """Probability of a test text by recursion over explicit binary sequences."""
     counts = collections.Counter()
