@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgauge.llm import bpe, chat, ctw, langid, lattice, phrase, repair, shards, simhash, stages, warc
+from cellgauge.llm import bpe, chat, ctw, divergence, langid, lattice, phrase, repair, shards, simhash, spelling, stages, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -93,3 +93,15 @@ def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as grammars and read back."""
     return repair.digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op11_source_divergence", divergence.ORACLE)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of sources and their terms above their language's share, over all documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants", spelling.ORACLE)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their near words, forms and roots."""
+    return spelling.groups(table(spark, sf_dir, "documents"))
