@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgauge.llm import bpe, chat, ctw, divergence, langid, lattice, phrase, repair, shards, simhash, spelling, stages, warc
+from cellgauge.llm import bpe, chat, ctw, divergence, langid, lattice, phrase, repair, shards, simhash, spelling, stages, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -105,3 +105,9 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, their near words, forms and roots."""
     return spelling.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labels that are not held out."""
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,6 +1,6 @@
 """Spelling variants: words that differ by one code point, and the form each belongs to.
 
-Words are joined by asymmetric q-grams chunks. The shorter word of a pair gives two disjoint
+Words are joined by asymmetric q-chunks. The shorter word of a pair gives two disjoint
 chunks, its halves; the longer one gives positional grams of the same lengths, at the places
 that a shift of at most one leaves them. One edit keeps one of the halves, so every pair
 shares a key. A key shared by many words is split: where one half is equal the edit lies in
