@@ -35,6 +35,8 @@ ROWS = 512
 FAN = 16
 #: Sources and terms of a tile when sources are compared.
 TILE_SOURCES, TILE_TERMS = 128, 2048
+#: Counts that one task compares, at least, and per pair of sources: partial sums stay fewer than counts.
+TASK_COUNTS, PAIR_COUNTS = 20_000, 16
 
 TALLY_SCHEMA = "bucket int, names binary, terms binary, term binary, `group` binary, uses binary, docs binary"
 
@@ -269,7 +271,7 @@ def top_terms(counts: DataFrame, totals: DataFrame, top: int = 50) -> DataFrame:
 
 
 def _distances(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums over the terms of one (lang, bucket) for every ordered pair of sources of the lang."""
+    """Sums over the terms of one (lang, part) for every ordered pair of sources of the lang."""
     X.lean_memory()
     right = right.sort_by("source")
     names = one_array(right["source"])
@@ -314,13 +316,17 @@ def _shares(sources, n, v, place, term, uses, width) -> np.ndarray:
 def source_pairs(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """Part `pair`: the distance of every ordered pair of sources of a language, ranked.
 
-    A task takes the terms of one language and bucket and compares its sources in tiles;
+    A task takes a part of the terms of one language and compares its sources in tiles;
     sources without a term there come from the totals, so do languages that keep none.
+    The number of parts follows the counts, so each holds a bounded share of them.
     """
-    buckets = counts.select("lang", "bucket").union(totals.select("lang", F.lit(0).alias("bucket"))).distinct()
-    right = totals.join(buckets, "lang").select("bucket", "lang", "source", "n", "v").toDF("b", "l", "source", "n", "v")
-    left = counts.select("bucket", "lang", "sources", "counts")
-    sums = left.groupBy("lang", "bucket").cogroup(right.groupBy("l", "b")).applyInArrow(
+    held = counts.agg(F.sum(F.size("counts"))).first()[0] or 0
+    widest = totals.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-held // max(TASK_COUNTS, PAIR_COUNTS * widest**2)))
+    left = counts.select((F.col("bucket") % parts).alias("part"), "lang", "sources", "counts")
+    known = left.select("lang", "part").union(totals.select("lang", F.lit(0))).distinct()
+    right = totals.join(known, "lang").select("part", "lang", "source", "n", "v").toDF("p", "l", "source", "n", "v")
+    sums = left.groupBy("lang", "part").cogroup(right.groupBy("l", "p")).applyInArrow(
         _distances, "lang string, source string, item string, value long"
     )
     return _ranked(sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")), "pair")
