@@ -32,6 +32,8 @@ HEADS, INNER = (3, 4, 5, 6, 7, 8), (5,)
 LEAST_RATIO, LEAST_TEXTS = 20.0, 4
 #: Bits of a packed count: texts below, toxic texts above.
 BITS = 31
+#: Bytes of texts whose terms a task expands at once.
+CHUNK_BYTES = 3 << 20
 
 
 class Machine(NamedTuple):
@@ -78,14 +80,17 @@ def word_terms(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs(bag: Bag, word: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of text and term from the pairs of text and word, in order of the texts."""
+    if not len(word):
+        return np.empty(0, np.int64), term[:0]
+    names, code = np.unique(term, return_inverse=True)
     order = np.argsort(word, kind="stable")
-    word, term = word[order], term[order]
+    word, code = word[order], code[order]
     first = np.searchsorted(word, np.arange(len(bag.words) + 1))
     count = np.diff(first)[bag.code]
-    at = np.repeat(first[bag.code] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    names, code = np.unique(term[at], return_inverse=True)
-    key = np.unique(np.repeat(bag.doc, count) * max(len(names), 1) + code)
-    return key // max(len(names), 1), names[key % max(len(names), 1)] if len(names) else term[:0]
+    key = np.repeat(first[bag.code] - np.cumsum(count) + count, count)
+    key += np.arange(len(key))
+    key = np.unique(code[key] + np.repeat(bag.doc * len(names), count))
+    return key // len(names), names[key % len(names)]
 
 
 def kept_features(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +106,7 @@ def kept_features(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def labelled(docs: DataFrame, labels: DataFrame, learn: Column, fit_docs: int, id_col: str, text_col: str,
              label_col: str) -> DataFrame:
-    """The sample (text, toxic): labelled texts that may be learnt from, each distinct text once.
+    """The sample (h, text, toxic): labelled texts that may be learnt from, each distinct text once.
 
     At most about `fit_docs` ids, those of the lowest hashes; so the join broadcasts a table
     of a known size. A doubly labelled id or text is toxic if one of its labels says so.
@@ -117,12 +122,12 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: Column, fit_docs: int, i
     sample = texts.join(F.broadcast(known), "id").groupBy(F.xxhash64("text").alias("h")).agg(
         F.first("text").alias("text"), F.max("toxic").alias("toxic")
     )
-    return written(sample.select("text", "toxic"), "toxic-sample")
+    return written(sample, "toxic-sample")
 
 
 def _presence(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, table in enumerate(X.doc_chunks(batches)):
+        for chunk, table in enumerate(X.doc_chunks(batches, CHUNK_BYTES)):
             bag = bag_of(one_array(table["text"]), split_terms)
             if not len(bag.words):
                 continue
@@ -176,16 +181,23 @@ def screened_terms(
 
 
 def margins(model: Machine, doc: np.ndarray, feature: np.ndarray, texts: int) -> np.ndarray:
-    """Log-odds of texts from their pairs of text and kept term."""
+    """Log-odds of texts from their pairs of text and kept term; `doc` is sorted."""
     held = model.factors[feature]
-    total = np.zeros((texts, held.shape[1]))
-    squares = np.zeros(texts)
-    np.add.at(total, doc, held)
-    np.add.at(squares, doc, (held**2).sum(axis=1))
+    total = by_text(doc, held, texts)
+    squares = np.bincount(doc, weights=(held**2).sum(axis=1), minlength=texts)
     linear = np.bincount(doc, weights=model.weights[feature], minlength=texts)
     return model.bias + linear + ((total**2).sum(axis=1) - squares) / 2
 
 
+def by_text(doc: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:
+    """Sums of the rows of each text; `doc` is sorted."""
+    total = np.zeros((texts, values.shape[1]))
+    if len(doc):
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        total[doc[first]] = np.add.reduceat(values, first, axis=0)
+    return total
+
+
 def probability(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
@@ -194,16 +206,15 @@ def gradients(model: Machine, doc: np.ndarray, feature: np.ndarray, toxic: np.nd
     """Gradients of the mean log loss by bias, weights and factors."""
     error = (probability(margins(model, doc, feature, len(toxic))) - toxic) / len(toxic)
     held = model.factors[feature]
-    total = np.zeros((len(toxic), held.shape[1]))
-    np.add.at(total, doc, held)
-    weights = np.bincount(feature, weights=error[doc], minlength=len(model.weights))
-    factors = np.zeros_like(model.factors)
-    np.add.at(factors, feature, error[doc, None] * (total[doc] - held))
+    slope = error[doc, None] * (by_text(doc, held, len(toxic))[doc] - held)
+    size = len(model.weights)
+    weights = np.bincount(feature, weights=error[doc], minlength=size)
+    factors = np.stack([np.bincount(feature, weights=s, minlength=size) for s in slope.T], axis=1)
     return float(error.sum()), weights, factors
 
 
 def trained(terms: np.ndarray, doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, rank: int = 8,
-            epochs: int = 30, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
+            epochs: int = 20, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
     """Fit by Adam on batches in seeded order; `doc` is sorted. Without both labels only the bias speaks."""
     n, draw = len(toxic), np.random.default_rng(seed)
     positive = float(toxic.sum())
@@ -234,7 +245,7 @@ def trained(terms: np.ndarray, doc: np.ndarray, feature: np.ndarray, toxic: np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_docs: int = 50_000,
-        max_terms: int = 8192, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+        max_terms: int = 2048, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Train a machine on labelled texts.
 
     `learn` says which ids (column `id`) may be learnt from. The sample is bounded by
@@ -247,14 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_doc
     terms = screened_terms(sample, every, all_toxic, max_terms) if 0 < all_toxic < every else np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in X.doc_chunks(batches):
+        for table in X.doc_chunks(batches, CHUNK_BYTES):
             doc, feature = kept_features(one_array(table["text"]), terms)
             at = np.searchsorted(doc, np.arange(len(table) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [one_array(table["toxic"]), X.list_array(at, pa.array(feature, pa.int32()))], ["toxic", "terms"]
-            )
+            held = X.list_array(at, pa.array(feature, pa.int32()))
+            yield pa.RecordBatch.from_arrays([one_array(table["h"]), one_array(table["toxic"]), held], ["h", "toxic", "terms"])
 
-    rows = sample.mapInArrow(run, "toxic int, terms array<int>").orderBy("toxic", "terms").toArrow()
+    rows = sample.mapInArrow(run, "h long, toxic int, terms array<int>").toArrow().sort_by("h")
     lists = one_array(rows["terms"])
     count = lists.value_lengths().to_numpy().astype(np.int64) if len(lists) else np.empty(0, np.int64)
     feature = lists.flatten().to_numpy().astype(np.int64) if len(lists) else np.empty(0, np.int64)
@@ -266,7 +276,7 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in X.doc_chunks(batches):
+        for table in X.doc_chunks(batches, CHUNK_BYTES):
             doc, feature = kept_features(one_array(table["text"]), shared.value.terms)
             found = probability(margins(shared.value, doc, feature, len(table)))
             yield pa.RecordBatch.from_arrays([one_array(table["id"]), pa.array(found)], ["id", "score"])
