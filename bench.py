@@ -35,6 +35,8 @@ HEADLINE = [
     "model_monolithic",
     "job_vertical",
     "job_horizontal",
+    "model_cross_validation",
+    "evaluation_bundle",
 ]
 
 

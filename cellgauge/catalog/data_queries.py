@@ -853,6 +853,30 @@ def horizontal_check(spark, sf_dir):
     return partition.horizontal_check(partition.horizontal_split(df), df)
 
 
+@query(
+    "horizontal_check_sides",
+    sql(
+        *Q.RAW,
+        f"sided AS (SELECT *, {Q.SPLIT} AS split FROM network)",
+        """keyed AS (
+          SELECT split, tower_id, count(*) AS o, count(*) FILTER (WHERE location_type = 'Urban') AS u,
+                 count(*) FILTER (WHERE location_type = 'Rural') AS r
+          FROM sided GROUP BY split, tower_id
+        )""",
+        select="""SELECT *, rows_urban + rows_rural = rows_original AND keys_in_both = 0
+            AND keys_lost = 0 AS is_valid, rows_urban < 5 OR rows_rural < 5 AS small_segment
+          FROM (SELECT split, CAST(sum(o) AS BIGINT) AS rows_original, CAST(sum(u) AS BIGINT) AS rows_urban,
+            CAST(sum(r) AS BIGINT) AS rows_rural, count(*) FILTER (WHERE u > 0 AND r > 0) AS keys_in_both,
+            count(*) FILTER (WHERE u + r = 0) AS keys_lost FROM keyed GROUP BY split)""",
+    ),
+)
+def horizontal_check_sides(spark, sf_dir):
+    """Both sides of the split against their own rows; the segments lack the rows of unknown location."""
+    df = partition.train_test_split(network(spark, sf_dir))
+    known = df.filter(F.col(S.LOCATION).isin(texts.KNOWN_LOCATIONS))
+    return partition.horizontal_check(partition.horizontal_split(known), df, by=[partition.SPLIT])
+
+
 @query(
     "segment_overlap",
     sql(*Q.RAW, _SPLIT, _SIDES, select="SELECT * FROM sides WHERE n_urban > 0 AND n_rural > 0"),

@@ -17,12 +17,13 @@ from cellgauge.functions import texts
 from cellgauge.operators import models as M
 from cellgauge.operators.clean import preprocess
 from cellgauge.operators.evaluate import model_metrics
+from cellgauge.operators.features import FeatureSpec
 from cellgauge.operators.fusion import META, FusionModel
 from cellgauge.operators.partition import SPLIT, TEST, TRAIN, location_heuristic, train_test_split
 from cellgauge.plans.evaluation import evaluation_bundle
 from cellgauge.plans.horizontal import run_horizontal
-from cellgauge.plans.jobs import JobConfig
-from cellgauge.plans.vertical import MODEL_TYPES, run_vertical
+from cellgauge.plans.jobs import JobConfig, JobResult, frozen
+from cellgauge.plans.vertical import FUSION, INFRA, MODEL_TYPES, USER, run_vertical
 from cellgauge.sources import schema as S
 from cellgauge.sources.network import observations
 
@@ -200,21 +201,134 @@ def score_horizontal(spark, sf_dir):
     )
 
 
+def closing(result: JobResult, *names: str) -> dict[str, DataFrame]:
+    """Some small tables of a job, computed before its cached rows are freed."""
+    tables = {name: frozen(result[name]) for name in names}
+    result.close()
+    return tables
+
+
 @query("job_vertical")
 def job_vertical(spark, sf_dir):
-    return run_vertical(observations(spark, sf_dir), JOB)["comparison"]
+    return closing(run_vertical(observations(spark, sf_dir), JOB), "comparison")["comparison"]
 
 
 @query("job_horizontal")
 def job_horizontal(spark, sf_dir):
-    return run_horizontal(observations(spark, sf_dir), JOB)["comparison"]
+    return closing(run_horizontal(observations(spark, sf_dir), JOB), "comparison")["comparison"]
 
 
-@query("evaluation_bundle")
-def evaluation_tables(spark, sf_dir):
+def bundle(spark, sf_dir) -> dict[str, list]:
+    """Rows of all tables of the evaluation bundle, with scores of all four models on every fold."""
     result = run_vertical(observations(spark, sf_dir), JOB)
+    train = result.rows.filter(F.col(SPLIT) == TRAIN)
+    scores = M.cross_validate(train, MAKERS, FOLDS, fused=(FUSION, INFRA, USER))
     test = result["predictions"].filter(F.col(SPLIT) == TEST)
+    tables = evaluation_bundle(test, {name: name for name in MODEL_TYPES}, MODEL_TYPES, scores)
+    out = {name: [row.asDict() for row in table.collect()] for name, table in tables.items()}
+    result.close()
+    return out
+
+
+@query("evaluation_bundle")
+def evaluation_tables(spark, sf_dir):
+    """Every value of every table: tables of a few rows each."""
+    cells = [
+        (name, i + 1, column, None if value is None else str(value))
+        for name, rows in bundle(spark, sf_dir).items()
+        for i, row in enumerate(rows)
+        for column, value in row.items()
+    ]
+    return spark.createDataFrame(cells, "table_name string, position int, column_name string, value string")
+
+
+@query(
+    "bundle_facts",
+    Q.with_ctes(
+        *Q.CLEANED,
+        select="SELECT table_name, n_rows, CAST(0 AS BIGINT) AS n_missing, "
+        f"(SELECT count(*) FROM cleaned WHERE {Q.SPLIT} = 'test') AS dataset_size FROM (VALUES "
+        "('comparison', CAST(4 AS BIGINT)), ('performance', 4), ('significance', 6), ('best', 1), ('size', 1), "
+        "('cross_validation', 4)) AS t(table_name, n_rows)",
+    ),
+)
+def bundle_facts(spark, sf_dir):
+    """Rows of each table of the bundle, values it lacks, and the rows it was evaluated on."""
+    tables = bundle(spark, sf_dir)
+    size = tables["size"][0]["dataset_size"]
+    facts = [
+        (name, len(rows), sum(value is None for row in rows for value in row.values()), size)
+        for name, rows in tables.items()
+    ]
+    return spark.createDataFrame(facts, "table_name string, n_rows long, n_missing long, dataset_size long")
+
+
+@query(
+    "fusion_facts",
+    Q.with_ctes(
+        *Q.CLEANED,
+        select="SELECT count(*) AS n_rows, count(*) AS n_fused, CAST(0 AS BIGINT) AS n_wrong, "
+        f"CAST(1.0 AS DOUBLE) AS weight_sum FROM cleaned WHERE {Q.SPLIT} = 'test'",
+    ),
+)
+def fusion_facts(spark, sf_dir):
+    """A trained fusion: its weights share 1, and every prediction is the weighted sum of its members'."""
+    _, train, test = prepared(spark, sf_dir)
+    fusion = FusionModel(settings=FOREST).train(train)
+    scored = fusion.predict(fusion.components(test))
+    a, b = fusion.weights
+    gap = F.abs(F.col("prediction") - a * F.col(INFRA) - b * F.col(USER))
+    return scored.agg(
+        F.count("*").alias("n_rows"),
+        F.count("prediction").alias("n_fused"),
+        F.count_if(gap > 1e-9).alias("n_wrong"),
+        F.round(F.lit(a + b), 9).alias("weight_sum"),
+    )
+
+
+@query(
+    "importance_facts",
+    Q.with_ctes(
+        *Q.LOCATED_ROWS,
+        "kinds AS (SELECT count(DISTINCT device_type) - 1 AS d, count(DISTINCT location_type) - 1 AS l "
+        f"FROM located WHERE {Q.SPLIT} = 'train')",
+        select=" UNION ALL ".join(
+            f"SELECT '{name}' AS model_name, CAST({n} AS BIGINT) AS n_features, CAST(1.0 AS DOUBLE) AS total, "
+            "CAST(0 AS BIGINT) AS n_wrong FROM kinds"
+            for name, n in (("infrastructure_model", "2"), ("user_behavior_model", "1 + d"), ("monolithic_model", "3 + d + l"))
+        ),
+    ),
+)
+def importance_facts(spark, sf_dir):
+    """Importances: one per feature, none negative, largest first, 1 in all."""
+    _, train, _ = prepared(spark, sf_dir)
+    facts = []
+    for name, make in MAKERS.items():
+        rows = make().train(train).feature_importance(train).collect()
+        shares = [r["importance"] for r in rows]
+        wrong = sum(a < b for a, b in zip(shares, shares[1:], strict=False)) + sum(s < 0 for s in shares)
+        facts.append((name, len({r["feature"] for r in rows}), round(sum(shares), 9), wrong))
+    return spark.createDataFrame(facts, "model_name string, n_features long, total double, n_wrong long")
+
+
+@query(
+    "stump_predictions",
+    Q.with_ctes(
+        *Q.CLEANED,
+        f"side AS (SELECT device_type, latency AS y FROM cleaned WHERE {Q.SPLIT} = 'train')",
+        "every AS (SELECT count(*) AS n, sum(y) AS s FROM side)",
+        "one AS (SELECT device_type AS v, count(*) AS k, sum(y) AS t FROM side GROUP BY device_type)",
+        "best AS (SELECT v, t / k AS inside, (s - t) / (n - k) AS outside FROM one, every "
+        "WHERE v > (SELECT min(v) FROM one) AND k < n "
+        "ORDER BY t * t / k + (s - t) * (s - t) / (n - k) DESC, v LIMIT 1)",
+        select="SELECT one.v AS device_type, round(CASE WHEN one.v = best.v THEN inside ELSE outside END, 6) AS prediction "
+        "FROM one, best",
+    ),
+)
+def stump_predictions(spark, sf_dir):
+    """A forest of one tree, one level deep and without bootstrap, on the device: its exact predictions."""
     _, train, _ = prepared(spark, sf_dir)
-    scores = M.cross_validate(train, MAKERS, FOLDS)
-    models = {name: name for name in MODEL_TYPES}
-    return evaluation_bundle(test, models, MODEL_TYPES, scores)["performance"]
+    settings = M.ForestSettings(trees=1, depth=1, bootstrap=False)
+    stump = M.ForestModel("stump", FeatureSpec((), (S.DEVICE,)), settings).train(train)
+    seen = train.select(S.DEVICE).distinct()
+    return stump.predict(seen).select(S.DEVICE, F.round("prediction", 6).alias("prediction"))

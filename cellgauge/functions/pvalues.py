@@ -13,6 +13,18 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def signed_rank_two_sided(statistic: float, n: int) -> float:
+    """Twice the share of all signs of the ranks 1 to n whose smaller sum is at most the statistic.
+
+    The ways to reach each rank sum are counted rank by rank, in whole numbers.
+    """
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for total in range(len(ways) - 1, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    return min(1.0, 2 * sum(ways[: math.floor(statistic) + 1]) / 2**n)
+
+
 def student_two_sided(t: float, df: float) -> float:
     """Tail of Student's t through the incomplete beta function."""
     if math.isnan(t) or df <= 0:

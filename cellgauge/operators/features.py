@@ -42,11 +42,11 @@ def categories_seen(df: DataFrame, column: str = S.DEVICE) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).select(column).distinct()
 
 
-def fit_categories(df: DataFrame, column: str = S.DEVICE) -> list[str]:
-    """Sorted categories of a column. They become features, so there must be few."""
-    rows = categories_seen(df, column).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories")
+def fit_categories(df: DataFrame, column: str = S.DEVICE, most: int = MAX_CATEGORIES) -> list[str]:
+    """Sorted categories of a column. They become features, so more than `most` are an error."""
+    rows = categories_seen(df, column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} categories")
     return sorted(row[column] for row in rows)
 
 
@@ -103,10 +103,10 @@ class FittedFeatures:
         return [*self.spec.numeric, *indicators]
 
     def vector(self, medians: Mapping[str, float | None] | None = None) -> Column:
-        """Numbers with nulls filled, then the indicators, as one vector."""
+        """Numbers with missing ones (null or NaN) filled, then the indicators, as one vector."""
         fill = medians or self.medians
         parts = [
-            F.coalesce(F.col(c).cast("double"), F.lit(float(fill[c] or 0.0)))
+            F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(float(fill[c] or 0.0)))
             for c in self.spec.numeric
         ]
         for c, values in self.categories.items():
@@ -123,7 +123,8 @@ def fit_features(
     for c in spec.categorical:
         known = df.select(F.coalesce(F.col(c), F.lit(texts.UNKNOWN)).alias(c))
         categories[c] = fit_categories(known, c)
-    return FittedFeatures(spec, fit_medians(df, spec.numeric, rows=rows), categories)
+    medians = fit_medians(df, spec.numeric, rows=rows) if spec.numeric else {}
+    return FittedFeatures(spec, medians, categories)
 
 
 def feature_names(df: DataFrame, specs: Mapping[str, FeatureSpec]) -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgauge.operators.evaluate import fold_mse, model_metrics
+from cellgauge.operators.evaluate import model_metrics
 from cellgauge.operators.models import (
     ForestSettings,
     cross_predict,
+    cross_validate,
     infrastructure_model,
     score_vertical,
     user_behavior_model,
@@ -142,8 +143,8 @@ class FusionModel:
         return cross_predict(df, makers, CV_FOLDS)
 
     def _train_weights(self, df: DataFrame) -> None:
-        scores = fold_mse(self._out_of_fold(df), {"a": "_a", "b": "_b"}, "fold", self.target)
-        row = fusion_weights(scores, "a", "b").first()
+        makers = {"a": lambda: infrastructure_model(self.settings), "b": lambda: user_behavior_model(self.settings)}
+        row = fusion_weights(cross_validate(df, makers, CV_FOLDS, target=self.target), "a", "b").first()
         self.weights = (row["weight_a"], row["weight_b"])
 
     def _train_meta(self, df: DataFrame) -> None:

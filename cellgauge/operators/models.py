@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cellgauge.functions import texts
 from cellgauge.functions.columns import hash32
+from cellgauge.operators import cells as C
 from cellgauge.operators import features as X
 from cellgauge.operators.clean import fit_medians
 from cellgauge.operators.evaluate import fold_mse, model_metrics, require_samples
@@ -24,14 +27,18 @@ from cellgauge.sources import schema as S
 log = logging.getLogger(__name__)
 
 FOLD_SEED = 7
+CELLS, MLLIB = "cells", "mllib"
 
 
 @dataclass(frozen=True)
 class ForestSettings:
-    """Depth is bounded in MLlib (30); each level doubles the cost.
+    """Which forest, and how large.
 
-    `layout` fixes the number and order of training partitions, so that the same seed
-    gives the same forest on any cluster. It costs one shuffle of the training rows.
+    The engine `cells` grows trees from one aggregate over binned features (see `cells`); a
+    grid wider than it takes is left to `mllib`. There depth is bounded (30) and each level
+    doubles the cost; `layout` fixes the number and order of its training partitions, so
+    that the same seed gives the same forest on any cluster, at the price of one shuffle.
+    `memory_mb` is what its tasks use each; `bootstrap` is for `cells`.
     """
 
     trees: int = 100
@@ -39,7 +46,9 @@ class ForestSettings:
     seed: int = 42
     bins: int = 32
     layout: int | None = None
-    memory_mb: int = 1024
+    memory_mb: int = 256
+    engine: str = CELLS
+    bootstrap: bool = True
 
 
 class ForestModel:
@@ -72,6 +81,13 @@ class ForestModel:
             df = df.filter(F.col(S.LOCATION) == self.location)
         n = check_model_input(df, [], self.target, self.min_rows)
         self.features = X.fit_features(df, self.spec, n)
+        if self.settings.engine == CELLS:
+            grid = C.fit_grid(df, self.features, self.settings.bins, n)
+            if grid.cells <= C.MAX_CELLS:
+                blocks = C.fit_blocks(df, grid, self.target)
+                self.forest = grow(df, blocks, [C.Fit(self.name, self.spec)], self.settings)[0]
+                return self
+            log.warning("%s: %d cells, trained by MLlib", self.name, grid.cells)
         if self.settings.layout:
             order = [hash32(S.KEY, self.settings.seed).alias("_h"), self.target]
             inputs = [*self.spec.numeric, *self.spec.categorical]
@@ -102,6 +118,8 @@ class ForestModel:
         features, forest = self._fitted()
         S.require_columns(df, [*self.spec.numeric, *self.spec.categorical])
         medians = fit_medians(df, self.spec.numeric) if fill == "batch" else None
+        if isinstance(forest, C.CellForest):
+            return forest.predict(df, out, medians)
         vector = f"_features_{out}"
         forest = forest.copy().setFeaturesCol(vector).setPredictionCol(out)
         return forest.transform(df.withColumn(vector, features.vector(medians))).drop(vector)
@@ -114,7 +132,8 @@ class ForestModel:
     def feature_importance(self, df: DataFrame, top: int | None = None) -> DataFrame:
         """Importance by feature name, largest first. `df` lends its session only."""
         features, forest = self._fitted()
-        values = forest.featureImportances.toArray().tolist()
+        cells = isinstance(forest, C.CellForest)
+        values = (forest.importances if cells else forest.featureImportances.toArray()).tolist()
         rows = sorted(zip(features.names, values), key=lambda nv: (-nv[1], nv[0]))[:top]
         return df.sparkSession.createDataFrame(
             [(self.name, i + 1, n, float(v)) for i, (n, v) in enumerate(rows)],
@@ -146,6 +165,10 @@ class ForestModel:
         return self.features, self.forest
 
 
+def grow(df: DataFrame, blocks: C.Blocks, fits: Sequence[C.Fit], settings: ForestSettings) -> list[C.CellForest]:
+    return C.fit_forests(df, blocks, fits, settings.trees, settings.depth, settings.seed, settings.bootstrap)
+
+
 def infrastructure_model(settings: ForestSettings = ForestSettings()) -> ForestModel:
     return ForestModel("infrastructure_model", X.INFRASTRUCTURE, settings)
 
@@ -250,13 +273,95 @@ def cross_predict(
     return reduce(DataFrame.unionByName, parts)
 
 
+@dataclass(frozen=True)
+class CrossFits:
+    """Forests of several models without some folds, over one aggregate of the rows."""
+
+    blocks: C.Blocks
+    forests: Mapping[tuple[str, frozenset[int]], C.CellForest]
+
+    def table(self, name: str, without: Iterable[int], whole: bool = False) -> np.ndarray:
+        """Predictions by cell of the model's own grid, or of the whole grid."""
+        forest = self.forests[name, frozenset(without)]
+        if not whole:
+            return forest.table
+        return forest.table[self.blocks.grid.project(np.arange(self.blocks.grid.cells), forest.grid)]
+
+    def errors(self, name: str, without: Iterable[int], folds: Sequence[int]) -> np.ndarray:
+        """Mean squared error on each of some folds."""
+        forest = self.forests[name, frozenset(without)]
+        return self.blocks.errors(forest.table, forest.grid, folds)
+
+
+def cross_fit(
+    df: DataFrame,
+    models: Mapping[str, ForestModel],
+    k: int,
+    seed: int = FOLD_SEED,
+    pairs: Sequence[str] = (),
+) -> CrossFits | None:
+    """Each model without each fold, those of `pairs` also without each two folds.
+
+    A forest without folds i and j serves the inner folds of both, so scores of a model that
+    is itself tuned on folds cost k (k - 1) / 2 more forests, all grown in one job from one
+    pass over the rows. Medians, categories and cuts come from the features of all rows.
+    None when the models have no common grid that is narrow enough.
+    """
+    made = list(models.values())
+    settings = made[0].settings
+    plain = all(m.settings == settings and m.location is None and m.target == made[0].target for m in made)
+    if settings.engine != CELLS or not plain:
+        return None
+    wide = X.FeatureSpec(
+        tuple(dict.fromkeys(c for m in made for c in m.spec.numeric)),
+        tuple(dict.fromkeys(c for m in made for c in m.spec.categorical)),
+    )
+    grid = C.fit_grid(df, X.fit_features(df, wide), settings.bins)
+    if grid.cells > C.MAX_CELLS:
+        return None
+    blocks = C.fit_blocks(with_folds(df, k, seed), grid, made[0].target, F.col("fold"), k)
+    fits = [C.Fit(n, m.spec, frozenset({i})) for n, m in models.items() for i in range(k)]
+    fits += [C.Fit(n, models[n].spec, frozenset(two)) for n in pairs for two in combinations(range(k), 2)]
+    forests = grow(df, blocks, fits, settings)
+    return CrossFits(blocks, {(f.name, f.without): forest for f, forest in zip(fits, forests, strict=True)})
+
+
 def cross_validate(
     df: DataFrame,
     factories: Mapping[str, Callable[[], ForestModel]],
     k: int = 5,
     seed: int = FOLD_SEED,
     target: str = S.LATENCY,
+    fused: tuple[str, str, str] | None = None,
 ) -> DataFrame:
-    """Mean squared error of every model on every fold."""
-    scored = cross_predict(df, factories, k, seed)
-    return fold_mse(scored, {n: n for n in factories}, "fold", target)
+    """Mean squared error of every model on every fold.
+
+    `fused` names a weighted fusion and its two members: on each outer fold its weights come
+    from the other folds, each predicted by members that saw neither. That needs a common
+    aggregate of the models (see `cross_fit`); without one it is an error.
+    """
+    made = {name: make() for name, make in factories.items()}
+    fits = cross_fit(df, made, k, seed, fused[1:] if fused else ())
+    if fits is None:
+        if fused:
+            raise ValueError("scores of a fusion need models on one narrow grid")
+        scored = cross_predict(df, factories, k, seed)
+        return fold_mse(scored, {n: n for n in factories}, "fold", target)
+    rows = [(i, name, fits.errors(name, {i}, [i])[0]) for name in made for i in range(k)]
+    if fused:
+        rows += [(i, fused[0], error) for i, error in enumerate(fused_errors(fits, fused[1], fused[2], k))]
+    # A fold without rows has no error.
+    rows = [(i, name, None if np.isnan(error) else float(error)) for i, name, error in rows]
+    return df.sparkSession.createDataFrame(rows, "fold int, model_name string, mse double")
+
+
+def fused_errors(fits: CrossFits, a: str, b: str, k: int) -> list[float]:
+    """Error on each fold of the weighted fusion that never saw it."""
+    out = []
+    for i in range(k):
+        others = [j for j in range(k) if j != i]
+        inner = [np.nanmean([fits.errors(name, {i, j}, [j])[0] for j in others]) for name in (a, b)]
+        share = 0.5 if sum(inner) == 0 else inner[1] / sum(inner)
+        table = share * fits.table(a, {i}, True) + (1 - share) * fits.table(b, {i}, True)
+        out.append(fits.blocks.errors(table, fits.blocks.grid, [i])[0])
+    return out

@@ -126,11 +126,15 @@ def heuristic_summary(df: DataFrame) -> DataFrame:
 
 
 def horizontal_check(
-    split: DataFrame, original: DataFrame, key: str = S.KEY, least: int = 5
+    split: DataFrame, original: DataFrame, key: str = S.KEY, least: int = 5, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows add up, no key lies in two segments, none is lost; small segments warn."""
+    """Rows add up, no key lies in two segments, none is lost; small segments warn.
+
+    With `by` (the side of the split) every group is held against its own rows before.
+    """
     def side(df: DataFrame, origin: int, urban: Column, rural: Column) -> DataFrame:
         return df.select(
+            *by,
             key,
             F.lit(origin).alias("_o"),
             urban.cast("int").alias("_u"),
@@ -146,9 +150,9 @@ def horizontal_check(
             F.col(SEGMENT) == texts.RURAL,
         )
     )
-    per_key = sides.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("_o", "_u", "_r")])
+    per_key = sides.groupBy(*by, key).agg(*[F.sum(c).alias(c) for c in ("_o", "_u", "_r")])
     o, u, r = F.col("_o"), F.col("_u"), F.col("_r")
-    checked = per_key.agg(
+    checked = per_key.groupBy(*by).agg(
         F.coalesce(F.sum(o), F.lit(0)).alias("rows_original"),
         F.coalesce(F.sum(u), F.lit(0)).alias("rows_urban"),
         F.coalesce(F.sum(r), F.lit(0)).alias("rows_rural"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cellgauge.functions import texts
 from cellgauge.functions.pvalues import (
     normal_two_sided,
+    signed_rank_two_sided,
     student_two_sided,
     with_p_values,
 )
@@ -18,6 +19,8 @@ from cellgauge.operators.ranks import rows_before
 
 T_TEST, WILCOXON = "paired_t_test", "wilcoxon"
 UNIT = 1_000_000
+#: Rows up to which the signed-rank test is exact.
+EXACT_ROWS = 50
 
 
 def _pair_stats(y: Column, p1: Column, p2: Column) -> Column:
@@ -75,9 +78,18 @@ def paired_t_tests(
 
 
 def wilcoxon(
-    df: DataFrame, p1: str, p2: str, y: str = "y", alpha: float = 0.05, unit: int = UNIT
+    df: DataFrame,
+    p1: str,
+    p2: str,
+    y: str = "y",
+    alpha: float = 0.05,
+    unit: int = UNIT,
+    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
-    """Signed-rank test, zeros split between both sides, normal approximation with ties.
+    """Signed-rank test, zeros split between both sides.
+
+    Up to `exact_rows` rows without ties and zeros the p-value comes from the exact
+    distribution of rank sums, else from the normal approximation with ties.
 
     Differences are rounded to 1 / `unit` and counted by size first, so ties of any
     size cost one row; ranks come from `rows_before`, never from one sorted partition.
@@ -102,6 +114,7 @@ def wilcoxon(
         (F.sum(rank * F.col("plus")) + zero).alias("rank_plus"),
         (F.sum(rank * F.col("minus")) + zero).alias("rank_minus"),
         F.sum(n * n * n - n).alias("_ties"),
+        zero.alias("_zeros"),
         F.sum("n").alias("sample_size"),
     )
     size = F.col("sample_size").cast("double")
@@ -115,12 +128,18 @@ def wilcoxon(
         statistic.alias("statistic"),
         z.alias("z"),
         "sample_size",
+        "_ties",
+        "_zeros",
     )
 
     def p_value(row: Row) -> float | None:
-        return None if row["z"] is None else normal_two_sided(row["z"])
+        if row["z"] is None:
+            return None
+        if row["sample_size"] <= exact_rows and not row["_ties"] and not row["_zeros"]:
+            return signed_rank_two_sided(row["statistic"], row["sample_size"])
+        return normal_two_sided(row["z"])
 
-    return _judged(with_p_values(out, p_value), alpha)
+    return _judged(with_p_values(out, p_value).drop("_ties", "_zeros"), alpha)
 
 
 def significance_test(

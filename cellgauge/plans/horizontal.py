@@ -32,8 +32,9 @@ log = logging.getLogger(__name__)
 def run_horizontal(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
     """Clean, settle locations, split per location, train, evaluate on every segment.
 
-    The rows of both segments are held against those before the split. A key that lies in
-    both segments, or rows that are lost, stop the job only when `config.strict` is set.
+    The rows of both segments are held against those before the split, once over all rows
+    and once for each side of the split. A key that lies in both segments, or rows that are
+    lost, stop the job only when `config.strict` is set.
     """
     reports, cleaned = prepare(df, config)
     heuristic = heuristic_summary(cleaned)
@@ -42,7 +43,8 @@ def run_horizontal(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
     rows = keep(horizontal_split(split))
     require_rows(rows)
     checks = frozen(horizontal_check(rows, located))
-    if not checks.first()["is_valid"]:
+    sides = frozen(horizontal_check(rows, split, by=[SPLIT]).orderBy(SPLIT))
+    if not all(row["is_valid"] for row in [*checks.collect(), *sides.collect()]):
         if config.strict:
             raise ValueError("segments and split do not add up")
         log.warning("segments and split do not add up: see table split_check")
@@ -69,6 +71,7 @@ def run_horizontal(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
         **reports,
         "heuristic": heuristic,
         "split_check": checks,
+        "side_checks": sides,
         "sufficiency": sample_sufficiency(rows),
         "predictions": predictions,
         "metrics": comparison,
@@ -82,4 +85,4 @@ def run_horizontal(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
         "HORIZONTAL PARTITIONING RESULTS", comparison, {"INSIGHTS": insights}
     )
     trained = {m.name: m for m in segments.values()} | {"global_model": overall}
-    return JobResult(tables, trained, [predictions, rows])
+    return JobResult(tables, trained, [predictions, rows], rows)

@@ -43,11 +43,15 @@ class JobConfig:
 
 @dataclass
 class JobResult:
-    """Named result tables. `close` frees the cached rows they read."""
+    """Named result tables, and the rows that models were trained on and scored.
+
+    `close` frees the cached rows they read.
+    """
 
     tables: Mapping[str, DataFrame]
     models: Mapping[str, object]
     cached: list[DataFrame] = field(default_factory=list)
+    rows: DataFrame | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]

@@ -76,7 +76,7 @@ def run_vertical(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
         },
     )
     trained = {INFRA: fusion.infrastructure, USER: fusion.user, FUSION: fusion, MONO: baseline}
-    return JobResult(tables, trained, [predictions, rows])
+    return JobResult(tables, trained, [predictions, rows], rows)
 
 
 def score_all(rows: DataFrame, fusion: FusionModel, baseline) -> DataFrame:
