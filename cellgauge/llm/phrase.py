@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgauge.llm import exchange as X
-from cellgauge.llm.store import written
+from cellgauge.llm.store import free_name, written
 from cellgauge.llm.text import WORD, blocks, buffers, byte_words, one_array, string_array
 
 #: Positions left free between two documents; no proximity search may reach further.
@@ -146,11 +146,27 @@ class Segment:
         return alive[window], start
 
     def proximity(self, windows: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts at which every term lies within `slop` of its place in the window."""
+        """Starts inside a document at which every term lies within `slop` of its place in the window.
+
+        The rarest term may be displaced as well: each of its positions stands for all starts
+        that leave it within `slop`.
+        """
         size = self.sizes[windows]
         alive = np.flatnonzero((size > 0).all(axis=1))
-        order = np.argsort(size[alive], axis=1, kind="stable")
-        return self._intersect(windows, alive, order, lambda t, p: self.near(t, p - slop, p + slop))
+        if not len(alive):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        rarest = size[alive].argmin(axis=1)
+        position, which = self.postings(windows[alive, rarest])
+        start = (position - rarest[which])[:, None] + np.arange(-slop, slop + 1)
+        doc = self.document(position)[:, None]
+        inside = (start >= self.begins[doc]) & (start < self.begins[doc] + self.n_words.to_numpy()[doc])
+        key = np.unique((np.broadcast_to(which[:, None], start.shape) * self.stride + start)[inside])
+        window, start = key // self.stride, key % self.stride
+        for k in range(windows.shape[1]):
+            place = start + k
+            ok = self.near(windows[alive[window], k], place - slop, place + slop)
+            start, window = start[ok], window[ok]
+        return alive[window], start
 
     def document(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begins, position, side="right") - 1
@@ -333,15 +349,12 @@ def contamination(
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """Rows of `docs` that are not contaminated, with their own columns.
 
-    Rows are told by their ids; a row without an id is told by its text, so each row is
-    judged by what it holds.
+    A row is told by its id and the hash of its text, so each is judged by what it holds:
+    rows that share an id, or have none, do not share a verdict. Null and empty texts are
+    clean; repeated rows stay or go together; extra columns are kept whatever their names.
     """
-    bad = contamination(docs.select("doc_id", "text"), items, window).where("contaminated")
-    bad = written(bad.select("doc_id").distinct(), "contaminated")
-    kept = docs.where("doc_id is not null").join(bad, "doc_id", "left_anti")
-    nameless = docs.where("doc_id is null")
-    key = F.xxhash64("text")
-    judged = contamination(nameless.select(key.alias("doc_id"), "text"), items, window)
-    hit = written(judged.where("contaminated").select("doc_id").distinct(), "nameless")
-    marked = nameless.join(hit.select(F.col("doc_id").alias("_hit")), key == F.col("_hit"), "left_anti")
-    return kept.unionByName(marked.select(*docs.columns)).select(*docs.columns)
+    row, hit = free_name(docs, "row"), free_name(docs, "hit")
+    key = F.xxhash64("doc_id", "text")
+    judged = contamination(docs.select(key.alias(row), "text"), items, window, row)
+    bad = written(judged.where("contaminated").select(F.col(row).alias(hit)).distinct(), "contaminated")
+    return docs.join(bad, key == F.col(hit), "left_anti").select(*docs.columns)

@@ -203,24 +203,33 @@ def _classes(
 
 
 def kept_documents(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """Rows of `docs`, one for each component: that with the smallest id.
+    """Rows of `docs`, one for each component: a row with the smallest id.
 
-    Of repeated rows with that id one stays. Rows without an id go if their component has
-    a row with one; else one of them stays.
+    A row is told by its id and its fingerprint: where texts of several components share an
+    id, each component keeps its own row. Of repeated rows one stays. Rows without an id go
+    if their component has a row with one; else one of them stays. Null and empty texts have
+    fingerprint zero and are linked like any other; no rows give none; extra columns are
+    kept whatever their names.
     """
     marked, classes = _classes(docs, "doc_id", "text", shingle, distance)
-    heads = marked.join(classes.where("component_id is not null"), "fp").where("id = component_id")
-    heads = written(heads.groupBy("id").count(), "heads")
+    named = marked.join(classes.where("component_id is not null"), "fp").where("id = component_id")
+    heads = named.groupBy("component", "id").agg(F.min("fp").alias("head"))
+    rows = marked.groupBy("id").agg(F.count("*").alias("rows"))
+    heads = written(heads.join(rows, "id").select("id", "head", "rows"), "heads")
     # The kept ids grow with the documents: they meet them by a merge join at every size.
-    keep = heads.withColumnRenamed("id", "doc_id").hint("merge")
-    one = docs.join(keep.where("count = 1"), "doc_id", "left_semi")
-    many = docs.join(heads.where("count > 1").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    fp, part = free_name(docs, "fp"), free_name(docs, "part")
+    key, fp, part = (free_name(docs, c) for c in ("key", "fp", "part"))
+    single = heads.where("rows = 1").select(F.col("id").alias(key)).hint("merge")
+    one = docs.join(single, F.col("doc_id") == F.col(key), "left_semi")
+    # Ids of several rows: the fingerprint tells which of them is the head.
+    several = heads.where("rows > 1").select(F.col("id").alias(key), F.col("head").alias(part))
+    shared = docs.join(several.select(key).distinct(), F.col("doc_id") == F.col(key), "left_semi")
+    shared = with_fingerprints(shared, "text", shingle, fp)
+    shared = shared.join(several, (F.col("doc_id") == F.col(key)) & (F.col(fp) == F.col(part)), "left_semi")
     lost = with_fingerprints(docs.where("doc_id is null"), "text", shingle, fp)
     unnamed = classes.where("component_id is null")
-    lost = lost.join(unnamed.select(F.col("fp").alias(fp), F.col("component").alias(part)), fp)
-    lost = lost.dropDuplicates([part])
-    return one.unionByName(many.dropDuplicates(["doc_id"])).unionByName(lost.select(*docs.columns))
+    lost = lost.join(unnamed.select(F.col("fp").alias(key), F.col("component").alias(part)), F.col(fp) == F.col(key))
+    kept = one.unionByName(shared.dropDuplicates(["doc_id", fp]).select(*docs.columns))
+    return kept.unionByName(lost.dropDuplicates([part]).select(*docs.columns)).select(*docs.columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:

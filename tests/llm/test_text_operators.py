@@ -370,3 +370,58 @@ def test_word_base(docs):
         (r[0], r[1], r[2], r[3], r[4], round(r["base_score"], 5)) for r in ctw.scores(docs, held).collect()
     )
     assert got == want
+
+
+def brute_proximity(words, query, slop):
+    places = {w: [i for i, x in enumerate(words) if x == w] for w in query}
+    return {
+        s for s in range(len(words)) if all(any(abs(p - s - k) <= slop for p in places[w]) for k, w in enumerate(query))
+    }
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2, 3])
+def test_proximity_is_brute_force(spark, slop):
+    """Every start at which all words lie near their places, also where the rarest one is displaced."""
+    import random
+
+    draw = random.Random(slop)
+    texts = ["a x b c x d", *(" ".join(draw.choices("aabbcdxyz", k=draw.randrange(0, 15))) for _ in range(150))]
+    queries = ["a b c d", *(" ".join(draw.choices("abcd", k=4)) for _ in range(12))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(q, q) for q in queries], "item_id string, text string").dropDuplicates()
+    found = phrase.search(phrase.build_index(docs), items, window=4, slop=slop).collect()
+    got = {(r["id"], s["item"], s["start"]) for r in found for s in r["spans"]}
+    want = {(i, q, s) for i, t in enumerate(texts) for q in set(queries) for s in brute_proximity(t.split(), q.split(), slop)}
+    assert got == want and want
+
+
+def namesakes(spark):
+    """One id with several texts, clean, contaminated and copied; names that the code uses itself."""
+    bad = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    a, b = "all of this is clean and long enough to have some shingles", "another text that shares nothing with the first one at all"
+    rows = [(5, a), (5, bad), (5, b), (5, b), (6, a), (7, bad + " fourteen"), (None, bad), (None, b), (None, "no id and alone here")]
+    extra = ["_hit", "hit", "row", "key", "fp", "part", "head", "rows", "component_id", "contaminated"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *(f"'x' AS `{c}`" for c in extra))
+    return df, a, b, bad
+
+
+def test_verdicts_belong_to_rows_not_ids(spark):
+    docs, a, b, bad = namesakes(spark)
+    items = spark.createDataFrame([("q", bad)], "item_id string, text string")
+    clean = phrase.clean_documents(docs, items)
+    assert clean.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in clean.collect())
+    assert got == sorted([(5, a), (5, b), (5, b), (6, a), (0, b), (0, "no id and alone here")])
+    kept = simhash.kept_documents(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert len(got) == len(set(got))
+    # Each of the three texts of id 5 heads its own component, unless two of them are near copies.
+    assert {(5, a), (5, b)} < set(got) and (0, "no id and alone here") in got and (6, a) not in got
+    assert sum(text.startswith(bad) for _, text in got) == 1 + (not any(near_bits(spark, bad, bad + " fourteen")))
+
+
+def near_bits(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    parts = [r["component_id"] for r in simhash.digests(df).collect()]
+    return [x == parts[0] for x in parts[1:]]
