@@ -24,6 +24,8 @@ from cellgauge.llm.text import one_array
 
 #: Pairs whose cosines are computed at once.
 PAIR_BLOCK = 1 << 17
+#: Links of a task that wait to be counted.
+WAITING = 1 << 20
 SHORT_CELL = 32
 
 
@@ -38,7 +40,7 @@ class Lattice:
 
     tables: int = 4
     probes: int = 6
-    cell: float = 2.0
+    cell: float = 1.2
     seed: int = 42
     least: float = 0.93
     cell_rows: int = 1 << 14
@@ -201,6 +203,46 @@ def _first_meeting(keys: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
     return first
 
 
+class _Links:
+    """Links of one task, added up as they come: what is held follows the vectors, not their links."""
+
+    def __init__(self, unit: np.ndarray, weight: np.ndarray, lattice: Lattice):
+        self.unit, self.weight, self.lattice = unit, weight, lattice
+        self.known = np.zeros(len(unit), dtype=bool)
+        self.keys = [np.empty((len(unit), lattice.probes + 1), dtype=np.int64) for _ in range(lattice.tables)]
+        self.n = np.zeros(len(unit), dtype=np.int64)
+        self.root = np.arange(len(unit))
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, met: np.ndarray) -> None:
+        """Pairs of vectors, and the number of the meeting at which each was found."""
+        self.waiting.append((a, b, met))
+        self.size += len(a)
+        if self.size >= WAITING:
+            self.count()
+
+    def count(self) -> None:
+        """Count the waiting links at their first meeting, and join what they connect."""
+        if not self.size:
+            return
+        a, b, met = (np.concatenate(c) for c in zip(*self.waiting, strict=True))
+        self.waiting, self.size = [], 0
+        fresh = np.unique(np.concatenate([a, b]))
+        fresh = fresh[~self.known[fresh]]
+        self.known[fresh] = True
+        for table, keys in enumerate(self.keys):
+            keys[fresh] = cells(self.unit[fresh], self.lattice, table)
+        for begin in range(0, len(a), PAIR_BLOCK):
+            part = slice(begin, begin + PAIR_BLOCK)
+            first = _first_meeting(self.keys, a[part], b[part]) == met[part]
+            x, y = a[part][first], b[part][first]
+            np.add.at(self.n, x, self.weight[y])
+            np.add.at(self.n, y, self.weight[x])
+        every = np.arange(len(self.root))
+        self.root = _roots(np.append(a, every), np.append(b, self.root), len(self.root))
+
+
 def _verify(lattice: Lattice, least: float):
     """Links of one task's cells: per vector a share of its links, and what connects it."""
 
@@ -229,7 +271,7 @@ def _verify(lattice: Lattice, least: float):
         unit = units(one_array(rows["vec"]).take(pa.array(one)))
         weight = np.empty(len(names), dtype=np.int64)
         weight[at] = copies
-        found: list[tuple[np.ndarray, ...]] = []
+        links = _Links(unit, weight, lattice)
         for i, j in _candidates(group, own):
             for begin in range(0, len(i), PAIR_BLOCK):
                 x, y = i[begin : begin + PAIR_BLOCK], j[begin : begin + PAIR_BLOCK]
@@ -239,23 +281,11 @@ def _verify(lattice: Lattice, least: float):
                 x, y = x[here], y[here]
                 ok = np.einsum("ij,ij->i", unit[at[x]], unit[at[y]]) >= least
                 x, y = x[ok], y[ok]
-                found.append((at[x], at[y], tab[x] * 2 + ~own[x]))
-        if not found:
-            return
-        a, b, here = (np.concatenate(c) for c in zip(*found, strict=True))
-        linked, code = np.unique(np.concatenate([a, b]), return_inverse=True)
-        keys = [cells(unit[linked], lattice, t) for t in range(lattice.tables)]
-        a_code, b_code = code[: len(a)], code[len(a) :]
-        first = np.empty(len(a), dtype=np.int64)
-        for begin in range(0, len(a), PAIR_BLOCK):
-            part = slice(begin, begin + PAIR_BLOCK)
-            first[part] = _first_meeting(keys, a_code[part], b_code[part])
-        count = first == here
-        n = np.bincount(a_code[count], weights=weight[b[count]], minlength=len(linked))
-        n += np.bincount(b_code[count], weights=weight[a[count]], minlength=len(linked))
-        root = _roots(a_code, b_code, len(linked))
+                links.add(at[x], at[y], tab[x] * 2 + ~own[x])
+        links.count()
+        linked = np.flatnonzero(links.known)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names[linked]), pa.array(n.astype(np.int64)), pa.array(names[linked][root])],
+            [pa.array(names[linked]), pa.array(links.n[linked]), pa.array(names[links.root[linked]])],
             ["rep", "n", "head"],
         )
 
@@ -291,8 +321,9 @@ def near_vectors(
     Vectors of one label link if their cosine, in double precision, is `least` or more.
     Null labels, null, zero, or non-finite vectors link with nothing and are components
     of their own. Vectors of different widths never link. Equal vectors of a label are
-    copies that share all links. A null id stays null and names no component. Repeated
-    rows are copies; no rows give none; other columns are not read.
+    copies that share all links. An id may have several vectors; a null id stays null,
+    links as any other and names no component: one that only such rows are in has none.
+    Repeated rows are copies; no rows give none; other columns are not read.
     """
     lattice = replace(lattice, least=least)
     rows = vectors.select(
@@ -300,10 +331,11 @@ def near_vectors(
         F.col(vector_col).cast("array<float>").alias("vec"),
         F.col(label_col).cast("long").alias("label"),
     )
-    usable = F.col("label").isNotNull() & F.col("id").isNotNull() & eligible("vec")
+    usable = F.col("label").isNotNull() & eligible("vec")
     able = rows.where(usable)
-    classes = able.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(classes, "vectors")
+    # A class of equal vectors has a number of its own, fixed by writing it; its ids only name it.
+    classes = able.groupBy("label", "vec").agg(F.min("id").alias("name"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     # Vectors of one width at a time: a width is a matrix shape, and there are few.
     widths = [r[0] for r in classes.select(F.size("vec").alias("w")).distinct().collect()]
     parts = None
@@ -325,10 +357,13 @@ def near_vectors(
             "label",
             "vec",
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("component", "rep").alias("component"),
+            "name",
         ),
         "vector-classes",
     )
+    names = named.groupBy("component").agg(F.min("name").alias("component_id"))
+    named = named.drop("name").join(names, "component")
     some = able.join(named, ["label", "vec"]).select("id", "n_links", "component_id")
     none = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return _named(some.union(none), id_col)
