@@ -25,18 +25,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near-duplicates are those of op9: fingerprints of 4-word shingles that differ in 4 of 64
     bits or fewer, and what these connect. Texts of a similarity between about 0.8 and 0.95
-    mostly stay.
+    mostly stay. Null and empty texts are one group; a row without an id goes if its group has
+    one with an id; rows that share an id are told apart by their texts; no rows give none.
     """
     return simhash.kept_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.
+
+    Each row is judged by its own text, also where ids repeat or are null. Null, empty and
+    wordless texts stay; an empty benchmark keeps all; no rows give none.
+    """
     return phrase.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, which decode to its text again, and their digests."""
+    """Token ids of every document, which decode to its text again, and their digests.
+
+    A null or empty text has no ids and the digest of nothing; repeated rows stay repeated, a
+    null id stays null; no rows give none.
+    """
     done = bpe.encode(docs, RANKS, table=bpe.token_bytes(spark, RANKS))
     return done.select(
         "doc_id",
