@@ -9,6 +9,7 @@ Only distinct fingerprints are indexed: copies meet in an aggregate before.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from cellgauge.llm.components import connected_components
 from cellgauge.llm.exchange import BLOCK_BYTES
 from cellgauge.llm.store import free_name, written
 from cellgauge.llm.text import NOT_SPACE, blocks, buffers, one_array, spaced_words
+from cellgauge.llm.wide import Similar
 
 #: Runs of equal variants up to this length are compared by shifting whole columns.
 SHORT_RUN = 32
@@ -169,6 +171,23 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     return rows.sortWithinPartitions("slot", "rest").mapInArrow(run, "a long, b long")
 
 
+@dataclass(frozen=True)
+class Bits:
+    """Texts whose 64-bit fingerprints of `shingle`-word shingles differ in `distance` bits at most."""
+
+    shingle: int = 4
+    distance: int = 4
+
+    def mark(self, docs: DataFrame, text_col: str, name: str) -> DataFrame:
+        return with_fingerprints(docs, text_col, self.shingle, name)
+
+    def node(self, mark: Column) -> Column:
+        return mark
+
+    def links(self, distinct: DataFrame) -> DataFrame:
+        return fingerprint_links(distinct, self.distance)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -183,35 +202,34 @@ def near_duplicates(
     row and is never a component's name unless the component has no other. Repeated rows
     stay; no rows give none; other columns are not read.
     """
-    marked, classes = _classes(docs, id_col, text_col, shingle, distance)
+    marked, classes = _classes(docs, id_col, text_col, Bits(shingle, distance))
     named = marked.join(classes.select("fp", "component_id"), "fp")
     return named.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _classes(
-    docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int
-) -> tuple[DataFrame, DataFrame]:
-    """(id, fp) of all rows, and per distinct fingerprint its component and that one's name."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, law: Bits | Similar) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of all rows, and per distinct mark `fp` its component and that one's name."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = written(with_fingerprints(rows, "text", shingle).select("id", "fp"), "fingerprints")
+    marked = written(law.mark(rows, "text", "fp").select("id", "fp"), "fingerprints")
     least = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "least")
-    parts = connected_components(fingerprint_links(least.select("fp"), distance))
-    named = least.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-    named = written(named.withColumn("component", F.coalesce("component", "fp")), "parts")
+    parts = connected_components(law.links(least.select("fp")))
+    named = least.withColumn("node", law.node(F.col("fp"))).join(parts, "node", "left")
+    named = written(named.select("fp", "least", F.coalesce("component", "node").alias("component")), "parts")
     names = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "names")
     return marked, written(named.join(names, "component").drop("least"), "classes")
 
 
-def kept_documents(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """Rows of `docs`, one for each component: a row with the smallest id.
+def kept_documents(docs: DataFrame, law: Bits | Similar | None = None) -> DataFrame:
+    """Rows of `docs`, one for each component under a law of nearness: a row with the smallest id.
 
-    A row is told by its id and its fingerprint: where texts of several components share an
-    id, each component keeps its own row. Of repeated rows one stays. Rows without an id go
-    if their component has a row with one; else one of them stays. Null and empty texts have
-    fingerprint zero and are linked like any other; no rows give none; extra columns are
-    kept whatever their names.
+    The default law is that of `near_duplicates`. A row is told by its id and its fingerprint:
+    where texts of several components share an id, each component keeps its own row. Of
+    repeated rows one stays. Rows without an id go if their component has a row with one;
+    else one of them stays. Null and wordless texts have fingerprint zero and are linked like
+    any other; no rows give none; extra columns are kept whatever their names.
     """
-    marked, classes = _classes(docs, "doc_id", "text", shingle, distance)
+    law = law or Bits()
+    marked, classes = _classes(docs, "doc_id", "text", law)
     named = marked.join(classes.where("component_id is not null"), "fp").where("id = component_id")
     heads = named.groupBy("component", "id").agg(F.min("fp").alias("head"))
     rows = marked.groupBy("id").agg(F.count("*").alias("rows"))
@@ -223,9 +241,9 @@ def kept_documents(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Data
     # Ids of several rows: the fingerprint tells which of them is the head.
     several = heads.where("rows > 1").select(F.col("id").alias(key), F.col("head").alias(part))
     shared = docs.join(several.select(key).distinct(), F.col("doc_id") == F.col(key), "left_semi")
-    shared = with_fingerprints(shared, "text", shingle, fp)
+    shared = law.mark(shared, "text", fp)
     shared = shared.join(several, (F.col("doc_id") == F.col(key)) & (F.col(fp) == F.col(part)), "left_semi")
-    lost = with_fingerprints(docs.where("doc_id is null"), "text", shingle, fp)
+    lost = law.mark(docs.where("doc_id is null"), "text", fp)
     unnamed = classes.where("component_id is null")
     lost = lost.join(unnamed.select(F.col("fp").alias(key), F.col("component").alias(part)), F.col(fp) == F.col(key))
     kept = one.unionByName(shared.dropDuplicates(["doc_id", fp]).select(*docs.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cellgauge.llm import bpe, langid, phrase, simhash
 from cellgauge.llm.store import new_path
+from cellgauge.llm.wide import Similar
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -23,12 +24,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id.
 
-    Near-duplicates are those of op9: fingerprints of 4-word shingles that differ in 4 of 64
-    bits or fewer, and what these connect. Texts of a similarity between about 0.8 and 0.95
-    mostly stay. Null and empty texts are one group; a row without an id goes if its group has
-    one with an id; rows that share an id are told apart by their texts; no rows give none.
+    Near-duplicates are texts whose sets of five-word shingles have a similarity of 0.8 or
+    more, estimated from 256 bits of SimHash, and what these connect. Null and wordless texts
+    are one group; a row without an id goes if its group has one with an id; rows that share
+    an id are told apart by their texts; repeated rows leave one; no rows give none.
     """
-    return simhash.kept_documents(docs)
+    return simhash.kept_documents(docs, Similar())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
