@@ -522,6 +522,33 @@ def scatter_points(spark, sf_dir):
     return profile.points(network(spark, sf_dir), S.SIGNAL, S.LATENCY, S.LOCATION)
 
 
+@query(
+    "scatter_cells",
+    sql(
+        *Q.RAW,
+        "p AS (SELECT location_type, CAST(signal_strength AS DOUBLE) AS x, CAST(latency AS DOUBLE) AS y "
+        "FROM network WHERE signal_strength IS NOT NULL AND latency IS NOT NULL)",
+        "s AS (SELECT min(x) AS xl, max(x) - min(x) AS xw, min(y) AS yl, max(y) - min(y) AS yw FROM p)",
+        "node AS (SELECT location_type, CAST(l AS INTEGER) AS level, "
+        "CAST(least(floor((x - xl) / (xw / 128)), 127) AS BIGINT) >> (7 - l) AS x_cell, "
+        "CAST(least(floor((y - yl) / (yw / 128)), 127) AS BIGINT) >> (7 - l) AS y_cell, "
+        "count(*) AS n FROM p, s, range(8) AS t(l) GROUP BY ALL)",
+        "sized AS (SELECT *, n * 256 > max(n) OVER (PARTITION BY location_type) AS dense FROM node)",
+        select=sql_rounded(
+            "SELECT c.location_type, c.level, c.x_cell, c.y_cell, c.n, "
+            "xl + c.x_cell * (xw / (1 << c.level)) AS x_low, xl + (c.x_cell + 1) * (xw / (1 << c.level)) AS x_high, "
+            "yl + c.y_cell * (yw / (1 << c.level)) AS y_low, yl + (c.y_cell + 1) * (yw / (1 << c.level)) AS y_high "
+            "FROM s, sized AS c LEFT JOIN sized AS up ON up.level = c.level - 1 AND up.x_cell = c.x_cell >> 1 "
+            "AND up.y_cell = c.y_cell >> 1 AND up.location_type IS NOT DISTINCT FROM c.location_type "
+            "WHERE (NOT c.dense OR c.level = 7) AND coalesce(up.dense, true)",
+            ["x_low", "x_high", "y_low", "y_high"],
+        ),
+    ),
+)
+def scatter_cells(spark, sf_dir):
+    return rounded(profile.point_cells(network(spark, sf_dir), S.SIGNAL, S.LATENCY, S.LOCATION))
+
+
 @query(
     "scatter_sample",
     sql(

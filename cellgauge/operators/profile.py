@@ -245,6 +245,52 @@ def points(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame
     )
 
 
+def point_cells(
+    df: DataFrame, x: str, y: str, by: str | None = None, depth: int = 7, parts: int = 256
+) -> DataFrame:
+    """All plot points as counts of a quadtree: small cells where points are dense.
+
+    The square between the smallest and largest coordinates is halved in both directions as
+    long as a cell holds more than one of `parts` of its group's points, `depth` times at
+    most. Cells without points are left out, counts add up to the points; null and
+    non-finite coordinates are no points. Groups share the square and have cells of their
+    own. Rows are counted once, in at most `4 ** depth` cells a group; the tree is made of these.
+    """
+    keys = [by] if by else []
+    rows = points(df, x, y, by).withColumns({c: F.col(c).cast("double") for c in "xy"})
+    rows = rows.filter(F.abs("x") < float("inf")).filter(F.abs("y") < float("inf"))
+    span = rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    side, edges = 1 << depth, {}
+    for c, low, high in (("x", *span[:2]), ("y", *span[2:])):
+        if low is None or low == high:
+            low, high = (low or 0.0) - 0.5, (low or 0.0) + 0.5
+        edges[c] = low, high - low
+    place = {
+        c: F.least(F.floor((F.col(c) - low) / (width / side)), F.lit(side - 1)).alias(f"_{c}")
+        for c, (low, width) in edges.items()
+    }
+    fine = rows.groupBy(*keys, *place.values()).agg(F.count("*").alias("_n"))
+    # The count of every cell around a finest one, from the whole square down to itself.
+    level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_level")
+    inner = fine.select("*", level)
+    around = [F.expr(f"shiftright(_{c}, {depth} - _level)") for c in "xy"]
+    held = F.sum("_n").over(Window.partitionBy(*keys, "_level", *around))
+    counts = inner.withColumn("_held", held).groupBy(*keys, "_x", "_y", "_n")
+    counts = counts.agg(F.sort_array(F.collect_list("_held"), asc=False).alias("_held"))
+    dense = F.size(F.filter("_held", lambda c: c * parts > F.col("_held")[0]))
+    cells = counts.withColumn("level", F.least(dense, F.lit(depth)))
+    names = {c: F.expr(f"shiftright(_{c}, {depth} - level)").alias(f"{c}_cell") for c in "xy"}
+    cells = cells.groupBy(*keys, "level", *names.values()).agg(F.sum("_n").alias("n"))
+    bounds = []
+    for c, (low, width) in edges.items():
+        size = F.lit(width) / F.expr("shiftleft(1, level)")
+        bounds += [
+            (F.lit(low) + F.col(f"{c}_cell") * size).alias(f"{c}_low"),
+            (F.lit(low) + (F.col(f"{c}_cell") + 1) * size).alias(f"{c}_high"),
+        ]
+    return cells.select(*keys, "level", "x_cell", "y_cell", *bounds, "n")
+
+
 def sample_points(
     df: DataFrame,
     x: str,

@@ -156,6 +156,20 @@ def test_histogram_keeps_empty_bins_and_closes_the_last(towers):
     assert sum(r["n"] for r in profile.histogram(same, bins=4).collect()) == 2
 
 
+def test_point_cells_refine_where_points_are_dense(towers):
+    crowd = [row(f"c{i}", signal=-100.0 + i / 1000, latency=1.0 + i / 1000) for i in range(60)]
+    far = [row("f", signal=-50.0, latency=65.0), row("g", signal=-50.0, latency=None)]
+    df = towers(*crowd, *far)
+    got = profile.point_cells(df, S.SIGNAL, S.LATENCY, depth=4, parts=4).collect()
+    assert {(r["level"], r["x_cell"], r["y_cell"]): r["n"] for r in got} == {(4, 0, 0): 60, (1, 1, 1): 1}
+    assert (got[0]["x_low"], got[0]["y_low"]) in {(-100.0, 1.0), (-75.0, 33.0)}
+    whole = profile.point_cells(df, S.SIGNAL, S.LATENCY, depth=4, parts=1).collect()
+    assert [(r["level"], r["n"], r["x_high"], r["y_high"]) for r in whole] == [(0, 61, -50.0, 65.0)]
+    same = towers(row("a", latency=3.0), row("b", latency=3.0))
+    assert sum(r["n"] for r in profile.point_cells(same, S.SIGNAL, S.LATENCY, S.LOCATION).collect()) == 2
+    assert profile.point_cells(df.limit(0), S.SIGNAL, S.LATENCY).count() == 0
+
+
 def test_box_stats_find_outliers(towers):
     df = towers(*[row(str(i), latency=float(v)) for i, v in enumerate([1, 2, 3, 4, 100])])
     r = profile.box_stats(df, S.LOCATION).first()
