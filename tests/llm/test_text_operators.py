@@ -66,7 +66,6 @@ def test_repair_files(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     files = repair.write_files(docs, JSON)
     rows = {(r["doc_id"], tuple(r["ids"])) for r in repair.read_documents(files).collect()}
     want = {(i, (*tokenizer.encode(t or "", add_special_tokens=False).ids, 0)) for i, t, *_ in DOCS}

@@ -70,6 +70,21 @@ def test_votes_are_sums_of_bits(monkeypatch):
     assert (got == want).all()
 
 
+def test_texts_beyond_a_block(monkeypatch):
+    """Very long texts are summed in slices; how texts fall into blocks changes nothing."""
+    chance = random.Random(9)
+    words = [f"w{chance.randrange(90000)}" for _ in range(450000)]
+    long, near = " ".join(words), edited(chance, words, 9000)
+    assert len(long) > wide.BLOCK_BYTES
+    texts = ["one two", long, None, near, "one two three four five six"]
+    assert linked(texts) == {(1, 3)}
+    column = pa.array([*texts[:1], *texts[2:3], " ".join(words[:900]), " ".join(words[50:400])])
+    whole = LAW.marks(column)
+    monkeypatch.setattr(wide, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(wide, "SLICE", 64)
+    assert LAW.marks(column).equals(whole)
+
+
 def test_recall_and_precision_of_links():
     texts, wanted, far = [], [], []
     for a, b in families(5):
