@@ -6,6 +6,7 @@ narrow projection.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -14,7 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellgauge.functions import texts
-from cellgauge.operators.quantiles import approximate_quantiles, quantile_name, quantiles
+from cellgauge.operators.quantiles import (
+    approximate_quantiles,
+    interpolated,
+    quantile_name,
+    quantiles,
+    rank_pair,
+    rank_probability,
+)
 from cellgauge.sources import schema as S
 
 
@@ -36,6 +44,9 @@ class Fence:
         return self.q3 + 1.5 * self.iqr
 
 
+_QUARTILES = (0.25, 0.75)
+
+
 @dataclass(frozen=True)
 class CleaningStats:
     """What cleaning learns from a table."""
@@ -146,16 +157,59 @@ def imputed(df: DataFrame, stats: CleaningStats) -> DataFrame:
 
 
 def fit_cleaning(df: DataFrame, exact: bool = True) -> CleaningStats:
-    """Learn medians and mode, then the fences of the imputed table.
+    """Learn medians and mode, and the fences of the imputed table, from one narrowing.
 
+    Filling k nulls puts k copies of the median m among the ordered values. The value at
+    rank r of the result is then the middle one of m and the raw values at ranks r - k
+    and r, so the fences of the imputed table need order statistics of the raw one only.
     The target is not imputed: its fences come from the values it has.
     """
-    rows = df.count()
-    medians = fit_medians(df, exact=exact, rows=rows)
-    modes = {S.DEVICE: fit_mode(df)}
-    partial = CleaningStats(medians, modes)
-    fences = fit_fences(imputed(df, partial), exact=exact, rows=rows)
-    return CleaningStats(medians, modes, fences)
+    rows, present, mode = _counts(df)
+    nulls = {c: rows - n if c in S.NUMERIC_FEATURES else 0 for c, n in present.items()}
+    filled = {c: n for c, n in present.items() if n}
+    ranks = {c: _raw_ranks(n, nulls[c]) for c, n in filled.items()}
+    probs = {c: [rank_probability(r, filled[c]) for r in wanted] for c, wanted in ranks.items()}
+    find = quantiles if exact else approximate_quantiles
+    row = find(df, probs, rows=rows).first() if probs else {}
+
+    medians: dict[str, float | None] = dict.fromkeys(S.NUMERIC_FEATURES)
+    fences = {}
+    for c, n in filled.items():
+        raw = dict(zip(ranks[c], map(float, row[quantile_name(c)]), strict=True))
+        middle = interpolated(raw, n, 0.5)
+        if c in medians:
+            medians[c] = middle
+        k = nulls[c]
+        merged = {
+            r: sorted((raw.get(r - k, -math.inf), middle, raw.get(r, math.inf)))[1]
+            for p in _QUARTILES
+            for r in rank_pair(n + k, p)
+        }
+        fences[c] = Fence(*(interpolated(merged, n + k, p) for p in _QUARTILES))
+    return CleaningStats(medians, {S.DEVICE: mode}, fences)
+
+
+def _counts(df: DataFrame) -> tuple[int, dict[str, int], str]:
+    """Rows, values of each number, and the most frequent device, in one pass."""
+    per_device = df.groupBy(S.DEVICE).agg(
+        F.count("*").alias("_rows"), *[F.count(c).alias(f"_n_{c}") for c in S.NUMERIC_COLUMNS]
+    )
+    ordered = F.struct((-F.col("_rows")).alias("n"), F.col(S.DEVICE).alias("value"))
+    row = per_device.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per_device.columns if c != S.DEVICE],
+        F.min(F.when(F.col(S.DEVICE).isNotNull(), ordered)).alias("_top"),
+    ).first()
+    mode = row["_top"]["value"] if row["_top"] else texts.UNKNOWN
+    return row["_rows"], {c: row[f"_n_{c}"] for c in S.NUMERIC_COLUMNS}, mode
+
+
+def _raw_ranks(n: int, k: int) -> list[int]:
+    """Ranks among n raw values that settle the median, and the quartiles after k fills."""
+    wanted = set(rank_pair(n, 0.5))
+    for p in _QUARTILES:
+        for r in rank_pair(n + k, p):
+            wanted |= {x for x in (r, r - k) if 0 <= x < n}
+    return sorted(wanted)
 
 
 def apply_cleaning(df: DataFrame, stats: CleaningStats) -> DataFrame:

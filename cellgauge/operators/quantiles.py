@@ -146,6 +146,23 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
     return low, math.ceil(position), position - low
 
 
+def rank_pair(n: int, p: float) -> tuple[int, int]:
+    """The two ranks (from 0) among n values between which the quantile p lies."""
+    return _ranks(n, p)[:2]
+
+
+def rank_probability(rank: int, n: int) -> float:
+    """The probability whose quantile among n values is the value at this rank, up to rounding."""
+    return rank / (n - 1) if n > 1 else 0.0
+
+
+def interpolated(values: Mapping[int, float], n: int, p: float) -> float:
+    """The quantile p of n values of which those at its two ranks are given."""
+    low, high, weight = _ranks(n, p)
+    a, b = values[low], values[high]
+    return a if a == b else (1 - weight) * a + weight * b
+
+
 def _narrowed(
     df: DataFrame,
     probs: Mapping[str, Sequence[float]],

@@ -201,6 +201,33 @@ def test_fences_come_from_the_imputed_table(towers):
     assert {r[S.TRAFFIC] for r in clean.apply_cleaning(df, stats).collect()} == {20.0}
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_fences_of_one_narrowing_are_those_of_the_imputed_rows(spark, monkeypatch, limit):
+    rng = np.random.default_rng(5)
+    calls = []
+
+    def counted(df, probs, **more):
+        calls.append(1)
+        return quantiles(df, probs, **(more if limit is None else {"group_limit": limit}))
+
+    monkeypatch.setattr(clean, "quantiles", counted)
+    for share in (0.0, 0.1, 0.4, 0.6, 0.9):
+        rows = [
+            (None if rng.random() < share else float(rng.integers(0, 9)) / 7, int(x), float(y))
+            for x, y in zip(rng.integers(-9, 9, 57), rng.normal(size=57))
+        ]
+        data = [row(str(i), signal=a, users=b, latency=y) for i, (a, b, y) in enumerate(rows)]
+        df = spark.createDataFrame(data, S.CONTRACT)
+        stats = clean.fit_cleaning(df)
+        raw = np.array([r[0] for r in rows], dtype=float)
+        median = np.nanmedian(raw)
+        filled = np.where(np.isnan(raw), median, raw)
+        assert stats.medians[S.SIGNAL] == pytest.approx(median, abs=1e-12)
+        fence = stats.fences[S.SIGNAL]
+        assert [fence.q1, fence.q3] == pytest.approx(list(np.quantile(filled, [0.25, 0.75])), abs=1e-12)
+    assert len(calls) == 5
+
+
 def test_target_is_never_filled_and_its_rows_leave_last(towers):
     df = towers(row("a", signal=-90.0, latency=None), row("b"), row("c", place=None))
     out = {r[S.KEY]: r for r in clean.preprocess(df).collect()}
