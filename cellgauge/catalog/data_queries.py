@@ -281,9 +281,7 @@ def large_group_quantiles(spark, sf_dir):
     """The way of large groups at every size of table: no group is sorted as a whole."""
     columns = [S.LATENCY, S.TRAFFIC]
     wanted = dict.fromkeys(columns, list(_SPREAD.values()))
-    found = quantiles(
-        observations(spark, sf_dir), wanted, [S.DEVICE], group_limit=0, leaf_limit=100
-    )
+    found = quantiles(observations(spark, sf_dir), wanted, [S.DEVICE], group_limit=0)
     long = F.inline(
         F.array(
             *[

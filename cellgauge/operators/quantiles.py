@@ -1,48 +1,29 @@
 """Exact quantiles without holding a large group in one task.
 
 Spark's `percentile` keeps the distinct values of a group in one map. That is fine
-for groups of a known moderate size, so these use it. Larger groups are narrowed:
-each round takes an approximate grid of the values that are still in question,
-counts how many rows lie below the two grid points around the wanted rank, and
-keeps only the values between them. The counts are exact, so the result is exact
-however good the grid was.
+for groups of a known moderate size, so these use it. Larger groups are narrowed, all
+of them in the same two passes however many they are: one sketch pass gives bounds
+around every wanted rank, one pass counts the rows below the bounds and the values
+between them. What lies between is dealt into bins by value, and only the bin with the
+wanted rank is put in order. The bounds are a table keyed by group, so the driver holds
+none of it. Counts are exact, so the result is exact however good the sketch was.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from cellgauge.functions.joins import attach
 from cellgauge.session import checkpointed
 
 GROUP_LIMIT = 500_000
-LEAF_LIMIT = 100_000
-HOT_GROUPS = 10_000
-GRID = 2_000
+GRID = 1_000
 ACCURACY = 10_000
-
-
-@dataclass
-class Target:
-    """One wanted order statistic of one column in one group."""
-
-    column: str
-    rank: int
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
-    value: float | None = None
-
-    @property
-    def open(self) -> bool:
-        return self.value is None
+BINS = 4_096
 
 
 def quantile_name(column: str) -> str:
@@ -54,42 +35,31 @@ def quantiles(
     probs: Mapping[str, Sequence[float]],
     by: Sequence[str] = (),
     group_limit: int = GROUP_LIMIT,
-    leaf_limit: int = LEAF_LIMIT,
     rows: int | None = None,
-    hot_groups: int = HOT_GROUPS,
-    salt: int = 0,
+    bins: int = BINS,
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per group.
 
     Column `q_<c>` is an array with one entry per probability of `probs[c]`, NULL
     when the group has no value. Nulls are ignored. A caller that knows the number of
-    rows passes it, which saves counting the groups of a table within the limit.
-    More than `hot_groups` large groups are dealt by a hash of their key into parts, so
-    that the driver holds the bounds of so many groups at once; `salt` changes the hash.
+    rows passes it, which saves counting the groups of a table within the limit. Groups
+    of more than `group_limit` rows are narrowed; what is left of one is dealt into
+    `bins` parts.
     """
     by = list(by)
     if rows is not None and rows <= group_limit:
         return _builtin(df, probs, by)
-    sizes = df.groupBy(*by).agg(
-        F.count("*").alias("_rows"), *[F.count(c).alias(f"_n_{c}") for c in probs]
-    )
-    large = sizes.filter(F.col("_rows") > group_limit)
-    hot = large.limit(hot_groups + 1).collect()
-    if len(hot) > hot_groups:
-        parts = 2 * math.ceil(large.count() / hot_groups)
-        part = F.pmod(F.xxhash64(F.lit(salt), *by), F.lit(parts))
-        limits = (group_limit, leaf_limit, None, hot_groups, salt + 1)
-        each = [quantiles(df.filter(part == i), probs, by, *limits) for i in range(parts)]
-        return reduce(DataFrame.unionByName, each)
-    spark = df.sparkSession
-    if not hot:
-        return _builtin(df, probs, by)
-    hot_keys = _local(spark, df, by, [[row[c] for c in by] for row in hot], [])
-    hot_rows = _restrict(df, hot_keys, by, "left_semi")
-    narrowed = _narrowed(hot_rows, probs, by, hot, leaf_limit)
     if not by:
+        rows = df.count() if rows is None else rows
+        return _builtin(df, probs, by) if rows <= group_limit else _narrowed(df, probs, by, bins)
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    large = checkpointed(sizes.filter(F.col("_rows") > group_limit).select(*by))
+    if large.isEmpty():
+        return _builtin(df, probs, by)
+    narrowed = _narrowed(attach(df, large, by, "left_semi"), probs, by, bins)
+    if group_limit <= 0:
         return narrowed
-    return _builtin(_restrict(df, hot_keys, by, "left_anti"), probs, by).unionByName(narrowed)
+    return _builtin(attach(df, large, by, "left_anti"), probs, by).unionByName(narrowed)
 
 
 def approximate_quantiles(
@@ -119,26 +89,6 @@ def _builtin(df: DataFrame, probs: Mapping[str, Sequence[float]], by: list[str])
     )
 
 
-def _local(
-    spark: SparkSession, df: DataFrame, by: list[str], rows: list[list], extra: list[T.StructField]
-) -> DataFrame:
-    fields = [T.StructField(f"_g_{c}", df.schema[c].dataType) for c in by] + extra
-    return spark.createDataFrame(rows, T.StructType(fields)) if fields else spark.range(1)
-
-
-def _restrict(df: DataFrame, keys: DataFrame, by: list[str], how: str) -> DataFrame:
-    if not by:
-        return df
-    return df.join(F.broadcast(keys), _keys_match(df, by), how)
-
-
-def _keys_match(df: DataFrame, by: list[str]) -> Column:
-    condition = F.lit(True)
-    for c in by:
-        condition = condition & df[c].eqNullSafe(F.col(f"_g_{c}"))
-    return condition
-
-
 def _ranks(n: int, p: float) -> tuple[int, int, float]:
     """Zero-based neighbours of the wanted position and the weight of the upper one."""
     position = p * (n - 1)
@@ -164,206 +114,147 @@ def interpolated(values: Mapping[int, float], n: int, p: float) -> float:
 
 
 def _narrowed(
-    df: DataFrame,
-    probs: Mapping[str, Sequence[float]],
-    by: list[str],
-    hot: list,
-    leaf_limit: int,
+    df: DataFrame, probs: Mapping[str, Sequence[float]], by: list[str], bins: int
 ) -> DataFrame:
-    groups: list[tuple[list, list[Target]]] = []
-    for row in hot:
-        targets = []
-        for c, ps in probs.items():
-            n = row[f"_n_{c}"]
-            for p in ps:
-                for rank in _ranks(n, p)[:2] if n else (0, 0):
-                    target = Target(c, rank, inside=n)
-                    target.value = None if n else math.nan
-                    targets.append(target)
-        groups.append(([row[c] for c in by], targets))
-
-    df = df.select(*by, *[F.col(c).cast("double").alias(c) for c in probs])
-    total = sum(row["_rows"] for row in hot)
-    while _wanted(groups, leaf_limit):
-        _narrow_once(df, by, groups, leaf_limit)
-        left = sum(t.inside for _, ts in groups for t in ts if t.open)
-        if 0 < left < total / 20:
-            state = _with_state(df, by, groups)
-            inside = " OR ".join(_inside(i, groups) for i in _wanted(groups))
-            df = checkpointed(state.filter(inside).select(*by, *probs))
-            total = left
-    _finish(df, by, groups)
-
-    rows = []
-    for row, (key, targets) in zip(hot, groups):
-        results, i = [], 0
-        for c, ps in probs.items():
-            values = []
-            for p in ps:
-                n = row[f"_n_{c}"]
-                low, high = targets[i].value, targets[i + 1].value
-                weight = _ranks(n, p)[2] if n else 0.0
-                values.append((1 - weight) * low + weight * high)
-                i += 2
-            results.append(values if row[f"_n_{c}"] else None)
-        rows.append(key + results)
-    extra = [T.StructField(quantile_name(c), T.ArrayType(T.DoubleType())) for c in probs]
-    out = _local(df.sparkSession, df, by, rows, extra)
-    return out.withColumnsRenamed({f"_g_{c}": c for c in by})
-
-
-def _with_columns(
-    df: DataFrame, by: list[str], rows: list[list], fields: list[T.StructField]
-) -> DataFrame:
-    """Put values of a group next to its rows; `rows` hold the group key, then the values."""
-    if not by:
-        values = [
-            f"CAST({'NULL' if v is None else repr(str(v))} AS {f.dataType.simpleString()}) AS {f.name}"
-            for f, v in zip(fields, rows[0])
-        ]
-        return df.selectExpr("*", *values)
-    keys = _local(df.sparkSession, df, by, rows, fields)
-    return df.join(F.broadcast(keys), _keys_match(df, by)).drop(*[f"_g_{c}" for c in by])
-
-
-def _with_state(df: DataFrame, by: list[str], groups: list[tuple[list, list[Target]]]) -> DataFrame:
-    """Put the bounds of every open target next to each row of its group."""
-    fields, rows = [], [list(key) for key, _ in groups]
-    for i in _wanted(groups):
-        fields += [
-            T.StructField(f"_low{i}", T.DoubleType()),
-            T.StructField(f"_high{i}", T.DoubleType()),
-            T.StructField(f"_open{i}", T.BooleanType()),
-            T.StructField(f"_rank{i}", T.LongType()),
-            T.StructField(f"_size{i}", T.LongType()),
-        ]
-        for row, (_, targets) in zip(rows, groups):
-            t = targets[i]
-            row += [t.low, t.high, t.open, t.rank - t.below, t.inside]
-    return _with_columns(df, by, rows, fields)
-
-
-def _wanted(groups: list, above: int = 0) -> list[int]:
-    """Targets that some group still looks for among more than `above` rows."""
-    return [
-        i
-        for i in range(len(groups[0][1]))
-        if any(ts[i].open and ts[i].inside > above for _, ts in groups)
+    """Every wanted rank of every group: bounds, counts, one bin in order."""
+    targets = [(c, p) for c, ps in probs.items() for p in ps]
+    values = df.select(*by, *[F.col(c).cast("double").alias(f"_x_{c}") for c in probs])
+    bounds = checkpointed(_bounds(values, targets, by))
+    bounded = _beside(values, bounds, by)
+
+    between = [
+        (F.col(f"_x_{c}") >= F.col(f"_lo{t}")) & (F.col(f"_x_{c}") <= F.col(f"_hi{t}"))
+        for t, (c, _) in enumerate(targets)
     ]
+    below = [
+        F.count_if(F.col(f"_x_{c}") < F.col(f"_lo{t}")).alias(f"_below{t}")
+        for t, (c, _) in enumerate(targets)
+    ]
+    held = [
+        F.when(inside, F.struct(F.lit(t).alias("_t"), _bin(c, t, bins).alias("_b"), F.col(f"_x_{c}").alias("_x")))
+        for t, ((c, _), inside) in enumerate(zip(targets, between, strict=True))
+    ]
+    inner = bounded.select(*by, F.explode(F.array_compact(F.array(*held))).alias("_v"))
+    inner = inner.select(*by, "_v.*").groupBy(*by, "_t", "_b", "_x").agg(F.count("*").alias("_n"))
+    inner = checkpointed(inner)
+
+    found = bounds.select(*by, *[f"_{k}{t}" for k in ("r", "s") for t in range(len(targets))])
+    under = bounded.groupBy(*by).agg(*below)
+    wanted = [
+        F.struct(F.lit(t).alias("_t"), *(F.col(f"_{k}{t}").alias(f"_{k}") for k in ("r", "s", "below")))
+        for t in range(len(targets))
+    ]
+    found = _beside(found, under, by).select(*by, F.inline(F.array(*wanted)))
+    picked = _ranked(inner, checkpointed(found), by)
+    return _gathered(bounds, picked, probs, targets, by)
 
 
-def _shared(groups: list, wanted: list[int], view: Callable[[Target], tuple]) -> dict[int, int]:
-    """Map each target to the first one that looks the same in every group."""
-    first: dict[tuple, int] = {}
-    return {
-        i: first.setdefault(tuple(view(ts[i]) for _, ts in groups), i) for i in wanted
-    }
-
-
-def _interval(t: Target) -> tuple:
-    return t.column, t.low, t.high, t.open
-
-
-def _inside(i: int, groups: list) -> str:
-    """Row lies strictly between the bounds of target i, as SQL."""
-    targets = [ts[i] for _, ts in groups]
-    x = f"`{targets[0].column}`"
-    condition = [f"{x} IS NOT NULL"]
-    if not all(t.open for t in targets):
-        condition.append(f"_open{i}")
-    if any(t.low is not None for t in targets):
-        condition.append(f"coalesce({x} > _low{i}, true)")
-    if any(t.high is not None for t in targets):
-        condition.append(f"coalesce({x} < _high{i}, true)")
-    return "(" + " AND ".join(condition) + ")"
+def _bounds(values: DataFrame, targets: list[tuple[str, float]], by: list[str]) -> DataFrame:
+    """Per group: how many values a column has, and for each target its two ranks and two bounds.
 
+    A grid step is ten times the error of the sketch, so ranks lie between the grid
+    points a step away; the outermost bounds are the least and the largest value.
+    """
+    columns = list(dict.fromkeys(c for c, _ in targets))
+    steps = ",".join(str(g / GRID) for g in range(GRID + 1))
+    grid = F.split(F.lit(steps), ",").cast("array<double>")
+    sketched = values.groupBy(*by).agg(
+        *[F.count(f"_x_{c}").alias(f"_n_{c}") for c in columns],
+        *[f(f"_x_{c}").alias(f"_{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))],
+        *[F.percentile_approx(f"_x_{c}", grid, ACCURACY).alias(f"_grid_{c}") for c in columns],
+    )
+    out = [f"_n_{c}" for c in columns]
+    for t, (c, p) in enumerate(targets):
+        n = F.col(f"_n_{c}")
+        place = F.lit(float(p)) * (n - 1)
+        low, high = F.floor(place), F.ceil(place)
+        before, after = F.floor(low * GRID / n) - 1, F.floor(high * GRID / n) + 2
+        points = F.col(f"_grid_{c}")
+        out += [
+            low.alias(f"_r{t}"),
+            high.alias(f"_s{t}"),
+            F.when(before <= 0, F.col(f"_min_{c}")).otherwise(F.get(points, before.cast("int"))).alias(f"_lo{t}"),
+            F.when(after >= GRID, F.col(f"_max_{c}")).otherwise(F.get(points, after.cast("int"))).alias(f"_hi{t}"),
+        ]
+    # An all-null column divides by no rows; its bounds stay NULL and hold no row.
+    counted = sketched.withColumns({f"_n_{c}": F.nullif(f"_n_{c}", F.lit(0)) for c in columns})
+    return counted.select(*by, *out)
+
+
+def _beside(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """Values of a group next to its rows; without groups the one row becomes literals."""
+    if by:
+        return attach(df, table, by, "inner")
+    row = table.first()
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in table.schema})
+
+
+def _bin(column: str, t: int, bins: int) -> Column:
+    """Place of a value between its bounds; it never falls where the value rises."""
+    x, low, high = F.col(f"_x_{column}"), F.col(f"_lo{t}"), F.col(f"_hi{t}")
+    share = F.when(high > low, (x - low) / F.nullif(high - low, F.lit(0.0))).otherwise(0.0)
+    return F.floor(F.least(F.nanvl(share, F.lit(1.0)), F.lit(1.0)) * (bins - 1)).cast("int")
+
+
+def _ranked(inner: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """Values at ranks `_r` and `_s` of each group and target."""
+    target = [*by, "_t"]
+    order = Window.partitionBy(*target).orderBy("_b")
+    per_bin = inner.groupBy(*target, "_b").agg(F.sum("_n").alias("_n"))
+    per_bin = per_bin.withColumn("_start", F.sum("_n").over(order) - F.col("_n"))
+    per_bin = _on_target(per_bin, found, by).withColumn("_start", F.col("_start") + F.col("_below"))
+    end = F.col("_start") + F.col("_n")
+    holds = lambda rank: (F.col(rank) >= F.col("_start")) & (F.col(rank) < end)
+    chosen = per_bin.filter(holds("_r") | holds("_s")).drop("_n", "_below")
+
+    within = Window.partitionBy(*target, "_b").orderBy("_x")
+    values = _on_target(inner, chosen, by, ["_b"])
+    values = values.withColumn("_start", F.col("_start") + F.sum("_n").over(within) - F.col("_n"))
+    return values.groupBy(*target).agg(
+        F.max(F.when(holds("_r"), F.col("_x"))).alias("_low"),
+        F.max(F.when(holds("_s"), F.col("_x"))).alias("_high"),
+        F.count_if(holds("_r")).alias("_found"),
+    )
 
-def _results(out: DataFrame, by: list[str], groups: list) -> list[tuple[list, list[Target], Row]]:
-    found = {tuple(r[c] for c in by): r for r in out.collect()}
-    return [(key, ts, found[tuple(key)]) for key, ts in groups if tuple(key) in found]
 
+def _on_target(left: DataFrame, right: DataFrame, by: list[str], more: Sequence[str] = ()) -> DataFrame:
+    """Null-safe join on the group, the target and `more`."""
+    keys = [*by, "_t", *more]
+    right = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys]
+    return left.join(right, same).drop(*[f"_k_{k}" for k in keys])
 
-def _narrow_once(df: DataFrame, by: list[str], groups: list, leaf_limit: int) -> None:
-    """Cut every large interval down to the part between two grid points."""
-    wanted = _wanted(groups, leaf_limit)
-    column = {i: groups[0][1][i].column for i in wanted}
-    same = _shared(groups, wanted, _interval)
-    state = _with_state(df, by, groups)
 
-    grid = ",".join(str(g / GRID) for g in range(GRID + 1))
-    sketches = [
-        f"percentile_approx(CASE WHEN {_inside(i, groups)} THEN `{column[i]}` END, "
-        f"cast(split('{grid}', ',') AS array<double>), {ACCURACY}) AS _grid{i}"
-        for i in sorted(set(same.values()))
-    ]
-    places = [f"max(int(floor(_rank{i} * {GRID} / _size{i}))) AS _at{i}" for i in wanted]
-    picks = []
-    for i in wanted:
-        points = f"_grid{same[i]}"
-        picks += [
-            f"{points}[greatest(_at{i} - 1, 0)] AS _a{i}",
-            f"{points}[least(_at{i} + 2, {GRID})] AS _b{i}",
-        ]
-    keys = [f"`{c}`" for c in by]
-    sketched = state.groupBy(*by).agg(*map(F.expr, [*sketches, *places]))
-    sketched = sketched.selectExpr(*keys, *picks)
-    cuts = _results(sketched, by, groups)
-
-    ends = {i: [(row[f"_a{i}"], row[f"_b{i}"]) for _, _, row in cuts] for i in wanted}
-    first: dict[tuple, int] = {}
-    counted = {i: first.setdefault((same[i], tuple(ends[i])), i) for i in wanted}
-    slots = sorted(set(counted.values()))
-    fields = [T.StructField(f"_{s}{i}", T.DoubleType()) for i in slots for s in "ab"]
-    cut_rows = [[*key, *(row[f"_{s}{i}"] for i in slots for s in "ab")] for key, _, row in cuts]
-    counters = []
-    for i in slots:
-        x, inside = f"`{column[i]}`", _inside(i, groups)
-        counters += [
-            f"count_if({inside} AND {x} < _a{i}) AS _lt_a{i}",
-            f"count_if({inside} AND {x} <= _a{i}) AS _le_a{i}",
-            f"count_if({inside} AND {x} < _b{i}) AS _lt_b{i}",
-            f"count_if({inside} AND {x} <= _b{i}) AS _le_b{i}",
-        ]
-    bounded = _with_columns(state, by, cut_rows, fields)
-    counts = _results(bounded.groupBy(*by).agg(*map(F.expr, counters)), by, groups)
-    for (_, targets, cut), (_, _, count) in zip(cuts, counts):
-        for i in wanted:
-            if targets[i].open:
-                below = [count[f"_{k}{counted[i]}"] for k in ("lt_a", "le_a", "lt_b", "le_b")]
-                _cut(targets[i], cut[f"_a{i}"], cut[f"_b{i}"], *below)
-
-
-def _cut(t: Target, a: float, b: float, lt_a: int, le_a: int, lt_b: int, le_b: int) -> None:
-    rank = t.rank - t.below
-    if rank < lt_a:
-        t.high, t.inside = a, lt_a
-    elif rank < le_a:
-        t.value = a
-    elif rank < lt_b:
-        t.low, t.high, t.below, t.inside = a, b, t.below + le_a, lt_b - le_a
-    elif rank < le_b:
-        t.value = b
-    else:
-        t.low, t.below, t.inside = b, t.below + le_b, t.inside - le_b
-
-
-def _finish(df: DataFrame, by: list[str], groups: list) -> None:
-    """Read the remaining ranks off sorted lists of at most `leaf_limit` values."""
-    wanted = _wanted(groups)
-    if not wanted:
-        return
-    same = _shared(groups, wanted, _interval)
-    state = _with_state(df, by, groups)
-    lists = [
-        f"array_sort(collect_list(CASE WHEN {_inside(i, groups)} "
-        f"THEN `{groups[0][1][i].column}` END)) AS _list{i}"
-        for i in sorted(set(same.values()))
+def _gathered(
+    bounds: DataFrame,
+    picked: DataFrame,
+    probs: Mapping[str, Sequence[float]],
+    targets: list[tuple[str, float]],
+    by: list[str],
+) -> DataFrame:
+    """One row per group with its arrays; a rank that no bound held is an error, never a guess."""
+    columns = list(probs)
+    sized = [
+        F.struct(F.lit(t).alias("_t"), F.lit(p).alias("_p"), F.col(f"_n_{c}").alias("_all"))
+        for t, (c, p) in enumerate(targets)
     ]
-    ranks = [f"max(int(_rank{i})) AS _at{i}" for i in wanted]
-    picks = [f"get(_list{same[i]}, _at{i}) AS _v{i}" for i in wanted]
-    listed = state.groupBy(*by).agg(*map(F.expr, [*lists, *ranks]))
-    out = listed.selectExpr(*[f"`{c}`" for c in by], *picks)
-    for _, targets, row in _results(out, by, groups):
-        for i in wanted:
-            if targets[i].open:
-                targets[i].value = row[f"_v{i}"]
+    wanted = bounds.select(*by, F.inline(F.array(*sized)))
+    keys = [*by, "_t"]
+    right = picked.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    rows = wanted.join(right, [wanted[k].eqNullSafe(right[f"_k_{k}"]) for k in keys], "left")
+    place = F.col("_p") * (F.col("_all") - 1)
+    weight = place - F.floor(place)
+    value = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(
+        (1 - weight) * F.col("_low") + weight * F.col("_high")
+    )
+    missed = F.col("_low").isNull() | F.col("_high").isNull()
+    value = F.when(F.col("_all").isNull(), F.lit(None)).when(
+        missed, F.raise_error(F.lit("a rank lies outside its bounds"))
+    ).otherwise(value)
+    each = rows.select(*by, "_t", value.cast("double").alias("_q")).groupBy(*by)
+    at = {t: F.max(F.when(F.col("_t") == t, F.col("_q"))) for t in range(len(targets))}
+    arrays = []
+    for c in columns:
+        own = [at[t] for t, (name, _) in enumerate(targets) if name == c]
+        arrays.append(F.when(own[0].isNotNull(), F.array(*own)).alias(quantile_name(c)))
+    return each.agg(*arrays)

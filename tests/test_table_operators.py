@@ -86,7 +86,7 @@ PROBS = [0.0, 0.01, 0.25, 0.37, 0.5, 0.75, 0.999, 1.0]
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_narrowing_is_exact(skewed, by):
     probs = {"x": PROBS, "n": [0.5]}
-    narrow = quantiles(skewed, probs, by, group_limit=1500, leaf_limit=40).collect()
+    narrow = quantiles(skewed, probs, by, group_limit=1500, bins=8).collect()
     pandas = skewed.toPandas()
     assert len(narrow) == (4 if by else 1)
     for r in narrow:
@@ -95,15 +95,30 @@ def test_narrowing_is_exact(skewed, by):
         assert r["q_n"][0] == np.quantile(part.n, 0.5)
 
 
-def test_large_groups_beyond_the_bound_are_dealt_into_parts(skewed):
-    args = (skewed, {"x": PROBS}, ["g"])
-    parts = quantiles(*args, group_limit=500, leaf_limit=400, hot_groups=2).collect()
-    assert {r["g"]: r["q_x"] for r in parts} == {r["g"]: r["q_x"] for r in quantiles(*args).collect()}
+def test_passes_do_not_follow_the_number_of_large_groups(spark, monkeypatch):
+    """Groups beyond the broadcast bound, and values that no rule of scale fits."""
+    from cellgauge.operators import quantiles as module
+
+    groups = 300
+    x = F.when(F.col("id") % 7 == 0, F.lit(2.0)).otherwise(F.exp((F.col("id") * 7919 % 601) / 20.0 - 15))
+    g = F.when(F.col("id") % groups > 0, F.col("id") % groups)
+    df = spark.range(groups * 40).select(g.alias("g"), x.alias("x")).cache()
+    jobs = []
+    monkeypatch.setattr(module, "checkpointed", lambda t: jobs.append(1) or t.cache())
+    monkeypatch.setattr(module, "attach", lambda *a: attach(*a, bound=20))
+    found = {r["g"]: r["q_x"] for r in quantiles(df, {"x": PROBS}, ["g"], group_limit=0).collect()}
+    few = len(jobs)
+    own = df.toPandas()
+    assert len(found) == groups
+    for key, part in own.groupby("g", dropna=False):
+        np.testing.assert_allclose(found[None if np.isnan(key) else key], np.quantile(part.x, PROBS), rtol=1e-12)
+    quantiles(df.filter("g < 3"), {"x": PROBS}, ["g"], group_limit=0).collect()
+    assert len(jobs) == 2 * few
 
 
 def test_empty_column_has_no_quantile(spark):
     df = spark.createDataFrame([(None, 1.0)] * 30, "x double, y double")
-    r = quantiles(df, {"x": [0.5], "y": [0.5]}, group_limit=5, leaf_limit=3).first()
+    r = quantiles(df, {"x": [0.5], "y": [0.5]}, group_limit=5).first()
     assert r["q_x"] is None and r["q_y"] == [1.0]
     assert quantiles(df, {"x": [0.5]}).first()["q_x"] is None
 
