@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from cellgauge.functions.columns import hash32
 from cellgauge.operators import clean, features, partition, profile, validate
 from cellgauge.operators.quantiles import quantile_name, quantiles
 from cellgauge.sources import schema as S
+from cellgauge.session import shared_folder
 from cellgauge.sources.network import network, observations
+from cellgauge.sources.tables import load_observations, read_table
 
 COLUMNS = ", ".join(S.REQUIRED)
 NUMBERS = S.NUMERIC_COLUMNS
@@ -77,6 +81,37 @@ def cast_report(spark, sf_dir):
     return S.cast_failures(df.select(*[v.alias(c) for c, v in text.items()]))
 
 
+def _written_lines(spark, sf_dir) -> str:
+    """A JSON copy of the table in the shared folder, lines cut off by a key rule."""
+    df = network(spark, sf_dir).select(*S.REQUIRED)
+    line = F.to_json(F.struct(*S.REQUIRED))
+    line = F.when(hash32(S.KEY, 5) < Q.CUT // 10, F.substring(line, 1, 25)).otherwise(line)
+    path = f"{shared_folder(spark)}/lines-{uuid4().hex}"
+    df.select(line.alias("value")).write.text(path)
+    return path
+
+
+@query("read_lines", sql(*Q.RAW, select=f"SELECT {COLUMNS} FROM network WHERE NOT {_bad(5)}"))
+def read_lines(spark, sf_dir):
+    """The table from a written copy with broken lines, under the contract."""
+    return load_observations(spark, _written_lines(spark, sf_dir), "json")
+
+
+@query(
+    "broken_lines",
+    sql(
+        *Q.RAW,
+        select=" UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {rule}) AS n_failed FROM network"
+            for c, rule in {**dict.fromkeys(S.REQUIRED, "FALSE"), S.CORRUPT: _bad(5)}.items()
+        ),
+    ),
+)
+def broken_lines(spark, sf_dir):
+    """What the copy loses: broken lines are counted as lines, not as missing values."""
+    return S.cast_failures(read_table(spark, _written_lines(spark, sf_dir), "json"))
+
+
 def _sql_quote(text: str) -> str:
     return text.replace("'", "''")
 

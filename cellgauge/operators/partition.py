@@ -16,6 +16,8 @@ from cellgauge.sources import schema as S
 
 SEGMENT, SPLIT = "segment", "split"
 TRAIN, TEST = "train", "test"
+#: Ranges of key hashes whose fingerprints are compared before keys are.
+KEY_RANGES = 4_096
 
 
 def vertical_split(
@@ -30,23 +32,33 @@ def vertical_split(
     )
 
 
-def vertical_check(infra: DataFrame, user: DataFrame, key: str = S.KEY) -> DataFrame:
+def vertical_check(
+    infra: DataFrame, user: DataFrame, key: str = S.KEY, ranges: int = KEY_RANGES
+) -> DataFrame:
     """Row counts, keys that differ as multisets, shared features; `is_valid` sums up.
 
-    Both sides meet in one aggregation by key, so the keys are shuffled once.
+    Keys are dealt into ranges of a hash. A range in which both sides have the same number
+    of rows and the same sum of 64-bit key hashes holds the same keys (but for a chance of
+    2^-64), so only keys of other ranges are shuffled and compared one by one.
     """
     shared = sorted((set(infra.columns) & set(user.columns)) - {key, S.LATENCY})
     missing = S.missing_columns(infra, S.INFRASTRUCTURE_FEATURES) + S.missing_columns(
         user, S.USER_FEATURES
     )
-    sides = infra.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionAll(
-        user.select(key, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    sides = infra.select(key, F.lit(1).alias("_side")).unionAll(
+        user.select(key, F.lit(-1).alias("_side"))
     )
-    per_key = sides.groupBy(key).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    checked = per_key.agg(
-        F.coalesce(F.sum("_a"), F.lit(0)).alias("rows_infra"),
-        F.coalesce(F.sum("_b"), F.lit(0)).alias("rows_user"),
-        F.count_if(F.col("_a") != F.col("_b")).alias("keys_differing"),
+    rows, differing = _differing_ranges(sides, key, ranges)
+    if differing:
+        own = sides.filter(_key_range(key, ranges).isin(differing))
+        per_key = own.groupBy(key).agg(F.sum("_side").alias("_more"))
+        keys = per_key.agg(F.count_if(F.col("_more") != 0).alias("keys_differing"))
+    else:
+        keys = infra.sparkSession.range(1).select(F.lit(0).cast("long").alias("keys_differing"))
+    checked = keys.select(
+        F.lit(rows[0]).cast("long").alias("rows_infra"),
+        F.lit(rows[1]).cast("long").alias("rows_user"),
+        "keys_differing",
         F.lit(len(shared)).alias("shared_features"),
     )
     valid = (
@@ -57,6 +69,29 @@ def vertical_check(infra: DataFrame, user: DataFrame, key: str = S.KEY) -> DataF
     return checked.withColumn("is_valid", valid)
 
 
+def _key_range(key: str, ranges: int) -> Column:
+    return F.pmod(F.hash(key), F.lit(ranges))
+
+
+def _differing_ranges(sides: DataFrame, key: str, ranges: int) -> tuple[tuple[int, int], list[int]]:
+    """Rows of both sides, and the ranges whose fingerprints differ.
+
+    One row per range reaches the driver. The hash is summed in halves, which no number
+    of rows a cluster holds lets overflow.
+    """
+    whole, side = F.xxhash64(key), F.col("_side")
+    low, high = whole.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(whole, 32)
+    prints = sides.groupBy(_key_range(key, ranges).alias("range")).agg(
+        F.count_if(side > 0).alias("a"),
+        F.count_if(side < 0).alias("b"),
+        F.sum(side * low).alias("low"),
+        F.sum(side * high).alias("high"),
+    )
+    found = prints.collect()
+    rows = sum(r["a"] for r in found), sum(r["b"] for r in found)
+    return rows, [r["range"] for r in found if r["a"] != r["b"] or r["low"] or r["high"]]
+
+
 def needs_location(location: str = S.LOCATION) -> Column:
     """Rows whose location is missing or neither Urban nor Rural."""
     return F.coalesce(~F.col(location).isin(texts.KNOWN_LOCATIONS), F.lit(True))

@@ -20,7 +20,7 @@ from cellgauge.operators.validate import (
     MIN_TRAIN_ROWS,
     validation_report,
 )
-from cellgauge.sources.schema import apply_contract, cast_failures, require_columns
+from cellgauge.sources.schema import CORRUPT, apply_contract, cast_failures, require_columns
 
 log = logging.getLogger(__name__)
 
@@ -67,8 +67,11 @@ def prepare(df: DataFrame, config: JobConfig) -> tuple[dict[str, DataFrame], Dat
     Only missing columns stop the job; values that do not parse are counted and warned of.
     """
     failures = frozen(cast_failures(require_columns(df)))
-    for row in failures.filter("n_failed > 0").collect():
-        log.warning("%s: %d values do not parse and count as missing", *row)
+    for column, n in failures.filter("n_failed > 0").collect():
+        if column == CORRUPT:
+            log.warning("%d lines are broken and left out", n)
+        else:
+            log.warning("%s: %d values do not parse and count as missing", column, n)
     rows = apply_contract(df)
     reports = {"validation": validation_report(rows), "cast_report": failures}
     return reports, apply_cleaning(rows, fit_cleaning(rows, config.exact))

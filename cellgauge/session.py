@@ -39,6 +39,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder, so that a lost executor costs no rerun."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -44,6 +44,8 @@ INFRASTRUCTURE_FEATURES = [SIGNAL, TRAFFIC]
 USER_FEATURES = [USERS, DEVICE]
 NUMERIC_FEATURES = [SIGNAL, TRAFFIC, USERS]
 NUMERIC_COLUMNS = [SIGNAL, TRAFFIC, LATENCY, USERS]
+#: Where a reader puts lines that do not fit the table.
+CORRUPT = "_corrupt_record"
 
 
 class MissingColumnsError(ValueError):
@@ -71,9 +73,12 @@ def canonical_names(df: DataFrame, display: Mapping[str, str] = DISPLAY_NAMES) -
 def apply_contract(df: DataFrame, schema: T.StructType = CONTRACT) -> DataFrame:
     """Select the contract columns in order with their types; NaN becomes NULL.
 
-    A value that does not parse becomes NULL. `cast_failures` counts these.
+    A value that does not parse becomes NULL, and a broken line is no row of the table.
+    `cast_failures` counts both.
     """
     require_columns(df, schema.names)
+    if CORRUPT in df.columns:
+        df = df.filter(F.col(CORRUPT).isNull())
     columns = []
     for field in schema:
         value = _parsed(df, field)
@@ -95,16 +100,22 @@ def _parsed(df: DataFrame, field: T.StructField) -> Column:
 def cast_failures(df: DataFrame, schema: T.StructType = CONTRACT) -> DataFrame:
     """Per column: values that are present but do not parse as the contract type.
 
-    A whole number out of range does not parse; NaN parses, as a missing value.
+    A whole number out of range does not parse; NaN parses, as a missing value. Where the
+    reader kept broken lines, a row `_corrupt_record` counts them; their values are not
+    counted a second time.
     """
     counters = []
+    whole = F.col(CORRUPT).isNull() if CORRUPT in df.columns else F.lit(True)
     for field in schema:
         value = F.col(f"`{field.name}`")
         failed = value.isNotNull() & _parsed(df, field).isNull()
         if isinstance(field.dataType, T.IntegerType):
             failed = failed & ~F.isnan(value.try_cast("double"))
-        failed = F.count_if(F.coalesce(failed, F.lit(True)))
+        failed = F.count_if(whole & F.coalesce(failed, F.lit(True)))
         counters.append(
             F.struct(F.lit(field.name).alias("column_name"), failed.alias("n_failed"))
         )
+    if CORRUPT in df.columns:
+        broken = F.count_if(~whole)
+        counters.append(F.struct(F.lit(CORRUPT).alias("column_name"), broken.alias("n_failed")))
     return df.agg(F.array(*counters).alias("rows")).select(F.inline("rows"))

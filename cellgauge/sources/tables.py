@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellgauge.sources.schema import apply_contract, canonical_names
+from cellgauge.sources.schema import CORRUPT, apply_contract, canonical_names
 
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc"}
 
@@ -15,17 +16,26 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     """Read a file or folder as it is.
 
     A missing path raises FileNotFoundError, an unreadable one ValueError. CSV is
-    read by header with string columns: no inference pass over the data.
+    read by header with string columns: no inference pass over the data. Lines of CSV
+    and JSON that are broken, or have more or fewer fields than the header, are kept
+    whole in the column `_corrupt_record`; the contract leaves them out and counts them.
     """
     if fmt is None:
         fmt = next((f for end, f in FORMATS.items() if path.rstrip("/").endswith(end)), "parquet")
     if fmt not in FORMATS.values():
         raise ValueError(f"Unsupported table format: {fmt}")
     reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True)
+    if fmt in ("csv", "json"):
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     try:
-        return reader.load(path)
+        if fmt == "csv":
+            reader = reader.option("header", True)
+            names = [f"`{c.replace('`', '``')}` string" for c in reader.load(path).columns]
+            reader = reader.schema(", ".join([*names, f"`{CORRUPT}` string"]))
+        table = reader.load(path)
+        if fmt == "json" and CORRUPT not in table.columns:  # every line was whole
+            table = table.withColumn(CORRUPT, F.lit(None).cast("string"))
+        return table
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"File not found: {path}") from error

@@ -34,6 +34,28 @@ def test_cast_failures_are_counted(spark, csv_path):
     assert failed[S.LATENCY] == 1 and sum(failed.values()) == 1
 
 
+@pytest.mark.parametrize("line", ["east,-80.0,1.0", "east,-80.0,1.0,2.0,3,IoT,Urban,more"])
+def test_ragged_csv_lines_are_counted_and_left_out(spark, csv_path, line):
+    with open(csv_path, "a") as out:
+        out.write(line + "\n")
+    raw = S.canonical_names(read_table(spark, csv_path))
+    assert [r[S.CORRUPT] for r in raw.filter(f"{S.CORRUPT} is not null").collect()] == [line]
+    failed = {r["column_name"]: r["n_failed"] for r in S.cast_failures(raw).collect()}
+    assert failed[S.CORRUPT] == 1 and failed[S.LATENCY] == 1 and sum(failed.values()) == 2
+    rows = load_observations(spark, csv_path)
+    assert rows.columns == S.REQUIRED and {r[S.KEY] for r in rows.collect()} == {"north", "south", "west"}
+
+
+def test_broken_json_lines(spark, tmp_path):
+    whole = json.dumps(dict(zip(S.REQUIRED, ["a", -60.0, 1.0, 2.0, 3, "IoT", "Urban"])))
+    for name, lines, n in [("some", [whole, whole[:30], "", "nonsense"], 2), ("none", [whole], 0)]:
+        path = tmp_path / f"{name}.json"
+        path.write_text("\n".join(lines))
+        failed = {r["column_name"]: r["n_failed"] for r in S.cast_failures(read_table(spark, str(path))).collect()}
+        assert failed[S.CORRUPT] == n and sum(failed.values()) == n
+        assert [r[S.USERS] for r in load_observations(spark, str(path)).collect()] == [3]
+
+
 def test_whole_numbers_out_of_range_do_not_parse(spark):
     rows = [("99999999999",), ("12.0",), ("NaN",), ("x",), (None,)]
     df = spark.createDataFrame(rows, f"{S.USERS} string")

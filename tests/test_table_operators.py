@@ -287,6 +287,24 @@ def test_vertical_check_finds_lost_keys(towers):
     assert not shared["is_valid"] and shared["shared_features"] == 1
 
 
+def test_range_fingerprints_find_what_keys_find(spark, towers, monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = [None, *[f"k{i}" for i in range(60)]]
+    for ranges in (1, 7, 4096):
+        a = rng.choice(keys, 80).tolist()
+        b = [k for k in a if rng.random() < 0.9] + rng.choice(keys, 5).tolist()
+        infra, user = (partition.vertical_split(towers(*map(row, side)))[i] for i, side in enumerate((a, b)))
+        got = partition.vertical_check(infra, user, ranges=ranges).first()
+        assert (got["rows_infra"], got["rows_user"]) == (len(a), len(b))
+        assert got["keys_differing"] == sum(a.count(k) != b.count(k) for k in keys)
+        same = partition.vertical_split(towers(*map(row, rng.permutation(np.array(a, dtype=object)).tolist())))[1]
+        equal = partition.vertical_check(infra, same, ranges=ranges)
+        assert equal.first()["is_valid"]
+        assert S.KEY not in equal._jdf.queryExecution().executedPlan().toString()
+    none = partition.vertical_check(*partition.vertical_split(towers())).first()
+    assert none["is_valid"] and none["rows_infra"] == 0
+
+
 def test_both_location_rules(towers):
     df = towers(
         row("and", place=None, users=51, signal=-84.0),
