@@ -15,6 +15,8 @@ from cellgauge.llm.store import written
 
 #: Rows that a bucket of an ordering holds on average.
 BUCKET_ROWS = 2_000
+#: Buckets whose counts are added up in one window.
+STRETCH = 1_000
 HASH_BITS = 60
 
 
@@ -26,10 +28,15 @@ def seeded(seed: int, *parts: Column) -> Column:
 
 def _rank(rows: DataFrame, keys: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
     """Position from 1 within `keys`, by `bucket` and then `order`."""
-    counts = rows.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket)
-    starts = counts.withColumn("_at", F.sum("_n").over(before) - F.col("_n"))
-    starts = written(starts.drop("_n"), "ranks")
+    stretch = F.floor(F.col(bucket) / STRETCH).alias("_k")
+    counts = written(rows.groupBy(*keys, bucket).agg(F.count("*").alias("_n")).select("*", stretch), "counts")
+    # Two levels: stretches of buckets are added up first, then the buckets within each.
+    whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_k")
+    bases = counts.groupBy(*keys, "_k").agg(F.sum("_n").alias("_in"))
+    bases = bases.withColumn("_base", F.sum("_in").over(whole) - F.col("_in")).drop("_in")
+    before = Window.partitionBy(*keys, "_k").orderBy(bucket)
+    starts = counts.withColumn("_at", F.sum("_n").over(before) - F.col("_n")).join(bases, [*keys, "_k"])
+    starts = written(starts.select(*keys, bucket, (F.col("_at") + F.col("_base")).alias("_at")), "ranks")
     own = Window.partitionBy(*keys, bucket).orderBy(*order)
     return rows.join(starts, [*keys, bucket]).withColumn(name, F.col("_at") + F.row_number().over(own)).drop("_at")
 

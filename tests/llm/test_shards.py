@@ -32,6 +32,7 @@ def brute(rows, count):
 def test_every_shard_and_slot_is_that_of_a_plain_sort(spark, monkeypatch, bucket_rows):
     """A source with a third of all rows, sources of one row, copies, null ids, texts and sources."""
     monkeypatch.setattr(shards, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(shards, "STRETCH", 5)
     draw = random.Random(9)
     docs = [(i, f"text {draw.randrange(40)} é", "hot" if i % 3 == 0 else f"s{draw.randrange(5)}") for i in range(500)]
     docs += [(None, "no id", "hot"), (None, None, None), (7, "text", None), (8, "", ""), (8, "", ""), (900, "x", "lone")]
