@@ -91,7 +91,8 @@ class Segment:
         sizes = row["postings"].to_numpy().astype(np.int64)
         positions = X.unpack_codes(row["positions"]).astype(np.int64)
         # Only the lists of terms that the queries hold are looked at from here on.
-        wanted = pc.fill_null(pc.index_in(terms, value_set=needed), -1).to_numpy()
+        # Their numbers are 64 bits wide: times the stride they pass 2^31 early.
+        wanted = pc.fill_null(pc.index_in(terms, value_set=needed), -1).to_numpy().astype(np.int64)
         used = wanted >= 0
         lists = np.repeat(used, sizes)
         code = np.repeat(wanted[used], sizes[used])

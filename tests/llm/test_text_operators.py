@@ -372,6 +372,16 @@ def test_word_base(docs):
     assert got == want
 
 
+def test_many_terms_in_a_long_segment(spark):
+    """Term numbers times the positions of a segment pass 2^31; the last item's terms have the largest numbers."""
+    last = " ".join(f"z{i}" for i in range(13))
+    items = [(str(i), " ".join(f"w{i}x{j}" for j in range(1000))) for i in range(30)] + [("last", last)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, "filler " * 100_000 + last), (2, last)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in phrase.contamination(docs.coalesce(1), bench).collect()}
+    assert got == {1: (100_013, 13, 1, False), 2: (13, 13, 1, True)}
+
+
 def brute_proximity(words, query, slop):
     places = {w: [i for i, x in enumerate(words) if x == w] for w in query}
     return {
