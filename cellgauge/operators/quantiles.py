@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,13 +132,7 @@ def _narrowed(
         F.count_if(F.col(f"_x_{c}") < F.col(f"_lo{t}")).alias(f"_below{t}")
         for t, (c, _) in enumerate(targets)
     ]
-    held = [
-        F.when(inside, F.struct(F.lit(t).alias("_t"), _bin(c, t, bins).alias("_b"), F.col(f"_x_{c}").alias("_x")))
-        for t, ((c, _), inside) in enumerate(zip(targets, between, strict=True))
-    ]
-    inner = bounded.select(*by, F.explode(F.array_compact(F.array(*held))).alias("_v"))
-    inner = inner.select(*by, "_v.*").groupBy(*by, "_t", "_b", "_x").agg(F.count("*").alias("_n"))
-    inner = checkpointed(inner)
+    inner = checkpointed(_dealt(_held(bounded, between, targets, by), bounds, targets, by, bins))
 
     found = bounds.select(*by, *[f"_{k}{t}" for k in ("r", "s") for t in range(len(targets))])
     under = bounded.groupBy(*by).agg(*below)
@@ -189,9 +185,52 @@ def _beside(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in table.schema})
 
 
-def _bin(column: str, t: int, bins: int) -> Column:
+def _held(
+    bounded: DataFrame, between: list[Column], targets: list[tuple[str, float]], by: list[str]
+) -> DataFrame:
+    """Values of each column that lie between the bounds of any target, with their counts.
+
+    A value is held once a column however many targets want it, and rows without one
+    leave before anything is built from them.
+    """
+    columns = list(dict.fromkeys(c for c, _ in targets))
+    own = {c: [inside for (name, _), inside in zip(targets, between, strict=True) if name == c] for c in columns}
+    marks = {c: f"_in{i}" for i, c in enumerate(columns)}
+    marked = bounded.select(
+        *by,
+        *[f"_x_{c}" for c in columns],
+        *[F.coalesce(reduce(or_, inside), F.lit(False)).alias(marks[c]) for c, inside in own.items()],
+    ).where(reduce(or_, [F.col(mark) for mark in marks.values()]))
+    held = [
+        F.when(F.col(marks[c]), F.struct(F.lit(i).alias("_c"), F.col(f"_x_{c}").alias("_x")))
+        for i, c in enumerate(columns)
+    ]
+    inner = marked.select(*by, F.explode(F.array_compact(F.array(*held))).alias("_v"))
+    return inner.select(*by, "_v.*").groupBy(*by, "_c", "_x").agg(F.count("*").alias("_n"))
+
+
+def _dealt(
+    held: DataFrame, bounds: DataFrame, targets: list[tuple[str, float]], by: list[str], bins: int
+) -> DataFrame:
+    """The held values of each target, dealt into bins."""
+    place = {c: i for i, c in enumerate(dict.fromkeys(c for c, _ in targets))}
+    wanted = [
+        F.struct(
+            F.lit(t).alias("_t"),
+            F.lit(place[c]).alias("_own"),
+            F.col(f"_lo{t}").alias("_lo"),
+            F.col(f"_hi{t}").alias("_hi"),
+        )
+        for t, (c, _) in enumerate(targets)
+    ]
+    parts = _beside(held, bounds, by).select(*by, "_c", "_x", "_n", F.inline(F.array(*wanted)))
+    inside = (F.col("_c") == F.col("_own")) & (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
+    return parts.where(inside).select(*by, "_t", _bin(bins).alias("_b"), "_x", "_n")
+
+
+def _bin(bins: int) -> Column:
     """Place of a value between its bounds; it never falls where the value rises."""
-    x, low, high = F.col(f"_x_{column}"), F.col(f"_lo{t}"), F.col(f"_hi{t}")
+    x, low, high = F.col("_x"), F.col("_lo"), F.col("_hi")
     share = F.when(high > low, (x - low) / F.nullif(high - low, F.lit(0.0))).otherwise(0.0)
     return F.floor(F.least(F.nanvl(share, F.lit(1.0)), F.lit(1.0)) * (bins - 1)).cast("int")
 

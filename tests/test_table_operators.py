@@ -116,6 +116,27 @@ def test_passes_do_not_follow_the_number_of_large_groups(spark, monkeypatch):
     assert len(jobs) == 2 * few
 
 
+def test_a_row_is_held_once_a_column_however_many_targets(spark, monkeypatch):
+    """No list with an entry per target is built for a row; rows beyond all bounds leave first."""
+    from cellgauge.operators import quantiles as module
+
+    plans = []
+
+    def recorded(table):
+        plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+        return table.cache()
+
+    monkeypatch.setattr(module, "checkpointed", recorded)
+    df = spark.range(5000).select((F.col("id") % 1009).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    row = quantiles(df, {"x": PROBS, "y": PROBS}, group_limit=0).first()
+    np.testing.assert_allclose(row["q_x"], np.quantile(np.arange(5000) % 1009, PROBS), rtol=1e-12)
+    np.testing.assert_allclose(row["q_y"], np.quantile(np.arange(5000), PROBS), rtol=1e-12)
+    # Below the first aggregate: what happens to every row.
+    per_row = next(p for p in plans if "explode(" in p).rsplit("Aggregate", 1)[1]
+    generate = next(line for line in per_row.splitlines() if "Generate" in line)
+    assert "Filter" in per_row[per_row.index("Generate") :] and generate.count("named_struct(") + per_row.count("CASE WHEN") <= 4
+
+
 def test_empty_column_has_no_quantile(spark):
     df = spark.createDataFrame([(None, 1.0)] * 30, "x double, y double")
     r = quantiles(df, {"x": [0.5], "y": [0.5]}, group_limit=5).first()
