@@ -19,6 +19,7 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,20 +63,35 @@ class Grid:
     def names(self) -> list[str]:
         return [*self.cuts, *(f"{c}_{v}" for c, vs in self.categories.items() for v in vs[1:])]
 
-    def cell(self, medians: Mapping[str, float | None] | None = None) -> Column:
-        """Number of a row's cell. Missing numbers take the median, unseen categories the first one."""
+    def placed(self, df: DataFrame, out: str, medians: Mapping[str, float | None] | None = None) -> DataFrame:
+        """Add the number of a row's cell. Missing numbers take the median, unseen categories the first one.
+
+        Bins are found by bisection in one call a number: a condition per cut makes the
+        generated method longer than the JVM compiles.
+        """
         fill = medians or self.medians
-        code = F.lit(0)
-        for c, cuts in self.cuts.items():
+        filled, splits = {}, {}
+        for i, (c, cuts) in enumerate(self.cuts.items()):
+            # A number beyond a cut is at or beyond the next number; nothing lies beyond infinity.
+            ends = [float(np.nextafter(cut, np.inf)) for cut in cuts if cut < np.inf]
             x = F.col(c).cast("double")
-            x = F.coalesce(F.when(~F.isnan(x), x), F.lit(float(fill.get(c) or 0.0)))
-            above = sum((F.when(x > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
-            code = code * (len(cuts) + 1) + above
+            filled[f"_{out}_x{i}"] = F.coalesce(F.when(~F.isnan(x), x), F.lit(float(fill.get(c) or 0.0)))
+            if ends:
+                splits[f"_{out}_x{i}"] = [-float("inf"), *ends, float("inf")]
+        placed = df.withColumns(filled) if filled else df
+        bins = {c: f"{c}b" for c in splits}
+        if splits:
+            placed = Bucketizer(
+                splitsArray=list(splits.values()), inputCols=list(splits), outputCols=list(bins.values())
+            ).transform(placed)
+        code = F.lit(0)
+        for c, x in zip(self.cuts, filled, strict=True):
+            code = code * (len(self.cuts[c]) + 1) + (F.col(bins[x]).cast("int") if x in bins else F.lit(0))
         for c, values in self.categories.items():
             known = F.coalesce(F.col(c), F.lit(texts.UNKNOWN))
             place = F.coalesce(*(F.when(known == v, i) for i, v in enumerate(values)), F.lit(0))
             code = code * max(len(values), 1) + place
-        return code.cast("int")
+        return placed.withColumn(out, code.cast("int")).drop(*filled, *bins.values())
 
     def codes(self, cell: np.ndarray) -> np.ndarray:
         """Bin of every feature (rows) in every cell (columns)."""
@@ -148,8 +164,9 @@ def fit_blocks(df: DataFrame, grid: Grid, target: str = S.LATENCY, fold: Column
     deal = max(1, min(BLOCKS, MAX_BLOCKS // (grid.cells * folds)))
     y = F.col(target).cast("double")
     dealt = hash32(key, DEAL_SEED) % deal if key in df.columns else F.lit(0)
-    rows = df.where(y.isNotNull() & ~F.isnan(y)).select(
-        grid.cell().alias("cell"),
+    usable = grid.placed(df.where(y.isNotNull() & ~F.isnan(y)), "_cell")
+    rows = usable.select(
+        F.col("_cell").alias("cell"),
         (F.lit(0) if fold is None else fold).cast("int").alias("fold"),
         F.coalesce(dealt.cast("int"), F.lit(0)).alias("block"),
         y.alias("y"),
@@ -185,7 +202,7 @@ class CellForest:
         cell = f"_cell_{out}"
         rows = pa.table({cell: pa.array(np.arange(len(self.table)), pa.int32()), out: pa.array(self.table)})
         lookup = F.broadcast(df.sparkSession.createDataFrame(rows))
-        return df.withColumn(cell, self.grid.cell(medians)).join(lookup, cell, "left").drop(cell)
+        return self.grid.placed(df, cell, medians).join(lookup, cell, "left").drop(cell)
 
 
 def grow_tree(codes: np.ndarray, kinds: Sequence[tuple[int, bool]], n: np.ndarray, total: np.ndarray, cells: np.ndarray,

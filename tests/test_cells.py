@@ -193,3 +193,32 @@ def test_each_side_of_the_split_is_checked(towers):
     moved = whole.withColumn("split", F.when(F.col(S.KEY) == "t5", "test").otherwise(F.col("split")))
     assert partition.horizontal_check(moved, sided).first()["is_valid"]
     assert not any(r["is_valid"] for r in partition.horizontal_check(moved, sided, by=["split"]).collect())
+
+
+def test_cells_are_found_without_a_condition_per_cut(spark):
+    """Bins count the cuts below a number; the plan stays short, so that the JVM compiles it."""
+    cuts = {"a": [-1.0, 0.0, 2.5, float("inf")], "b": [float(i) for i in range(31)], "c": []}
+    grid = C.Grid(cuts, {"d": ["p", "q", "Unknown"]}, {"a": 2.5, "b": 3.0, "c": 0.0})
+    a = [None, float("nan"), -1.0, -0.0, 0.0, 5e-324, 2.5, 2.6, float("inf"), float("-inf")]
+    rows = [(x, float(i * 4 - 5), 1.0, "pqz"[i % 3] if i else None) for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d string")
+
+    def want(x, y, d):
+        x = 2.5 if x is None or x != x else x
+        code = sum(x > cut for cut in cuts["a"]) * 32 + sum(y > cut for cut in cuts["b"])
+        return code * 3 + {"p": 0, "q": 1, None: 2}.get(d, 0)
+
+    forest = C.CellForest(grid, np.arange(grid.cells, dtype=float), np.array([1.0]))
+    scored = forest.predict(df, "cell")
+    assert scored.columns == ["a", "b", "c", "d", "cell"]
+    got = sorted((r["b"], r["cell"]) for r in scored.collect())
+    assert got == sorted((y, want(x, y, d)) for x, y, _, d in rows)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 20
+
+
+def test_rows_read_in_many_passes_are_cached(spark, sf_dir):
+    """Cleaning and the hash of the split are worked out once, not in every pass of every model."""
+    from cellgauge.catalog import model_queries
+
+    rows, _, _ = model_queries.prepared(spark, sf_dir)
+    assert rows.storageLevel.useMemory and rows.storageLevel.useDisk
