@@ -23,6 +23,7 @@ from cellgauge.operators.evaluate import fold_mse, model_metrics, require_sample
 from cellgauge.operators.partition import SEGMENT
 from cellgauge.operators.validate import MIN_MODEL_ROWS, check_model_input
 from cellgauge.sources import schema as S
+from cellgauge.sources.tables import cached
 
 log = logging.getLogger(__name__)
 
@@ -263,8 +264,11 @@ def cross_predict(
     k: int,
     seed: int = FOLD_SEED,
 ) -> DataFrame:
-    """Out-of-fold predictions: each fold is scored by models that never saw it."""
-    folded = with_folds(df, k, seed)
+    """Out-of-fold predictions: each fold is scored by models that never saw it.
+
+    Rows with their folds are cached: every fold reads them in several passes.
+    """
+    folded = cached(with_folds(df, k, seed))
     parts = []
     for fold in range(k):
         train = folded.filter(F.col("fold") != fold)

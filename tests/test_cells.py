@@ -217,8 +217,12 @@ def test_cells_are_found_without_a_condition_per_cut(spark):
 
 
 def test_rows_read_in_many_passes_are_cached(spark, sf_dir):
-    """Cleaning and the hash of the split are worked out once, not in every pass of every model."""
+    """Cleaning and the hashes of split and fold are worked out once, not in every pass of every model."""
     from cellgauge.catalog import model_queries
 
-    rows, _, _ = model_queries.prepared(spark, sf_dir)
+    rows, train, _ = model_queries.prepared(spark, sf_dir)
     assert rows.storageLevel.useMemory and rows.storageLevel.useDisk
+    makers = {"m": lambda: M.user_behavior_model(M.ForestSettings(trees=2, depth=2))}
+    scored = M.cross_predict(train, makers, 2)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan and "md5" not in plan.split("InMemoryRelation")[0]
