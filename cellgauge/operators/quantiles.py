@@ -26,6 +26,8 @@ GROUP_LIMIT = 500_000
 GRID = 1_000
 ACCURACY = 10_000
 BINS = 4_096
+#: Rows that buckets may hold between the bounds, as a share of all; beyond it a sketch gives the bounds.
+HELD_SHARE = 0.1
 
 
 def quantile_name(column: str) -> str:
@@ -54,13 +56,13 @@ def quantiles(
     if not by:
         rows = df.count() if rows is None else rows
         return _builtin(df, probs, by) if rows <= group_limit else _narrowed(df, probs, by, bins)
+    if group_limit <= 0:
+        return _narrowed(df, probs, by, bins)
     sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"))
     large = checkpointed(sizes.filter(F.col("_rows") > group_limit).select(*by))
     if large.isEmpty():
         return _builtin(df, probs, by)
     narrowed = _narrowed(attach(df, large, by, "left_semi"), probs, by, bins)
-    if group_limit <= 0:
-        return narrowed
     return _builtin(attach(df, large, by, "left_anti"), probs, by).unionByName(narrowed)
 
 
@@ -121,7 +123,10 @@ def _narrowed(
     """Every wanted rank of every group: bounds, counts, one bin in order."""
     targets = [(c, p) for c, ps in probs.items() for p in ps]
     values = df.select(*by, *[F.col(c).cast("double").alias(f"_x_{c}") for c in probs])
-    bounds = checkpointed(_bounds(values, targets, by))
+    bounds = checkpointed(_bucket_bounds(values, targets, by))
+    counted = _within(bounds, targets)
+    if not counted:
+        bounds = checkpointed(_bounds(values, targets, by))
     bounded = _beside(values, bounds, by)
 
     between = [
@@ -135,7 +140,10 @@ def _narrowed(
     inner = checkpointed(_dealt(_held(bounded, between, targets, by), bounds, targets, by, bins))
 
     found = bounds.select(*by, *[f"_{k}{t}" for k in ("r", "s") for t in range(len(targets))])
-    under = bounded.groupBy(*by).agg(*below)
+    if counted:
+        under = bounds.select(*by, *[f"_below{t}" for t in range(len(targets))])
+    else:
+        under = bounded.groupBy(*by).agg(*below)
     wanted = [
         F.struct(F.lit(t).alias("_t"), *(F.col(f"_{k}{t}").alias(f"_{k}") for k in ("r", "s", "below")))
         for t in range(len(targets))
@@ -145,6 +153,55 @@ def _narrowed(
     return _gathered(bounds, picked, probs, targets, by)
 
 
+def _bucket(x: Column) -> Column:
+    """Number of a value's bucket, 1/256 of a unit of its logarithm wide; it never falls where the value rises."""
+    size = F.least(F.nanvl(F.log(F.abs(x)), F.lit(1_001.0)), F.when(F.isnan(x), 1_001.0).otherwise(1_000.0))
+    place = (F.floor(size * 256) + 200_000).cast("int")
+    return F.when(x > 0, place).when(x < 0, -place).when(x == 0, 0)
+
+
+def _bucket_bounds(values: DataFrame, targets: list[tuple[str, float]], by: list[str]) -> DataFrame:
+    """What `_bounds` gives, and the values below each lower bound, from counts of buckets in one pass.
+
+    The bounds of a target are the least and the largest value of the buckets that its two
+    ranks lie in. `_in<t>` are the rows of those that hold more than one value. A window spans
+    the buckets of one column of one group, at most 400,000 however many rows there are.
+    """
+    columns = list(dict.fromkeys(c for c, _ in targets))
+    each = [F.struct(F.lit(i).alias("_c"), F.col(f"_x_{c}").alias("_x")) for i, c in enumerate(columns)]
+    long = values.select(*by, F.inline(F.array(*each)))
+    counts = long.groupBy(*by, "_c", _bucket(F.col("_x")).alias("_b")).agg(
+        F.count("_x").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    )
+    column = Window.partitionBy(*by, "_c")
+    below = F.sum("_n").over(column.orderBy("_b")) - F.col("_n")
+    placed = counts.withColumns({"_all": F.sum("_n").over(column), "_below": below})
+    out = [F.max(F.when(F.col("_c") == i, F.nullif("_all", F.lit(0)))).alias(f"_n_{c}") for i, c in enumerate(columns)]
+    for t, (c, p) in enumerate(targets):
+        place = F.lit(float(p)) * (F.col("_all") - 1)
+        low, high, end = F.floor(place), F.ceil(place), F.col("_below") + F.col("_n")
+        own = (F.col("_c") == columns.index(c)) & (F.col("_n") > 0)
+        first = own & (low >= F.col("_below")) & (low < end)
+        last = own & (high >= F.col("_below")) & (high < end)
+        out += [
+            F.max(F.when(own, low)).alias(f"_r{t}"),
+            F.max(F.when(own, high)).alias(f"_s{t}"),
+            F.max(F.when(first, F.col("_lo"))).alias(f"_lo{t}"),
+            F.max(F.when(last, F.col("_hi"))).alias(f"_hi{t}"),
+            F.coalesce(F.max(F.when(first, F.col("_below"))), F.lit(0)).alias(f"_below{t}"),
+            F.coalesce(F.sum(F.when((first | last) & (F.col("_lo") < F.col("_hi")), F.col("_n"))), F.lit(0)).alias(f"_in{t}"),
+        ]
+    return placed.groupBy(*by).agg(*out)
+
+
+def _within(bounds: DataFrame, targets: list[tuple[str, float]]) -> bool:
+    """Whether the buckets narrow the rows far enough; values that lie close together leave it to the sketch."""
+    held = reduce(lambda a, b: a + b, [F.col(f"_in{t}") for t in range(len(targets))])
+    rows = reduce(lambda a, b: a + b, [F.coalesce(f"_n_{c}", F.lit(0)) for c, _ in targets])
+    row = bounds.agg(F.sum(held).alias("held"), F.sum(rows).alias("rows")).first()
+    return not row["rows"] or row["held"] <= HELD_SHARE * row["rows"]
+
+
 def _bounds(values: DataFrame, targets: list[tuple[str, float]], by: list[str]) -> DataFrame:
     """Per group: how many values a column has, and for each target its two ranks and two bounds.
 

@@ -388,3 +388,34 @@ def test_feature_names_skip_the_first_category(towers):
     train = towers(row(device="Laptop"), row(device=None))
     fitted = features.fit_features(train, features.USER_BEHAVIOR)
     assert fitted.names == ["user_count", "device_type_Unknown"]
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_buckets_narrow_without_a_sketch(spark, monkeypatch, by):
+    """Values of all sizes and signs, infinite ones, missing ones and NaN, in two passes over the rows."""
+    from cellgauge.operators import quantiles as module
+
+    rng = np.random.default_rng(3)
+    inf, nan = float("inf"), float("nan")
+    x = [*(rng.choice([-1.0, 1.0], 600) * 10.0 ** rng.uniform(-300, 300, 600)), *[0.0] * 30, *[inf, -inf, 5e-324, -5e-324] * 5]
+    y = [*rng.uniform(50, 60, 300), *[nan] * 150, *[None] * 200]
+    rows = [("ab"[i % 2], float(v), None if w is None else float(w)) for i, (v, w) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "g string, x double, y double").cache()
+    probs = {"x": PROBS, "y": [0.1, 0.9]}
+    want = {str(r) for r in module._builtin(df, probs, by).collect()}
+    assert {str(r) for r in module._narrowed(df, probs, by, 8).collect()} == want
+    monkeypatch.setattr(module, "_bounds", None)
+    monkeypatch.setattr(module, "HELD_SHARE", 1.0)
+    assert {str(r) for r in module._narrowed(df, probs, by, 8).collect()} == want
+
+
+def test_values_that_lie_close_together_are_narrowed_by_a_sketch(spark, monkeypatch):
+    from cellgauge.operators import quantiles as module
+
+    used, sketch = [], module._bounds
+    monkeypatch.setattr(module, "_bounds", lambda *a: used.append(1) or sketch(*a))
+    df = spark.range(5000).select((F.col("id") + 1.7e9).alias("x"), (F.col("id") + 1.0).alias("y"))
+    assert quantiles(df, {"x": [0.25, 0.5]}, group_limit=0).first()["q_x"] == [1.7e9 + 1249.75, 1.7e9 + 2499.5]
+    assert len(used) == 1
+    assert quantiles(df, {"y": [0.25, 0.5]}, group_limit=0).first()["q_y"] == [1250.75, 2500.5]
+    assert len(used) == 1
