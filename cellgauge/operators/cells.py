@@ -19,6 +19,7 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,29 +70,7 @@ class Grid:
         Bins are found by bisection in one call a number: a condition per cut makes the
         generated method longer than the JVM compiles.
         """
-        fill = medians or self.medians
-        filled, splits = {}, {}
-        for i, (c, cuts) in enumerate(self.cuts.items()):
-            # A number beyond a cut is at or beyond the next number; nothing lies beyond infinity.
-            ends = [float(np.nextafter(cut, np.inf)) for cut in cuts if cut < np.inf]
-            x = F.col(c).cast("double")
-            filled[f"_{out}_x{i}"] = F.coalesce(F.when(~F.isnan(x), x), F.lit(float(fill.get(c) or 0.0)))
-            if ends:
-                splits[f"_{out}_x{i}"] = [-float("inf"), *ends, float("inf")]
-        placed = df.withColumns(filled) if filled else df
-        bins = {c: f"{c}b" for c in splits}
-        if splits:
-            placed = Bucketizer(
-                splitsArray=list(splits.values()), inputCols=list(splits), outputCols=list(bins.values())
-            ).transform(placed)
-        code = F.lit(0)
-        for c, x in zip(self.cuts, filled, strict=True):
-            code = code * (len(self.cuts[c]) + 1) + (F.col(bins[x]).cast("int") if x in bins else F.lit(0))
-        for c, values in self.categories.items():
-            known = F.coalesce(F.col(c), F.lit(texts.UNKNOWN))
-            place = F.coalesce(*(F.when(known == v, i) for i, v in enumerate(values)), F.lit(0))
-            code = code * max(len(values), 1) + place
-        return placed.withColumn(out, code.cast("int")).drop(*filled, *bins.values())
+        return place_all(df, {out: self}, medians)
 
     def codes(self, cell: np.ndarray) -> np.ndarray:
         """Bin of every feature (rows) in every cell (columns)."""
@@ -116,23 +95,85 @@ class Grid:
         return out
 
 
+def place_all(df: DataFrame, grids: Mapping[str, Grid], medians: Mapping[str, float | None] | None = None) -> DataFrame:
+    """Add the number of a row's cell in each grid, by column name; a bin that grids share is found once."""
+    prefix = f"_{next(iter(grids))}_x"
+    bins: dict[tuple, str] = {}
+    filled, splits = {}, {}
+    for grid in grids.values():
+        fill = medians or grid.medians
+        for c, cuts in grid.cuts.items():
+            # A number beyond a cut is at or beyond the next number; nothing lies beyond infinity.
+            ends = tuple(float(np.nextafter(cut, np.inf)) for cut in cuts if cut < np.inf)
+            missing = float(fill.get(c) or 0.0)
+            if not ends or (c, ends, missing) in bins:
+                continue
+            name = f"{prefix}{len(bins)}"
+            bins[c, ends, missing] = f"{name}b"
+            x = F.col(c).cast("double")
+            filled[name] = F.coalesce(F.when(~F.isnan(x), x), F.lit(missing))
+            splits[name] = [-float("inf"), *ends, float("inf")]
+    placed = df.withColumns(filled) if filled else df
+    if splits:
+        placed = Bucketizer(
+            splitsArray=list(splits.values()), inputCols=list(splits), outputCols=[f"{c}b" for c in splits]
+        ).transform(placed)
+    codes = {}
+    for out, grid in grids.items():
+        fill = medians or grid.medians
+        code = F.lit(0)
+        for c, cuts in grid.cuts.items():
+            ends = tuple(float(np.nextafter(cut, np.inf)) for cut in cuts if cut < np.inf)
+            found = bins.get((c, ends, float(fill.get(c) or 0.0)))
+            code = code * (len(cuts) + 1) + (F.col(found).cast("int") if found else F.lit(0))
+        for c, values in grid.categories.items():
+            known = F.coalesce(F.col(c), F.lit(texts.UNKNOWN))
+            place = F.coalesce(*(F.when(known == v, i) for i, v in enumerate(values)), F.lit(0))
+            code = code * max(len(values), 1) + place
+        codes[out] = code.cast("int")
+    return placed.withColumns(codes).drop(*filled, *bins.values())
+
+
 def fit_grid(df: DataFrame, features: FittedFeatures, bins: int = 32, rows: int | None = None, key: str = S.KEY) -> Grid:
     """Cuts at equal shares of the rows, in one pass; equal cuts fall together.
 
     Beyond CUT_ROWS rows the shares are those of a sample of about so many, the rows of the
     lowest key hashes, so that cuts do not depend on partitions.
     """
-    numeric = features.spec.numeric
-    if not numeric:
-        return Grid({}, dict(features.categories), dict(features.medians))
-    rows = df.count() if rows is None else rows
-    if rows > CUT_ROWS and key in df.columns:
-        df = df.where(hash32(key, DEAL_SEED) < int(2**32 * CUT_ROWS / rows))
+    if features.spec.numeric and rows is None:
+        rows = df.count()
+    return fit_grids(df, [(features, rows or 0, None)], bins, key)[0]
+
+
+def fit_grids(df: DataFrame, wanted: Sequence[tuple[FittedFeatures, int, Column | None]], bins: int = 32,
+              key: str = S.KEY) -> list[Grid]:
+    """Grids of several sets of rows as `fit_grid` gives each, all in one pass.
+
+    A set is given by its features, its number of rows and the condition that they meet.
+    """
     shares = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    values = {c: F.col(c).cast("double") for c in numeric}
-    row = df.agg(*(F.percentile(F.when(~F.isnan(v), v), shares).alias(c) for c, v in values.items())).first()
-    cuts = {c: sorted(set(row[c] or ())) for c in numeric}
-    return Grid(cuts, dict(features.categories), dict(features.medians))
+    keyed = key in df.columns
+    limits = [int(2**32 * CUT_ROWS / rows) if keyed and rows > CUT_ROWS else 2**32 for _, rows, _ in wanted]
+    columns = list(dict.fromkeys(c for features, _, _ in wanted for c in features.spec.numeric))
+    found = []
+    if columns:
+        dealt = hash32(key, DEAL_SEED) if max(limits) < 2**32 or min(limits) < 2**32 else F.lit(0)
+        if max(limits) < 2**32:
+            df = df.where(dealt < max(limits))
+        for i, (features, _, mine) in enumerate(wanted):
+            inside = (F.lit(True) if mine is None else mine) & (dealt < limits[i])
+            for c in features.spec.numeric:
+                v = F.col(c).cast("double")
+                found.append(F.percentile(F.when(inside & ~F.isnan(v), v), shares).alias(f"_{i}_{c}"))
+    row = df.agg(*found).first() if found else None
+    return [
+        Grid(
+            {c: sorted(set(row[f"_{i}_{c}"] or ())) for c in features.spec.numeric},
+            dict(features.categories),
+            dict(features.medians),
+        )
+        for i, (features, _, _) in enumerate(wanted)
+    ]
 
 
 @dataclass(frozen=True)
@@ -154,6 +195,16 @@ class Blocks:
             return np.array([sse[self.fold == f].sum() / self.n[self.fold == f].sum() for f in folds])
 
 
+@dataclass(frozen=True)
+class Part:
+    """One aggregate of several: its grid, the rows it takes (None: all) and their folds."""
+
+    grid: Grid
+    mine: Column | None = None
+    fold: Column | None = None
+    folds: int = 1
+
+
 def fit_blocks(df: DataFrame, grid: Grid, target: str = S.LATENCY, fold: Column | None = None, folds: int = 1,
                key: str = S.KEY) -> Blocks:
     """One grouped pass with partial sums; what reaches the driver is bounded by cells, folds and blocks.
@@ -161,22 +212,48 @@ def fit_blocks(df: DataFrame, grid: Grid, target: str = S.LATENCY, fold: Column
     Rows without a target are left out. Sums are rounded far below the target's digits, so
     that the order of addition does not choose between equal splits.
     """
-    deal = max(1, min(BLOCKS, MAX_BLOCKS // (grid.cells * folds)))
+    return next(fit_all_blocks(df, [Part(grid, None, fold, folds)], target, key))
+
+
+def fit_all_blocks(df: DataFrame, parts: Sequence[Part], target: str = S.LATENCY, key: str = S.KEY) -> Iterator[Blocks]:
+    """The blocks of each part as `fit_blocks` gives them, from one pass over the rows.
+
+    A row is counted once for each part that takes it. The sums are cached and reach the
+    driver part by part, so it holds no more than one part's blocks at a time.
+    """
     y = F.col(target).cast("double")
-    dealt = hash32(key, DEAL_SEED) % deal if key in df.columns else F.lit(0)
-    usable = grid.placed(df.where(y.isNotNull() & ~F.isnan(y)), "_cell")
-    rows = usable.select(
-        F.col("_cell").alias("cell"),
-        (F.lit(0) if fold is None else fold).cast("int").alias("fold"),
-        F.coalesce(dealt.cast("int"), F.lit(0)).alias("block"),
-        y.alias("y"),
-    ).where("fold IS NOT NULL")
-    sums = rows.groupBy("cell", "fold", "block").agg(
+    dealt = hash32(key, DEAL_SEED) if key in df.columns else F.lit(0)
+    placed = place_all(df.where(y.isNotNull() & ~F.isnan(y)), {f"_cell{i}": part.grid for i, part in enumerate(parts)})
+    # Columns first: a hash that parts share is worked out once a row here, but not inside `inline`.
+    columns = [y.alias("y")]
+    for i, part in enumerate(parts):
+        deal = max(1, min(BLOCKS, MAX_BLOCKS // (part.grid.cells * part.folds)))
+        cell, fold = F.col(f"_cell{i}"), F.lit(0) if part.fold is None else part.fold
+        columns += [
+            (cell if part.mine is None else F.when(part.mine, cell)).alias(f"_cell{i}"),
+            fold.cast("int").alias(f"_fold{i}"),
+            (dealt % deal).cast("int").alias(f"_block{i}"),
+        ]
+    entries = [
+        F.struct(F.lit(i).alias("part"), *(F.col(f"_{c}{i}").alias(c) for c in ("cell", "fold", "block")))
+        for i in range(len(parts))
+    ]
+    rows = placed.select(*columns).select("y", F.inline(F.array(*entries)))
+    rows = rows.where("cell IS NOT NULL AND fold IS NOT NULL")
+    sums = rows.groupBy("part", "cell", "fold", "block").agg(
         F.count("*").alias("n"), F.round(F.sum("y"), 6).alias("s"), F.round(F.sum(F.col("y") * F.col("y")), 6).alias("q")
     )
-    table = sums.toArrow().sort_by([("cell", "ascending"), ("fold", "ascending"), ("block", "ascending")])
-    cell, fold_, n, s, q = (table[c].to_numpy() for c in ("cell", "fold", "n", "s", "q"))
-    return Blocks(grid, cell.astype(np.int64), fold_, n.astype(float), s, q)
+    if len(parts) > 1:
+        sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for i, part in enumerate(parts):
+            table = sums.where(F.col("part") == i).drop("part").toArrow()
+            table = table.sort_by([("cell", "ascending"), ("fold", "ascending"), ("block", "ascending")])
+            cell, fold, n, s, q = (table[c].to_numpy() for c in ("cell", "fold", "n", "s", "q"))
+            yield Blocks(part.grid, cell.astype(np.int64), fold, n.astype(float), s, q)
+    finally:
+        if len(parts) > 1:
+            sums.unpersist()
 
 
 @dataclass(frozen=True)

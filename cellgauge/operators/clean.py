@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from cellgauge.functions import texts
 from cellgauge.operators.quantiles import (
+    GROUP_LIMIT,
     approximate_quantiles,
     interpolated,
     quantile_name,
@@ -69,6 +70,16 @@ def fit_medians(
     return {c: None if v is None else v[0] for c, v in found.items()}
 
 
+def fit_group_medians(
+    df: DataFrame, by: str, columns: Sequence[str], most: int
+) -> dict[str, dict[str, float | None]]:
+    """`fit_medians` of each group of a few; `most` is the number of rows of the largest."""
+    limit = GROUP_LIMIT if most <= GROUP_LIMIT else 0
+    found = quantiles(df, {c: [0.5] for c in columns}, [by], limit, most).collect()
+    names = {c: quantile_name(c) for c in columns}
+    return {r[by]: {c: None if r[q] is None else r[q][0] for c, q in names.items()} for r in found}
+
+
 def fit_mode(df: DataFrame, column: str = S.DEVICE) -> str:
     """Most frequent value, the smallest one on a tie, 'Unknown' when all are null."""
     top = (

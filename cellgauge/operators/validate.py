@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -164,16 +164,21 @@ def check_model_input(
         F.count("*").alias("n"),
         *[F.count_if(is_missing(F.col(c).cast("double"))).alias(c) for c in columns],
     ).first()
-    if row["n"] == 0:
-        raise ValueError("Input is empty")
-    if row["n"] < min_rows:
-        raise ValueError(f"too few rows: {row['n']} of at least {min_rows}")
-    missing = [c for c in columns if row[c] > 0]
-    if missing:
-        raise ValueError(f"Missing values in: {missing}")
+    check_counts(row["n"], {c: row[c] for c in columns}, min_rows)
     return row["n"]
 
 
+def check_counts(rows: int, missing: Mapping[str, int], min_rows: int = 1) -> None:
+    """The errors of `check_model_input` where rows and missing numbers are counted already."""
+    if rows == 0:
+        raise ValueError("Input is empty")
+    if rows < min_rows:
+        raise ValueError(f"too few rows: {rows} of at least {min_rows}")
+    columns = [c for c, n in missing.items() if n > 0]
+    if columns:
+        raise ValueError(f"Missing values in: {columns}")
+
+
 def sample_sufficiency(
     df: DataFrame, group: str = "segment", split: str = "split", least: int = MIN_SEGMENT_ROWS
 ) -> DataFrame:

@@ -226,3 +226,40 @@ def test_rows_read_in_many_passes_are_cached(spark, sf_dir):
     scored = M.cross_predict(train, makers, 2)
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" in plan and "md5" not in plan.split("InMemoryRelation")[0]
+
+
+def test_models_trained_together_are_those_trained_alone(spark, sf_dir, monkeypatch):
+    """The rows are counted once for all models and crosses, and every forest is the same."""
+    rows = partition.location_heuristic(preprocess(network(spark, sf_dir))).cache()
+    settings = M.ForestSettings(trees=3, depth=3)
+
+    def made():
+        return [M.infrastructure_model(settings), M.monolithic_model(settings), M.urban_model(settings), M.rural_model(settings)]
+
+    alone = [m.train(rows) for m in made()]
+    pair = {"a": M.infrastructure_model(settings), "b": M.user_behavior_model(settings)}
+    fits = M.cross_fit(rows, pair, 3)
+    passes, count = [], C.fit_all_blocks
+    monkeypatch.setattr(C, "fit_all_blocks", lambda *a: passes.append(1) or count(*a))
+    monkeypatch.setattr(M, "check_model_input", None)
+    together = made()
+    found = M.train_all(rows, together, [M.Cross(pair, 3)])[0]
+    assert len(passes) == 1
+    for a, b in zip(alone, together, strict=True):
+        assert a.features == b.features and a.forest.grid == b.forest.grid
+        assert (a.forest.table == b.forest.table).all() and (a.forest.importances == b.forest.importances).all()
+    assert all((found.forests[k].table == fits.forests[k].table).all() for k in fits.forests)
+    # What was learned serves another cross; cuts of segments stay their own.
+    again = M.train_all(rows, [], [M.Cross(pair, 3)], together[1].learned)[0]
+    assert all((again.forests[k].table == fits.forests[k].table).all() for k in fits.forests)
+    assert together[2].forest.grid.cuts != together[3].forest.grid.cuts
+
+
+@pytest.mark.parametrize("change", ["few", "missing", "empty"])
+def test_rows_that_no_model_can_use_are_an_error_for_all(spark, sf_dir, change):
+    rows = preprocess(network(spark, sf_dir))
+    models = [M.monolithic_model(), M.geographic_model("Urban", min_rows=10**6 if change == "few" else 1)]
+    if change == "missing":
+        rows = rows.withColumn(S.LATENCY, F.when(F.col(S.USERS) > 0, F.col(S.LATENCY)).cast("double") * F.lit(None))
+    with pytest.raises(ValueError, match={"few": "too few rows", "missing": "Missing values", "empty": "empty"}[change]):
+        M.train_all(rows if change != "empty" else rows.limit(0), models)
