@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgauge.operators.evaluate import model_metrics
 from cellgauge.operators.models import (
+    Cross,
+    CrossFits,
+    ForestModel,
     ForestSettings,
     cross_predict,
     cross_validate,
     infrastructure_model,
     score_vertical,
+    train_all,
     user_behavior_model,
 )
 from cellgauge.sources import schema as S
@@ -123,28 +127,28 @@ class FusionModel:
     def is_trained(self) -> bool:
         return self.weights is not None
 
-    def train(self, df: DataFrame) -> FusionModel:
-        """Train what is not trained yet, then the fusion."""
+    def train(self, df: DataFrame, beside: Sequence[ForestModel] = ()) -> FusionModel:
+        """Train what is not trained yet, then the fusion; models `beside` it share the passes."""
         S.require_columns(df, [*S.INFRASTRUCTURE_FEATURES, *S.USER_FEATURES, self.target])
-        for model in (self.infrastructure, self.user):
-            if not model.is_trained:
-                model.train(df)
+        models = [m for m in (self.infrastructure, self.user, *beside) if not m.is_trained]
         if self.strategy == WEIGHTED:
-            self._train_weights(df)
+            made = {name: make() for name, make in self._makers("a", "b").items()}
+            fits = train_all(df, models, [Cross(made, CV_FOLDS)])[0]
+            self._train_weights(df, fits)
         else:
+            train_all(df, models)
             self._train_meta(df)
         return self
 
+    def _makers(self, a: str, b: str) -> dict[str, Callable[[], ForestModel]]:
+        return {a: lambda: infrastructure_model(self.settings), b: lambda: user_behavior_model(self.settings)}
+
     def _out_of_fold(self, df: DataFrame) -> DataFrame:
-        makers = {
-            "_a": lambda: infrastructure_model(self.settings),
-            "_b": lambda: user_behavior_model(self.settings),
-        }
-        return cross_predict(df, makers, CV_FOLDS)
+        return cross_predict(df, self._makers("_a", "_b"), CV_FOLDS)
 
-    def _train_weights(self, df: DataFrame) -> None:
-        makers = {"a": lambda: infrastructure_model(self.settings), "b": lambda: user_behavior_model(self.settings)}
-        row = fusion_weights(cross_validate(df, makers, CV_FOLDS, target=self.target), "a", "b").first()
+    def _train_weights(self, df: DataFrame, fits: CrossFits | None) -> None:
+        scores = cross_validate(df, self._makers("a", "b"), CV_FOLDS, target=self.target, fits=fits)
+        row = fusion_weights(scores, "a", "b").first()
         self.weights = (row["weight_a"], row["weight_b"])
 
     def _train_meta(self, df: DataFrame) -> None:
