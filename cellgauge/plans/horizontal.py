@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellgauge.functions import texts
 from cellgauge.operators import report
 from cellgauge.operators.evaluate import model_metrics
-from cellgauge.operators.models import monolithic_model, score_horizontal, train_segments
+from cellgauge.operators.models import monolithic_model, score_horizontal, segment_models, train_all
 from cellgauge.operators.partition import (
     SEGMENT,
     SPLIT,
@@ -50,8 +50,8 @@ def run_horizontal(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
         log.warning("segments and split do not add up: see table split_check")
 
     train = rows.filter(F.col(SPLIT) == TRAIN)
-    segments = train_segments(train, config.forest)
-    overall = monolithic_model(config.forest).train(train)
+    segments, overall = segment_models(train, config.forest), monolithic_model(config.forest)
+    train_all(train, [*segments.values(), overall])
 
     special = [m.name for m in segments.values()]
     predictions = keep(
