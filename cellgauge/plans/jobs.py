@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellgauge.operators.clean import apply_cleaning, fit_cleaning
 from cellgauge.operators.fusion import WEIGHTED
-from cellgauge.operators.models import ForestSettings
+from cellgauge.operators.models import ForestSettings, Learned
 from cellgauge.operators.partition import SPLIT, TEST, TRAIN
 from cellgauge.operators.validate import (
     MIN_PROCESSED_ROWS,
@@ -43,7 +43,7 @@ class JobConfig:
 
 @dataclass
 class JobResult:
-    """Named result tables, and the rows that models were trained on and scored.
+    """Named result tables, the rows that models were trained on and scored, what was learned of them.
 
     `close` frees the cached rows they read.
     """
@@ -52,6 +52,7 @@ class JobResult:
     models: Mapping[str, object]
     cached: list[DataFrame] = field(default_factory=list)
     rows: DataFrame | None = None
+    learned: Learned | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]

@@ -45,8 +45,8 @@ def run_vertical(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
         raise ValueError("the column groups do not hold the same keys")
 
     train = rows.filter(F.col(SPLIT) == TRAIN)
-    fusion = FusionModel(config.strategy, config.forest).train(train)
-    baseline = monolithic_model(config.forest).train(train)
+    baseline = monolithic_model(config.forest)
+    fusion = FusionModel(config.strategy, config.forest).train(train, beside=[baseline])
 
     predictions = keep(score_all(rows, fusion, baseline))
     models = {name: name for name in MODEL_TYPES}
@@ -76,7 +76,7 @@ def run_vertical(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
         },
     )
     trained = {INFRA: fusion.infrastructure, USER: fusion.user, FUSION: fusion, MONO: baseline}
-    return JobResult(tables, trained, [predictions, rows], rows)
+    return JobResult(tables, trained, [predictions, rows], rows, baseline.learned)
 
 
 def score_all(rows: DataFrame, fusion: FusionModel, baseline) -> DataFrame:
