@@ -64,6 +64,24 @@ def lean_memory() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
+@contextlib.contextmanager
+def kept_memory() -> Iterator[None]:
+    """Use freed memory again within a long step, which new pages for each array would slow; give it back at its end."""
+    libc, put = None, lambda *_: None
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        put = libc.mallopt
+    put(-3, 32 << 20)  # M_MMAP_THRESHOLD, at its largest
+    put(-1, 1 << 30)  # M_TRIM_THRESHOLD
+    try:
+        yield
+    finally:
+        put(-3, 1 << 20)
+        put(-1, 128 << 10)
+        with contextlib.suppress(AttributeError):
+            libc.malloc_trim(0)
+
+
 def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 

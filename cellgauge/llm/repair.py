@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -30,6 +30,8 @@ from cellgauge.llm.text import one_array, pretokens
 #: The least uses of a new rule.
 LEAST = 2
 SHARD_BYTES = 8 << 20
+#: Ids of a symbol that is expanded once for all its places.
+SHORT = 16
 
 FILE_SCHEMA = (
     "shard long, ids array<long>, lengths array<int>, starts array<int>, first_rule int, "
@@ -106,159 +108,211 @@ def compress(
     Ends when no pair of neighbours can be replaced `least` times. The first round takes
     all pairs of at least half the uses of the most frequent one, each other one those of
     half as many again, and at last of `least`. Where chosen pairs overlap the more frequent one is replaced, of equals the one of the lower hash,
-    until none is left. All pairs are counted once; after a round only those around its
-    replacements are, since every new pair holds a new symbol.
+    until none is left. All pairs are counted once. Uses of a pair never grow, so its places
+    wait for the round that takes as few; those of new pairs, which all hold a new symbol,
+    are counted in the next round. A round reads and sorts its own places only.
     """
     n = len(ids)
-    symbols = np.append(ids, 0).astype(np.int64)
+    symbols = np.append(ids, 0).astype(np.int32)
     first = base = int(ids.max(initial=-1)) + 1
-    last = np.zeros(n, dtype=bool)
-    last[starts[1:][np.diff(starts) > 0] - 1] = True
+    filled = np.diff(starts) > 0
     # Neighbours of each place; n stands for none.
-    after = np.append(np.where(last, n, np.arange(1, n + 1)), n).astype(np.int32)
-    before = np.full(n + 1, n, dtype=np.int32)
-    before[after[:n]] = np.arange(n)
-    pair = np.full(n + 1, -1, dtype=np.int32)
-    at = np.flatnonzero(~last)
-    pair[at], keys = pd.factorize(symbols[at] << 32 | symbols[at + 1])
-    uses = np.bincount(pair[at], minlength=len(keys))
-    rank_at = np.full(n + 1, n, dtype=np.int32)
+    after = np.arange(1, n + 2, dtype=np.int32)
+    before = np.arange(-1, n, dtype=np.int32)
+    after[starts[1:][filled] - 1] = before[starts[:-1][filled]] = after[n] = before[n] = n
     lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    level = 2 * least + int(uses.max(initial=0))
-    open_at = pair >= 0  # places whose pair may yet be replaced; the uses of a pair never grow
+    places, sizes = _by_pair(np.flatnonzero(after < n), symbols, after)
+    levels = [2 * least + int(sizes.max(initial=0))]
+    while levels[-1] > least:
+        levels.append(max(levels[-1] // 2, least))
+    levels = np.array(levels[1:])
+    # The round that a place waits for, the last one being repeated; `never` is none.
+    never = len(levels)
+    turns = np.searchsorted(-levels, -np.arange(levels[0] + 1)).astype(np.int8)
+    turn = np.full(n + 1, never, dtype=np.int8)
+    turn[places] = np.repeat(turns.take(sizes, mode="clip"), sizes)
+    now, places = 0, np.flatnonzero(turn == 0)
     while True:
-        done, level = level == least, max(level // 2, least)
-        places = np.flatnonzero(open_at)
-        keep = uses[pair[places]] >= least
-        open_at[places[~keep]] = False
-        places, rank, chosen = _chosen(places[keep], pair, keys, uses, after, level)
+        level, then = levels[now], min(now + 1, never - 1)
+        places, sizes = _by_pair(places, symbols, after)
+        chosen, pairs, uses, spare = _chosen(places, sizes, symbols, after, level)
+        if level > least:
+            wait = (uses < level) & (uses >= least)
+            turn[places[np.repeat(wait, sizes)]] = np.repeat(turns[uses[wait]], sizes[wait])
         if not len(chosen):
-            if done:
+            if now == then:
                 break
+            now, places = then, np.flatnonzero(turn == then)
             continue
-        taken = _matched(places, rank, rank_at, before, after)
-        won = rank[np.searchsorted(places, taken)]
+        ranks = np.full(len(sizes), -1, dtype=np.int64)
+        ranks[chosen] = np.arange(len(chosen))
+        hot = np.repeat(ranks >= 0, sizes)
+        spared = places[hot & spare]
+        rank = np.repeat(ranks[ranks >= 0], sizes[ranks >= 0])[~spare[hot]]
+        # Places in ascending order with the ranks of their pairs.
+        places = places[hot & ~spare] << 32 | rank
+        places.sort()
+        rank, places = places & 0xFFFFFFFF, places >> 32
+        turn[places] = turn[spared] = then
+        won = _matched(places, rank, after)
+        where, won = places[won], rank[won]
         made = np.flatnonzero(np.bincount(won, minlength=len(chosen)) >= least)
         number = np.full(len(chosen), -1, dtype=np.int64)
         number[made] = base + np.arange(len(made))
-        where = taken[number[won] >= 0]
-        lefts.append(keys[chosen[made]] >> 32)
-        rights.append(keys[chosen[made]] & 0xFFFFFFFF)
-        new = number[won[number[won] >= 0]]
-        # Pairs that go: the replaced one and those with the neighbours.
+        new = number[won]
+        where, new = where[new >= 0], new[new >= 0]
+        lefts.append(pairs[made] >> 32)
+        rights.append(pairs[made] & 0xFFFFFFFF)
         right = after[where]
-        np.subtract.at(uses, pair[where], 1)
-        follow = right[pair[right] >= 0]
-        np.subtract.at(uses, pair[follow], 1)
-        pair[where] = pair[right] = -1
-        open_at[where] = open_at[right] = False
-        lead = before[where]
-        lead = lead[pair[lead] >= 0]
-        np.subtract.at(uses, pair[lead], 1)
         symbols[where] = new
         symbols[right] = -1
-        after[where] = after[right]
-        before[after[where]] = where
+        after[where] = follow = after[right]
+        before[follow] = where
         # Pairs that come: of the new symbols with what follows, and with what is before.
         back = before[where]
-        back = back[(back < n) & (symbols[back] < base)]
-        fresh = np.concatenate([where[after[where] < n], back])
-        code, found = pd.factorize(symbols[fresh] << 32 | symbols[after[fresh]])
-        pair[fresh] = len(keys) + code
-        open_at[fresh] = True
-        keys = np.concatenate([keys, found])
-        uses = np.concatenate([uses, np.bincount(code, minlength=len(found))])
-        base += len(made)
+        turn[right] = never
+        turn[where] = np.where(follow < n, then, never)
+        turn[back] = then
+        turn[n] = never
+        if now < then:
+            places = np.flatnonzero(turn == then)
+        else:
+            places = np.sort(np.concatenate([places, spared, where, back]))
+            places = places[(turn[places] == then) & (np.diff(places, prepend=-1) > 0)]
+        now, base = then, base + len(made)
     live = np.flatnonzero(symbols[:n] >= 0)
     begins = np.zeros(len(starts), dtype=np.int64)
-    begins[1:][np.diff(starts) > 0] = np.flatnonzero(after[live] == n) + 1
+    begins[1:][filled] = np.flatnonzero(after[live] == n) + 1
     return symbols[live], np.maximum.accumulate(begins), np.concatenate(lefts), np.concatenate(rights), first
 
 
-def _chosen(
-    places: np.ndarray, pair: np.ndarray, keys: np.ndarray, uses: np.ndarray, after: np.ndarray, level: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of some places those of pairs that can be replaced `level` times, their ranks, the pairs by rank.
-
-    Of a run of one symbol every second place counts.
-    """
-    hot = uses >= level
-    places = places[hot[pair[places]]]
-    code = pair[places]
-    same = (keys >> 32 == keys & 0xFFFFFFFF)[code]
-    if same.any():
-        runs = places[same]
-        joins = (after[runs[:-1]] == runs[1:]) & (pair[runs[:-1]] == pair[runs[1:]])
-        opens = np.flatnonzero(np.append(True, ~joins))
-        offset = np.arange(len(runs)) - np.repeat(opens, np.diff(np.append(opens, len(runs))))
-        keep = np.ones(len(places), dtype=bool)
-        keep[np.flatnonzero(same)[offset % 2 == 1]] = False
-        places, code = places[keep], code[keep]
-        count = np.bincount(code, minlength=len(uses))
-        keep = count[code] >= level
-        places, code = places[keep], code[keep]
-        chosen = np.flatnonzero(count >= level)
-        count = count[chosen]
-    else:
-        chosen = np.flatnonzero(hot)
-        count = uses[chosen]
-    mixed = (keys[chosen].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    chosen = chosen[np.argsort(mixed.astype(np.int64) - (count << 31), kind="stable")]
-    ranks = np.empty(len(uses), dtype=np.int32)
-    ranks[chosen] = np.arange(len(chosen))
-    return places, ranks[code], chosen
+def _by_pair(places: np.ndarray, symbols: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places sorted by their pair, ascending within each, and how many each pair has."""
+    key, right = symbols[places].astype(np.int64), symbols[after[places]]
+    bits = int(max(key.max(initial=0), right.max(initial=0))).bit_length()
+    wide = (len(symbols) - 1).bit_length()
+    key <<= bits
+    key |= right
+    if 2 * bits + wide > 63:
+        key = pd.factorize(key)[0]
+    key <<= wide
+    key |= places
+    key.sort()
+    places = key & ((1 << wide) - 1)
+    key >>= wide
+    opens = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return places, np.diff(opens, append=len(key))
 
 
-def _matched(
-    places: np.ndarray, rank: np.ndarray, rank_at: np.ndarray, before: np.ndarray, after: np.ndarray
-) -> np.ndarray:
-    """Places of which no two overlap, lowest ranks first, such that every other one overlaps one.
+def _chosen(
+    places: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, after: np.ndarray, level: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of places by pair the pairs that can be replaced `level` times, by rank, as numbers and as symbols.
 
-    `rank_at` is a scratch array that holds more than any rank, and does so again.
+    Also how often each pair can be replaced, where it may be as often as that, and which
+    places do not count: of a run of one symbol every second one.
     """
-    none = len(rank_at) - 1
-    out = []
-    rank_at[places] = rank
-    while len(places):
-        rank = rank_at[places]
-        wins = (rank < rank_at[before[places]]) & (rank < rank_at[after[places]])
-        taken = places[wins]
-        out.append(taken)
-        for ends in (taken, before[taken], after[taken]):
-            rank_at[ends] = none
-        places = places[~wins]
-        places = places[rank_at[places] < none]
-    return np.sort(np.concatenate(out))
+    opens = np.cumsum(sizes) - sizes
+    chosen = np.flatnonzero(sizes >= level)
+    head = places[opens[chosen]]
+    pairs = symbols[head].astype(np.int64) << 32 | symbols[after[head]]
+    uses, spare = sizes, np.zeros(len(places), dtype=bool)
+    same = chosen[pairs >> 32 == pairs & 0xFFFFFFFF]
+    if len(same):
+        at = np.repeat(opens[same] - np.cumsum(sizes[same]) + sizes[same], sizes[same])
+        at += np.arange(len(at))
+        runs = places[at]
+        begins = np.flatnonzero(np.append(True, after[runs[:-1]] != runs[1:]))
+        offset = np.arange(len(runs)) - np.repeat(begins, np.diff(begins, append=len(runs)))
+        spare[at[offset % 2 == 1]] = True
+        uses = sizes.copy()
+        uses[same] -= np.add.reduceat(offset % 2, np.cumsum(sizes[same]) - sizes[same])
+        keep = uses[chosen] >= level
+        chosen, pairs = chosen[keep], pairs[keep]
+    mixed = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    order = np.argsort(mixed.astype(np.int64) - (uses[chosen] << 31), kind="stable")
+    return chosen[order], pairs[order], uses, spare
+
+
+def _matched(places: np.ndarray, rank: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Marks places of which no two overlap, lowest ranks first, such that every other one overlaps one."""
+    out = np.zeros(len(places), dtype=bool)
+    at, follow = np.arange(len(places)), after[places]
+    while len(at):
+        meets = follow[:-1] == places[1:]
+        less = rank[:-1] < rank[1:]
+        wins = np.ones(len(at), dtype=bool)
+        wins[:-1] &= ~meets | less
+        wins[1:] &= ~(meets & less)
+        out[at[wins]] = True
+        stay = ~wins
+        stay[:-1] &= ~(wins[1:] & meets)
+        stay[1:] &= ~(wins[:-1] & meets)
+        at, places, rank, follow = at[stay], places[stay], rank[stay], follow[stay]
+    return out
+
+
+def symbol_lengths(lefts: np.ndarray, rights: np.ndarray, first: int) -> np.ndarray:
+    """Ids that each symbol stands for; a rule uses ids and earlier rules only."""
+    out = np.ones(first + len(lefts), dtype=np.int64)
+    latest = np.maximum.accumulate(np.maximum(lefts, rights))
+    at = first
+    while at < len(out):
+        # Rules up to the first that uses one of them.
+        end = first + int(np.searchsorted(latest, at))
+        out[at:end] = out[lefts[at - first : end - first]] + out[rights[at - first : end - first]]
+        at = end
+    return out
 
 
 def expansion_lengths(lefts: np.ndarray, rights: np.ndarray, first: int) -> np.ndarray:
-    """Ids that each rule stands for; a rule uses ids and earlier rules only."""
-    out: list[int] = []
-    for a, b in zip(lefts.tolist(), rights.tolist(), strict=True):
-        out.append((out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1))
-    return np.array(out, dtype=np.int64)
+    """Ids that each rule stands for."""
+    return symbol_lengths(lefts, rights, first)[first:]
 
 
 def expanded(
     symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, expands: np.ndarray, first: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all symbols end to end, and where each symbol's begin; no other rule is expanded."""
+    """The ids of all symbols end to end, and where each symbol's begin; no other rule is expanded.
 
-    def sizes(x: np.ndarray) -> np.ndarray:
-        out = np.ones(len(x), dtype=np.int64)
-        out[x >= first] = expands[x[x >= first] - first]
-        return out
-
-    begins = np.append(0, np.cumsum(sizes(symbols)))
-    ids = np.empty(begins[-1], dtype=np.int32)
-    at = begins[:-1]
+    Symbols of up to `SHORT` ids are expanded once, and their ids copied to all their places.
+    """
+    sizes = np.append(np.ones(first, dtype=np.int64), expands)
+    begins = np.append(0, np.cumsum(sizes[symbols]))
+    symbols, at = symbols.astype(np.int64), begins[:-1]
+    long = sizes[symbols] > SHORT
+    if long.any():
+        parts = []
+        while len(symbols):
+            parts.append(at[~long] << 32 | symbols[~long])
+            rule, at = symbols[long] - first, at[long]
+            left, right = lefts[rule], rights[rule]
+            symbols, at = np.concatenate([left, right]), np.concatenate([at, at + sizes[left]])
+            long = sizes[symbols] > SHORT
+        symbols = np.sort(np.concatenate(parts)) & 0xFFFFFFFF
+    kinds = np.flatnonzero(np.bincount(symbols, minlength=len(sizes)))
+    held, opens = _short_ids(kinds, lefts, rights, sizes, first)
+    took = sizes[symbols]
+    sizes[kinds] = opens
+    source = np.repeat(sizes[symbols] - np.cumsum(took) + took, took)
+    source += np.arange(len(source))
+    return held[source], begins
+
+
+def _short_ids(
+    symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, sizes: np.ndarray, first: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of symbols end to end, and where each one's begin."""
+    opens = np.cumsum(sizes[symbols]) - sizes[symbols]
+    ids = np.empty(int(sizes[symbols].sum()), dtype=np.int32)
+    at = opens
     while len(symbols):
         done = symbols < first
         ids[at[done]] = symbols[done]
         rule, at = symbols[~done] - first, at[~done]
         left, right = lefts[rule], rights[rule]
-        symbols, at = np.concatenate([left, right]), np.concatenate([at, at + sizes(left)])
-    return ids, begins
+        symbols, at = np.concatenate([left, right]), np.concatenate([at, at + sizes[left]])
+    return ids, opens
 
 
 def expansions(lefts: np.ndarray, rights: np.ndarray, first: int) -> pa.Array:
@@ -285,13 +339,12 @@ def token_at(symbols, lefts, rights, expands, first: int, position: int) -> int:
     return int(symbol)
 
 
+@X.kept_memory()
 def _file_row(left: pa.Table, right: pa.Table, end_id: int) -> pa.Table:
     ids, tokens, at = encoded_chunk(left, right)
     n = len(ids)
-    closed = np.full(len(tokens) + n, end_id, dtype=np.int64)
-    closed[np.arange(len(tokens)) + np.repeat(np.arange(n), np.diff(at))] = tokens
     starts = at + np.arange(n + 1)
-    symbols, begins, lefts, rights, first = compress(closed, starts)
+    symbols, begins, lefts, rights, first = compress(np.insert(tokens, at[1:], end_id), starts)
     whole = lambda a, t=pa.int32(): X.list_array(np.array([0, len(a)]), pa.array(a, t))
     return pa.table(
         {
@@ -336,10 +389,19 @@ def write_files(
     return written(files, "grammars", path)
 
 
-def read_documents(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+DOCUMENT_SCHEMA = "shard long, row int, doc_id long, ids array<int>"
+
+
+def read_documents(
+    files: DataFrame,
+    wanted: DataFrame | None = None,
+    work: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda documents: documents,
+    schema: str = DOCUMENT_SCHEMA,
+) -> DataFrame:
     """(shard, row, doc_id, ids) of all documents, or of those whose id is in `wanted` (doc_id).
 
-    Documents are decoded from their own symbols and the rules that these use.
+    Documents are decoded from their own symbols and the rules that these use. `work` makes
+    rows of `schema` of the documents of a shard in the task that decodes them.
     """
     if wanted is not None:
         keys = wanted.select(F.col("doc_id").alias("_id")).distinct()
@@ -350,11 +412,14 @@ def read_documents(files: DataFrame, wanted: DataFrame | None = None) -> DataFra
         files = files.withColumn("rows", F.lit(None).cast("array<int>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        X.lean_memory()
         for batch in batches:
             for i in range(len(batch)):
-                yield _decoded(batch.slice(i, 1))
+                with X.kept_memory():
+                    out = work(_decoded(batch.slice(i, 1)))
+                yield out
 
-    return files.mapInArrow(run, "shard long, row int, doc_id long, ids array<int>")
+    return files.mapInArrow(run, schema)
 
 
 def _decoded(row: pa.RecordBatch) -> pa.RecordBatch:
@@ -391,26 +456,23 @@ def document_starts(files: DataFrame) -> DataFrame:
     )
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = one_array(batch["ids"])
-        flat = lists.flatten().to_numpy().astype("<u4")
-        sizes = pc.list_value_length(lists).to_numpy()
-        at = np.append(0, np.cumsum(sizes))
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays(
-            [batch["shard"], batch["row"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
-            ["shard", "row", "doc_id", "n_tokens", "ids_crc32"],
-        )
+def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    lists = one_array(batch["ids"])
+    flat = lists.flatten().to_numpy().astype("<u4", copy=False)
+    sizes = pc.list_value_length(lists).to_numpy()
+    at = np.append(0, np.cumsum(sizes))
+    crc = [zlib.crc32(flat[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    return pa.RecordBatch.from_arrays(
+        [batch["shard"], batch["row"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
+        ["shard", "row", "doc_id", "n_tokens", "ids_crc32"],
+    )
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document, read back from the files: start, n_tokens, ids_crc32."""
     files = write_files(docs, tokenizer)
-    read = read_documents(files).mapInArrow(
-        _digests, "shard long, row int, doc_id long, n_tokens long, ids_crc32 long"
-    )
-    read = written(read, "read")
+    schema = "shard long, row int, doc_id long, n_tokens long, ids_crc32 long"
+    read = written(read_documents(files, work=_digests, schema=schema), "read")
     before = written(document_starts(files), "starts")
     inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("row")) - F.col("n_tokens")
     placed = read.withColumn("inside", inside).join(before, "shard")
