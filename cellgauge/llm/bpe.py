@@ -56,11 +56,12 @@ def gather(lists: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = lists.flatten().to_numpy()
     sizes = pc.list_value_length(lists).to_numpy()
     starts = np.cumsum(sizes) - sizes
-    took = sizes[codes]
+    codes = codes.astype(np.int64, copy=False)
+    took = sizes.take(codes)
     at = np.append(0, np.cumsum(took, dtype=np.int64))
-    where = np.repeat(starts[codes] - at[:-1], took)
+    where = np.repeat(starts.take(codes, mode="clip") - at[:-1], took)
     where += np.arange(at[-1])
-    return flat[where], at
+    return flat.take(where, mode="clip") if len(where) else flat[:0], at
 
 
 def encoded_chunk(left: pa.Table, right: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:

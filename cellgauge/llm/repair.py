@@ -13,7 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cellgauge.llm import exchange as X
 from cellgauge.llm.bpe import Encoder, encoded_chunk, gather  # noqa: F401
 from cellgauge.llm.store import bucketed, shuffle_partitions, written
-from cellgauge.llm.text import one_array, pretokens
+from cellgauge.llm.text import buffers, one_array, pretokens
 
 #: The least uses of a new rule.
 LEAST = 2
@@ -50,6 +50,7 @@ def added_tokens(path: str) -> list[str]:
     return [t.content for t in tokens if t.content]
 
 
+@X.kept_memory()
 def split_at(tokens: list[str], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pre-tokens as `pretokens` gives them, but each of `tokens` in a text is one of its own.
 
@@ -78,22 +79,63 @@ def split_at(tokens: list[str], data: np.ndarray, offsets: np.ndarray) -> tuple[
     return data, at[keep], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def json_encoder(path: str):
-    """Encoder of single pre-tokens and added tokens by a tokenizer file; made once per task."""
+@cache
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)) - set(shown))
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
-    def make() -> Encoder:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+@cache
+def word_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of pre-tokens and added tokens by a tokenizer file; read once per Python worker.
+
+    Where the file does nothing but write bytes as letters before its model, the model is
+    asked for the pre-tokens, which spares the library's records of their texts.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    before, model = tokenizer.pre_tokenizer, tokenizer.model
+    if (
+        tokenizer.normalizer is None
+        and isinstance(before, pre_tokenizers.ByteLevel)
+        and not before.add_prefix_space
+        and isinstance(model, models.BPE)
+    ):
+        own = {t.content: [i] for i, t in tokenizer.get_added_tokens_decoder().items()}
+        letters, tokenize = byte_letters(), model.tokenize
+
+        def ids(word: str) -> list[int]:
+            if word in own:
+                return own[word]
+            return [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
+
+        return lambda words: list(map(ids, words))
+    return lambda words: [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
 
+def word_numbers(words: pa.Array) -> pa.Array:
+    """A number of each word by its bytes alone, as what its bucket goes by."""
+    data, at = buffers(words)
+    place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+    powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[place]))
+    return pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
+
+
+def json_encoder(path: str) -> Callable[[], Encoder]:
+    """Encoder of single pre-tokens and added tokens by a tokenizer file."""
+
+    def make() -> Encoder:
         def encode(words: pa.Array) -> pa.Array:
-            ids: list[list[int]] = []
-            texts = words.to_pylist()
-            for at in range(0, len(texts), 8192):
-                done = tokenizer.encode_batch_fast(texts[at : at + 8192], add_special_tokens=False)
-                ids.extend(x.ids for x in done)
-            return pa.array(ids, pa.list_(pa.int32()))
+            parts = [pa.array([], pa.list_(pa.int32()))]
+            for at in range(0, len(words), 8192):
+                ids = word_encoder(path)(words.slice(at, 8192).to_pylist())
+                parts.append(pa.array(ids, pa.list_(pa.int32())))
+            return pa.concat_arrays(parts)
 
         return encode
 
@@ -121,7 +163,7 @@ def compress(
     before = np.arange(-1, n, dtype=np.int32)
     after[starts[1:][filled] - 1] = before[starts[:-1][filled]] = after[n] = before[n] = n
     lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    places, sizes = _by_pair(np.flatnonzero(after < n), symbols, after)
+    places, sizes = _by_pair(np.flatnonzero(after < n), symbols, after, base)
     levels = [2 * least + int(sizes.max(initial=0))]
     while levels[-1] > least:
         levels.append(max(levels[-1] // 2, least))
@@ -134,7 +176,7 @@ def compress(
     now, places = 0, np.flatnonzero(turn == 0)
     while True:
         level, then = levels[now], min(now + 1, never - 1)
-        places, sizes = _by_pair(places, symbols, after)
+        places, sizes = _by_pair(places, symbols, after, base)
         chosen, pairs, uses, spare = _chosen(places, sizes, symbols, after, level)
         if level > least:
             wait = (uses < level) & (uses >= least)
@@ -144,13 +186,14 @@ def compress(
                 break
             now, places = then, np.flatnonzero(turn == then)
             continue
-        ranks = np.full(len(sizes), -1, dtype=np.int64)
+        ranks = np.full(len(sizes), -1, dtype=np.int32)
         ranks[chosen] = np.arange(len(chosen))
-        hot = np.repeat(ranks >= 0, sizes)
+        rank = np.repeat(ranks, sizes)
+        hot = rank >= 0
         spared = places[hot & spare]
-        rank = np.repeat(ranks[ranks >= 0], sizes[ranks >= 0])[~spare[hot]]
+        hot &= ~spare
         # Places in ascending order with the ranks of their pairs.
-        places = places[hot & ~spare] << 32 | rank
+        places = places[hot] << 32 | rank[hot]
         places.sort()
         rank, places = places & 0xFFFFFFFF, places >> 32
         turn[places] = turn[spared] = then
@@ -163,13 +206,13 @@ def compress(
         where, new = where[new >= 0], new[new >= 0]
         lefts.append(pairs[made] >> 32)
         rights.append(pairs[made] & 0xFFFFFFFF)
-        right = after[where]
+        right = _at(after, where)
         symbols[where] = new
         symbols[right] = -1
-        after[where] = follow = after[right]
+        after[where] = follow = _at(after, right)
         before[follow] = where
         # Pairs that come: of the new symbols with what follows, and with what is before.
-        back = before[where]
+        back = _at(before, where)
         turn[right] = never
         turn[where] = np.where(follow < n, then, never)
         turn[back] = then
@@ -186,13 +229,19 @@ def compress(
     return symbols[live], np.maximum.accumulate(begins), np.concatenate(lefts), np.concatenate(rights), first
 
 
-def _by_pair(places: np.ndarray, symbols: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places sorted by their pair, ascending within each, and how many each pair has."""
-    key, right = symbols[places].astype(np.int64), symbols[after[places]]
-    bits = int(max(key.max(initial=0), right.max(initial=0))).bit_length()
-    wide = (len(symbols) - 1).bit_length()
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """`values[places]`, faster; all places must exist."""
+    return values.take(places, mode="clip")
+
+
+def _by_pair(
+    places: np.ndarray, symbols: np.ndarray, after: np.ndarray, top: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places sorted by their pair, ascending within each, and how many each pair has; symbols reach to `top`."""
+    bits, wide = top.bit_length(), (len(symbols) - 1).bit_length()
+    key = _at(symbols, places).astype(np.int64)
     key <<= bits
-    key |= right
+    key |= _at(symbols, _at(after, places))
     if 2 * bits + wide > 63:
         key = pd.factorize(key)[0]
     key <<= wide
@@ -237,7 +286,7 @@ def _chosen(
 def _matched(places: np.ndarray, rank: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Marks places of which no two overlap, lowest ranks first, such that every other one overlaps one."""
     out = np.zeros(len(places), dtype=bool)
-    at, follow = np.arange(len(places)), after[places]
+    at, follow = np.arange(len(places)), _at(after, places)
     while len(at):
         meets = follow[:-1] == places[1:]
         less = rank[:-1] < rank[1:]
@@ -278,8 +327,9 @@ def expanded(
     Symbols of up to `SHORT` ids are expanded once, and their ids copied to all their places.
     """
     sizes = np.append(np.ones(first, dtype=np.int64), expands)
+    symbols = symbols.astype(np.int64)
     begins = np.append(0, np.cumsum(sizes[symbols]))
-    symbols, at = symbols.astype(np.int64), begins[:-1]
+    at = begins[:-1]
     long = sizes[symbols] > SHORT
     if long.any():
         parts = []
@@ -296,7 +346,7 @@ def expanded(
     sizes[kinds] = opens
     source = np.repeat(sizes[symbols] - np.cumsum(took) + took, took)
     source += np.arange(len(source))
-    return held[source], begins
+    return _at(held, source), begins
 
 
 def _short_ids(
@@ -383,7 +433,8 @@ def write_files(
     chunks = bucketed(X.word_chunks(ordered, split, SHARD_BYTES), "shard-words", "chunk")
     tasks = X.bucket_count(spark, X.total_keys(chunks))
     make = json_encoder(tokenizer)
-    words = X.resolve(X.explode_keys(chunks, tasks), lambda keys, _uses: make()(keys), tasks)
+    packed = X.explode_keys(chunks, tasks, hashed=word_numbers)
+    words = X.resolve(packed, lambda keys, _uses: make()(keys), tasks)
     texts = chunks.select("chunk", "ids", "counts", "codes")
     files = X.reassemble(texts, words, lambda a, b: _file_row(a, b, end_id), FILE_SCHEMA)
     return written(files, "grammars", path)
@@ -430,8 +481,9 @@ def _decoded(row: pa.RecordBatch) -> pa.RecordBatch:
     rows = np.arange(len(flat["ids"])) if picked is None else np.array(sorted(picked), dtype=np.int64)
     sizes = np.diff(starts)[rows]
     at = np.append(0, np.cumsum(sizes))
-    where = np.repeat(starts[:-1][rows] - at[:-1], sizes) + np.arange(at[-1])
-    ids, ends = expanded(symbols[where], *rules, row["first_rule"][0].as_py())
+    if picked is not None:
+        symbols = symbols[np.repeat(starts[:-1][rows] - at[:-1], sizes) + np.arange(at[-1])]
+    ids, ends = expanded(symbols, *rules, row["first_rule"][0].as_py())
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(rows), row["shard"][0].as_py()), pa.int64()),

@@ -139,9 +139,9 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(data):
         return data, np.zeros(1, np.int64), np.zeros(texts, np.int64)
     lead = np.flatnonzero((data & 0xC0) != 0x80)
-    first = data[lead]
+    first = data.take(lead, mode="clip")
     classes = char_classes()
-    kind = classes[first]
+    kind = np.frombuffer(first.tobytes().translate(classes[:256].tobytes()), np.uint8).copy()
     wide, code = _code_points(data, lead, first)
     kind[wide] = classes[code]
     n = len(lead)

@@ -131,6 +131,42 @@ def test_grammar_leaves_no_repeated_pair():
     assert (part == ids[: starts[2]]).all() and ends[begins[1]] == starts[1]
 
 
+def test_grammar_rounds_read_their_own_places(monkeypatch):
+    chance = np.random.default_rng(3)
+    ids = chance.zipf(1.3, 40_000) % 3000
+    ids = np.concatenate([ids, ids[::-1], ids[:5000]])
+    read, by_pair = [], repair._by_pair
+
+    def counted(places, *rest):
+        read.append(len(places))
+        return by_pair(places, *rest)
+
+    monkeypatch.setattr(repair, "_by_pair", counted)
+    symbols, begins, lefts, rights, first = repair.compress(ids, np.array([0, len(ids)]))
+    got, _ = repair.gather(repair.expansions(lefts, rights, first), symbols)
+    assert (got == ids).all()
+    assert len(read) > 15 and sum(read) < 5 * len(ids)
+
+
+def test_word_encoder_is_the_library():
+    from tokenizers import Tokenizer
+
+    words = ["Hello", " world", "<|endoftext|>", "'ll", "  ", "\u00e9t\u00e9", " \u4e2d\u6587", "\U0001f600", "\x00\x7f", "1234", ""]
+    tokenizer = Tokenizer.from_file(JSON)
+    want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert repair.word_encoder(JSON)(words) == want
+    assert repair.json_encoder(JSON)()(pa.array(words)).to_pylist() == want
+    assert len(repair.json_encoder(JSON)()(pa.array([], pa.string()))) == 0
+
+
+def test_word_numbers_go_by_the_bytes():
+    words = pa.array(["ab", "ba", "", "abc", "\u00e9", "a", "ab"])
+    whole = repair.word_numbers(words).to_pylist()
+    assert len(set(whole)) == 6 and whole[0] == whole[-1]
+    assert repair.word_numbers(words.slice(3)).to_pylist() == whole[3:]
+    assert len(repair.word_numbers(words.slice(0, 0))) == 0
+
+
 def fingerprint(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
