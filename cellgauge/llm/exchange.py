@@ -285,32 +285,42 @@ def word_chunks(
     docs: DataFrame,
     split: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
     limit: int = CHUNK_BYTES,
+    memory: Callable[[], contextlib.AbstractContextManager] = contextlib.nullcontext,
 ) -> DataFrame:
-    """One row per chunk of `docs` (id, text): ids, keys per text, codes, distinct keys, uses."""
+    """One row per chunk of `docs` (id, text): ids, keys per text, codes, distinct keys, uses.
+
+    Each chunk is made within `memory()`.
+    """
+
+    def chunk(sequence: int, table: pa.Table) -> pa.RecordBatch:
+        texts = one_array(table["text"])
+        parts, counts = [], []
+        for begin, end in blocks(texts, BLOCK_BYTES):
+            data, offsets, n = split(*buffers(texts.slice(begin, end - begin)))
+            parts.append(string_array(data, offsets).dictionary_encode())
+            counts.append(n)
+        coded = pa.chunked_array(parts).unify_dictionaries()
+        codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+        words = coded.chunk(coded.num_chunks - 1).dictionary
+        uses = np.bincount(codes, minlength=len(words))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([chunk_id(sequence)], pa.int64()),
+                list_array(np.array([0, len(table)]), one_array(table["id"])),
+                list_array(np.array([0, len(table)]), pa.array(np.concatenate(counts), pa.int32())),
+                pa.array([pack_codes(codes)], pa.binary()),
+                pa.array([pack(words)], pa.binary()),
+                pa.array([pack(pa.array(uses, pa.int64()))], pa.binary()),
+                pa.array([len(words)], pa.int64()),
+            ],
+            ["chunk", "ids", "counts", "codes", "words", "uses", "n_words"],
+        )
+
     def run(batches):
         for sequence, table in enumerate(doc_chunks(batches, limit)):
-            texts = one_array(table["text"])
-            parts, counts = [], []
-            for begin, end in blocks(texts, BLOCK_BYTES):
-                data, offsets, n = split(*buffers(texts.slice(begin, end - begin)))
-                parts.append(string_array(data, offsets).dictionary_encode())
-                counts.append(n)
-            coded = pa.chunked_array(parts).unify_dictionaries()
-            codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
-            words = coded.chunk(coded.num_chunks - 1).dictionary
-            uses = np.bincount(codes, minlength=len(words))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk_id(sequence)], pa.int64()),
-                    list_array(np.array([0, len(table)]), one_array(table["id"])),
-                    list_array(np.array([0, len(table)]), pa.array(np.concatenate(counts), pa.int32())),
-                    pa.array([pack_codes(codes)], pa.binary()),
-                    pa.array([pack(words)], pa.binary()),
-                    pa.array([pack(pa.array(uses, pa.int64()))], pa.binary()),
-                    pa.array([len(words)], pa.int64()),
-                ],
-                ["chunk", "ids", "counts", "codes", "words", "uses", "n_words"],
-            )
+            with memory():
+                out = chunk(sequence, table)
+            yield out
 
     schema = (
         "chunk long, ids array<long>, counts array<int>, codes binary, "

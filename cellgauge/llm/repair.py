@@ -50,7 +50,6 @@ def added_tokens(path: str) -> list[str]:
     return [t.content for t in tokens if t.content]
 
 
-@X.kept_memory()
 def split_at(tokens: list[str], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pre-tokens as `pretokens` gives them, but each of `tokens` in a text is one of its own.
 
@@ -155,7 +154,7 @@ def compress(
     are counted in the next round. A round reads and sorts its own places only.
     """
     n = len(ids)
-    symbols = np.append(ids, 0).astype(np.int32)
+    symbols = np.append(ids.astype(np.int32, copy=False), np.int32(0))
     first = base = int(ids.max(initial=-1)) + 1
     filled = np.diff(starts) > 0
     # Neighbours of each place; n stands for none.
@@ -206,7 +205,7 @@ def compress(
         where, new = where[new >= 0], new[new >= 0]
         lefts.append(pairs[made] >> 32)
         rights.append(pairs[made] & 0xFFFFFFFF)
-        right = _at(after, where)
+        right = _at(after, where).astype(np.int64)
         symbols[where] = new
         symbols[right] = -1
         after[where] = follow = _at(after, right)
@@ -430,7 +429,7 @@ def write_files(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id")
     split = partial(split_at, added_tokens(tokenizer))
-    chunks = bucketed(X.word_chunks(ordered, split, SHARD_BYTES), "shard-words", "chunk")
+    chunks = bucketed(X.word_chunks(ordered, split, SHARD_BYTES, X.kept_memory), "shard-words", "chunk")
     tasks = X.bucket_count(spark, X.total_keys(chunks))
     make = json_encoder(tokenizer)
     packed = X.explode_keys(chunks, tasks, hashed=word_numbers)
