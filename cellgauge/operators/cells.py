@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from cellgauge.functions import texts
 from cellgauge.functions.columns import hash32
 from cellgauge.operators.features import FeatureSpec, FittedFeatures
+from cellgauge.operators.quantiles import GROUP_LIMIT, equal_shares
 from cellgauge.sources import schema as S
 
 #: Cells of a grid, at most: a prediction table of 16 MB. Wider ones are left to MLlib.
@@ -37,8 +38,6 @@ MAX_BLOCKS = 2_000_000
 BLOCKS = 64
 #: Cells of one piece of a prediction table when trees are added up.
 PIECE = 1 << 16
-#: Rows that cuts are taken from, about, where there are more.
-CUT_ROWS = 50_000
 #: Seed of the deal of rows to blocks, apart from those of splits and folds.
 DEAL_SEED = 1009
 
@@ -134,41 +133,34 @@ def place_all(df: DataFrame, grids: Mapping[str, Grid], medians: Mapping[str, fl
     return placed.withColumns(codes).drop(*filled, *bins.values())
 
 
-def fit_grid(df: DataFrame, features: FittedFeatures, bins: int = 32, rows: int | None = None, key: str = S.KEY) -> Grid:
-    """Cuts at equal shares of the rows, in one pass; equal cuts fall together.
-
-    Beyond CUT_ROWS rows the shares are those of a sample of about so many, the rows of the
-    lowest key hashes, so that cuts do not depend on partitions.
-    """
+def fit_grid(df: DataFrame, features: FittedFeatures, bins: int = 32, rows: int | None = None) -> Grid:
+    """Cuts at equal shares of the rows; equal cuts fall together."""
     if features.spec.numeric and rows is None:
         rows = df.count()
-    return fit_grids(df, [(features, rows or 0, None)], bins, key)[0]
+    return fit_grids(df, [(features, rows or 0, None)], bins)[0]
 
 
-def fit_grids(df: DataFrame, wanted: Sequence[tuple[FittedFeatures, int, Column | None]], bins: int = 32,
-              key: str = S.KEY) -> list[Grid]:
-    """Grids of several sets of rows as `fit_grid` gives each, all in one pass.
+def fit_grids(df: DataFrame, wanted: Sequence[tuple[FittedFeatures, int, Column | None]], bins: int = 32) -> list[Grid]:
+    """Grids of several sets of rows as `fit_grid` gives each, from passes that all share.
 
-    A set is given by its features, its number of rows and the condition that they meet.
+    A set is given by its features, its number of rows and the condition that they meet. The
+    shares are those of all its rows: up to GROUP_LIMIT values one pass gives them, beyond
+    it they are narrowed (`equal_shares`), since that pass would hold every value.
     """
-    shares = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    keyed = key in df.columns
-    limits = [int(2**32 * CUT_ROWS / rows) if keyed and rows > CUT_ROWS else 2**32 for _, rows, _ in wanted]
-    columns = list(dict.fromkeys(c for features, _, _ in wanted for c in features.spec.numeric))
-    found = []
-    if columns:
-        dealt = hash32(key, DEAL_SEED) if max(limits) < 2**32 or min(limits) < 2**32 else F.lit(0)
-        if max(limits) < 2**32:
-            df = df.where(dealt < max(limits))
-        for i, (features, _, mine) in enumerate(wanted):
-            inside = (F.lit(True) if mine is None else mine) & (dealt < limits[i])
-            for c in features.spec.numeric:
-                v = F.col(c).cast("double")
-                found.append(F.percentile(F.when(inside & ~F.isnan(v), v), shares).alias(f"_{i}_{c}"))
-    row = df.agg(*found).first() if found else None
+    held = {}
+    for i, (features, _, mine) in enumerate(wanted):
+        for c in features.spec.numeric:
+            v = F.col(c).cast("double")
+            known = ~F.isnan(v) if mine is None else mine & ~F.isnan(v)
+            held[f"_{i}_{c}"] = F.when(known, v)
+    if sum(rows * len(features.spec.numeric) for features, rows, _ in wanted) > GROUP_LIMIT:
+        cuts = equal_shares(df.select(*(v.alias(name) for name, v in held.items())), list(held), bins)
+    else:
+        shares = F.array(*(F.lit(i / bins) for i in range(1, bins)))
+        cuts = df.agg(*(F.percentile(v, shares).alias(name) for name, v in held.items())).first() if held else {}
     return [
         Grid(
-            {c: sorted(set(row[f"_{i}_{c}"] or ())) for c in features.spec.numeric},
+            {c: sorted(set(cuts[f"_{i}_{c}"] or ())) for c in features.spec.numeric},
             dict(features.categories),
             dict(features.medians),
         )

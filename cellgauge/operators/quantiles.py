@@ -82,6 +82,54 @@ def approximate_quantiles(
     )
 
 
+def equal_shares(df: DataFrame, columns: Sequence[str], shares: int) -> dict[str, list[float]]:
+    """The values between `shares` equal shares of each column, of all rows and exact.
+
+    Many ranks are wanted at once, so a row is not compared with each: one pass counts the
+    values in buckets, a second deals the values of the buckets that hold a wanted rank into
+    bins, and only the bin with the rank is put in order. Nulls and NaN are left out; a column
+    without values has no cuts. What reaches the driver is bounded by columns and shares.
+    """
+    x, spark = F.col("_x"), df.sparkSession
+    entries = [F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(columns)]
+    long = df.select(F.inline(F.array(*entries))).where(x.isNotNull() & ~F.isnan(x))
+    long = long.withColumn("_b", _bucket(x))
+    counts = checkpointed(
+        long.groupBy("_c", "_b").agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    )
+    sizes = {r["_c"]: r["_n"] for r in counts.groupBy("_c").agg(F.sum("_n").alias("_n")).collect()}
+    probs = [i / shares for i in range(1, shares)]
+    ranks = sorted({(c, rank) for c, n in sizes.items() for p in probs for rank in rank_pair(n, p)})
+    if not ranks:
+        return {c: [] for c in columns}
+    wanted = F.broadcast(spark.createDataFrame(ranks, "_c int, _r long"))
+    holds = (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_n"))
+    starts = F.sum("_n").over(Window.partitionBy("_c").orderBy("_b")) - F.col("_n")
+    chosen = counts.withColumn("_start", starts).join(wanted, "_c").where(holds).collect()
+    found = {(r["_c"], r["_r"]): r["_lo"] for r in chosen if r["_lo"] == r["_hi"]}
+    wide = [r for r in chosen if r["_lo"] < r["_hi"]]
+    if wide:
+        bounds = sorted({(r["_c"], r["_b"], r["_lo"], r["_hi"]) for r in wide})
+        table = F.broadcast(spark.createDataFrame(bounds, "_c int, _b int, _lo double, _hi double"))
+        held = long.join(table, ["_c", "_b"]).groupBy("_c", "_b", _bin(BINS).alias("_d"), "_x").agg(F.count("*").alias("_n"))
+        held = checkpointed(held)
+        inside = sorted({(r["_c"], r["_b"], r["_r"], r["_start"]) for r in wide})
+        inside = F.broadcast(spark.createDataFrame(inside, "_c int, _b int, _r long, _from long"))
+        bins = held.groupBy("_c", "_b", "_d").agg(F.sum("_n").alias("_n"))
+        starts = F.sum("_n").over(Window.partitionBy("_c", "_b").orderBy("_d")) - F.col("_n")
+        bins = bins.withColumn("_start", starts).join(inside, ["_c", "_b"])
+        bins = bins.withColumn("_start", F.col("_start") + F.col("_from")).where(holds).drop("_n", "_from")
+        starts = F.sum("_n").over(Window.partitionBy("_c", "_b", "_d", "_r").orderBy("_x")) - F.col("_n")
+        values = held.join(F.broadcast(bins), ["_c", "_b", "_d"]).withColumn("_start", F.col("_start") + starts)
+        found |= {(r["_c"], r["_r"]): r["_x"] for r in values.where(holds).collect()}
+    out = {}
+    for i, c in enumerate(columns):
+        n = sizes.get(i, 0)
+        at = {rank: found[i, rank] for p in probs for rank in rank_pair(n, p)} if n else {}
+        out[c] = [interpolated(at, n, p) for p in probs] if n else []
+    return out
+
+
 def _builtin(df: DataFrame, probs: Mapping[str, Sequence[float]], by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(
         *[

@@ -263,3 +263,29 @@ def test_rows_that_no_model_can_use_are_an_error_for_all(spark, sf_dir, change):
         rows = rows.withColumn(S.LATENCY, F.when(F.col(S.USERS) > 0, F.col(S.LATENCY)).cast("double") * F.lit(None))
     with pytest.raises(ValueError, match={"few": "too few rows", "missing": "Missing values", "empty": "empty"}[change]):
         M.train_all(rows if change != "empty" else rows.limit(0), models)
+
+
+@pytest.mark.parametrize("limit", [500_000, 1_000])
+def test_cuts_are_the_equal_shares_of_all_rows(spark, monkeypatch, limit):
+    """Every row counts for the cuts, of each set, whether one pass gives them or they are narrowed."""
+    monkeypatch.setattr(C, "GROUP_LIMIT", limit, raising=False)
+    n = 60_000
+    draw = np.random.default_rng(3)
+    values = {"a": draw.normal(size=n), "b": draw.lognormal(0, 3, n), "c": np.floor(draw.random(n) * 9), "d": 5 + draw.random(n) / 1e6}
+    values["a"][::7], values["b"][::5] = float("nan"), float("inf")
+    values["c"][::2] = -4.0
+    lines = [(f"t{i}", i % 3, *map(float, row)) for i, row in enumerate(zip(*values.values(), strict=True))]
+    df = spark.createDataFrame(lines, f"{S.KEY} string, side int, a double, b double, c double, d double")
+    features = X.FittedFeatures(X.FeatureSpec(tuple(values)), dict.fromkeys(values, 0.0))
+    wanted = [(features, n, None), (features, n // 3, F.col("side") == 1), (features, 0, F.col("side") == 9)]
+    *found, none = C.fit_grids(df, wanted)
+    assert all(cuts == [] for cuts in none.cuts.values())
+    for grid, rows in zip(found, (slice(None), slice(1, None, 3)), strict=True):
+        for c, all_values in values.items():
+            known = np.sort(all_values[rows])
+            known = known[~np.isnan(known)]
+            places = np.arange(1, 32) / 32 * (len(known) - 1)
+            low, high = known[np.floor(places).astype(int)], known[np.ceil(places).astype(int)]
+            with np.errstate(invalid="ignore"):
+                want = np.where(low == high, low, low + (high - low) * (places - np.floor(places)))
+            assert np.allclose(grid.cuts[c], sorted(set(want.tolist())), rtol=1e-12, atol=0), c
