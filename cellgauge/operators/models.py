@@ -18,6 +18,7 @@ from cellgauge.functions import texts
 from cellgauge.functions.columns import hash32, is_missing
 from cellgauge.operators import cells as C
 from cellgauge.operators import features as X
+from cellgauge.operators import growth as G
 from cellgauge.operators.clean import fit_group_medians, fit_medians
 from cellgauge.operators.evaluate import fold_mse, model_metrics, require_samples
 from cellgauge.operators.partition import SEGMENT
@@ -28,18 +29,19 @@ from cellgauge.sources.tables import cached
 log = logging.getLogger(__name__)
 
 FOLD_SEED = 7
-CELLS, MLLIB = "cells", "mllib"
+CELLS, EXACT, MLLIB = "cells", "exact", "mllib"
 
 
 @dataclass(frozen=True)
 class ForestSettings:
     """Which forest, and how large.
 
-    The engine `cells` grows trees from one aggregate over binned features (see `cells`); a
-    grid wider than it takes is left to `mllib`. There depth is bounded (30) and each level
+    The engine `exact` splits between any two values of all rows (see `growth`). The engine
+    `cells` grows trees from one aggregate over binned features (see `cells`); a grid wider
+    than it takes is left to `mllib`. There depth is bounded (30) and each level
     doubles the cost; `layout` fixes the number and order of its training partitions, so
     that the same seed gives the same forest on any cluster, at the price of one shuffle.
-    `memory_mb` is what its tasks use each; `bootstrap` is for `cells`.
+    `memory_mb` is what its tasks use each; `bins` is not for `exact`, `bootstrap` not for `mllib`.
     """
 
     trees: int = 100
@@ -94,6 +96,11 @@ class ForestModel:
         cells = self.settings.engine == CELLS
         return Learned(features, C.fit_grid(df, features, self.settings.bins, n) if cells else None)
 
+    def train_exact(self, df: DataFrame) -> None:
+        """Grow a forest without bins on the features that are fitted."""
+        s = self.settings
+        self.forest = G.grow_forest(self.rows_of(df), self.features, self.target, s.trees, s.depth, s.seed, s.bootstrap)
+
     def train_mllib(self, df: DataFrame) -> None:
         """Train a forest of MLlib on the features that are fitted."""
         df = self.rows_of(df)
@@ -126,7 +133,7 @@ class ForestModel:
         features, forest = self._fitted()
         S.require_columns(df, [*self.spec.numeric, *self.spec.categorical])
         medians = fit_medians(df, self.spec.numeric) if fill == "batch" else None
-        if isinstance(forest, C.CellForest):
+        if isinstance(forest, (C.CellForest, G.GrownForest)):
             return forest.predict(df, out, medians)
         vector = f"_features_{out}"
         forest = forest.copy().setFeaturesCol(vector).setPredictionCol(out)
@@ -140,8 +147,8 @@ class ForestModel:
     def feature_importance(self, df: DataFrame, top: int | None = None) -> DataFrame:
         """Importance by feature name, largest first. `df` lends its session only."""
         features, forest = self._fitted()
-        cells = isinstance(forest, C.CellForest)
-        values = (forest.importances if cells else forest.featureImportances.toArray()).tolist()
+        own = isinstance(forest, (C.CellForest, G.GrownForest))
+        values = (forest.importances if own else forest.featureImportances.toArray()).tolist()
         rows = sorted(zip(features.names, values), key=lambda nv: (-nv[1], nv[0]))[:top]
         return df.sparkSession.createDataFrame(
             [(self.name, i + 1, n, float(v)) for i, (n, v) in enumerate(rows)],
@@ -324,7 +331,7 @@ def train_all(
             continue
         if own.grid is not None:
             log.warning("%s: %d cells, trained by MLlib", m.name, own.grid.cells)
-        m.train_mllib(df)
+        m.train_exact(df) if m.settings.engine == EXACT else m.train_mllib(df)
     for c in sharing:
         made = next(iter(c.models.values()))
         if places:
